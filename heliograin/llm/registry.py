@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import simhash_dedup
+from . import simhash_dedup, substring_dedup
 
 QUERIES = {
+    "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op6_simhash_dedup": simhash_dedup.op6_simhash_dedup,
 }
 
