@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import simhash_dedup, substring_dedup
+from . import simhash_dedup, source_mixing, substring_dedup, token_store
 
 QUERIES = {
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op6_simhash_dedup": simhash_dedup.op6_simhash_dedup,
+    "op8_source_mixing": source_mixing.op8_source_mixing,
+    "op10_token_store": token_store.op10_token_store,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_source_mixing": source_mixing.ORACLE,
+}
