@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import simhash_dedup, source_mixing, substring_dedup, token_store
+from . import kd_sharding, simhash_dedup, source_mixing, substring_dedup, token_store
 
 QUERIES = {
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op6_simhash_dedup": simhash_dedup.op6_simhash_dedup,
     "op8_source_mixing": source_mixing.op8_source_mixing,
+    "op9_kd_sharding": kd_sharding.op9_kd_sharding,
     "op10_token_store": token_store.op10_token_store,
 }
 
