@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import kd_sharding, simhash_dedup, source_mixing, substring_dedup, token_store
+from . import embedding_dedup, kd_sharding, license_scan, simhash_dedup, source_mixing, substring_dedup, token_store
 
 QUERIES = {
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
+    "op3_embedding_dedup": embedding_dedup.op3_embedding_dedup,
     "op6_simhash_dedup": simhash_dedup.op6_simhash_dedup,
+    "op7_license_scan": license_scan.op7_license_scan,
     "op8_source_mixing": source_mixing.op8_source_mixing,
     "op9_kd_sharding": kd_sharding.op9_kd_sharding,
     "op10_token_store": token_store.op10_token_store,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_license_scan": license_scan.ORACLE,
     "op8_source_mixing": source_mixing.ORACLE,
 }
