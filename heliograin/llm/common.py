@@ -60,6 +60,19 @@ def text_bytes(df: DataFrame, column: str) -> int:
     return df.agg(F.sum(F.octet_length(F.col(column)))).first()[0] or 0
 
 
+def keep_rows(docs: DataFrame, made, keep) -> DataFrame:
+    """The rows of ``docs`` for which ``keep`` of the Arrow values of column ``made`` is true; no shuffle, all columns stay."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    kinds = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields))
+
+    def run(batches):
+        for b in batches:
+            mask = pa.array(keep(b.column(b.num_columns - 1)), pa.bool_())
+            yield pa.RecordBatch.from_arrays(b.columns[:-1], names).filter(mask)
+
+    return docs.withColumns({"_made_for_keep_rows": made}).mapInArrow(run, kinds).toDF(*docs.columns)
+
+
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and row offsets of an Arrow string array; null reads as empty."""
     if isinstance(texts, pa.ChunkedArray):

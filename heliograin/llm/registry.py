@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, kd_sharding, language_id, license_scan, simhash_dedup, source_mixing, substring_dedup, token_store
+from . import decontamination, embedding_dedup, kd_sharding, language_id, license_scan, simhash_dedup, source_mixing, substring_dedup, token_store
 
 QUERIES = {
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_embedding_dedup": embedding_dedup.op3_embedding_dedup,
     "op4_language_id": language_id.op4_language_id,
+    "op5_decontamination": decontamination.op5_decontamination,
     "op6_simhash_dedup": simhash_dedup.op6_simhash_dedup,
     "op7_license_scan": license_scan.op7_license_scan,
     "op8_source_mixing": source_mixing.op8_source_mixing,
