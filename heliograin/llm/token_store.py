@@ -14,9 +14,13 @@ empty result; further columns are ignored whatever their names.
 
 from __future__ import annotations
 
+import gc
+import json
+import re
 import struct
 import uuid
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -156,53 +160,100 @@ def unpack(payload: bytes) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
     return np.frombuffer(parts[0], "<i8"), np.frombuffer(parts[1], "<i8"), WaveletMatrix(n, planes, np.frombuffer(parts[2], "<i8").tolist())
 
 
+# The rules under which words can be cut into pieces before the library's model.
+_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pieces": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+",
+}
+#: Characters that normalisation only lower-cases, one by one: ASCII and Latin letters without U+0130.
+_PLAIN = re.compile("[!-~\u00c0-\u012f\u0131-\u024f]+")
+
+
+class _Numbers(dict):
+    """Numbers words as they are first asked for."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        self.fresh.append(word)
+        return n
+
+
 class WordEncoder:
     """Encodes texts word by word with the library, each distinct word once.
 
     The tokenizer's own rules drop white space and never join across it, so the
     ids of a text are those of its words in turn (checked against whole-text
-    encoding in the tests).
+    encoding in the tests). Under the rules of ``_RULES`` a word of plain
+    characters is cut into pieces first, and each distinct piece goes to the
+    library's model once; every other word passes the whole tokenizer.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        import regex
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.bytes_of = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
+        split = (rules.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        known = rules.get("normalizer") == _RULES["normalizer"] and split[0].get("pattern") == {"Regex": _RULES["pieces"]}
+        self.pieces_of = regex.compile(_RULES["pieces"]).findall if known else None
         self.bits = max(1, (self.tokenizer.get_vocab_size(with_added_tokens=True) - 1).bit_length())
         self.kind = np.uint16 if self.bits <= 16 else np.uint32
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.sizes, self.pool = [np.zeros(0, np.int64)], [np.zeros(0, self.kind)]
-
-    def _learn(self, fresh: list[bytes]) -> None:
-        for lo in range(0, len(fresh), 2000):
-            some = fresh[lo : lo + 2000]
-            got = self.tokenizer.encode([w.decode() for w in some], is_pretokenized=True, add_special_tokens=False)
-            of = np.array(got.word_ids, np.int64) if got.ids else np.empty(0, np.int64)
-            self.sizes.append(np.bincount(of, minlength=len(some)))
-            self.pool.append(np.array(got.ids, self.kind))
-        self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh))))
-        self.sizes, self.pool = [np.concatenate(self.sizes)], [np.concatenate(self.pool)]
+        self.known, self.pieces = _Numbers(), {}
+        self.sizes, self.pool = np.zeros(0, np.int64), np.zeros(0, self.kind)
+
+    def _piece(self, piece: str) -> list[int]:
+        name = piece if piece.isascii() else self.bytes_of.pre_tokenize_str(piece)[0][0]
+        self.pieces[piece] = ids = [t.id for t in self.model.tokenize(name)]
+        return ids
+
+    def _learn(self) -> None:
+        fresh, self.known.fresh = self.known.fresh, []
+        made: list[list[int] | None] = [None] * len(fresh)
+        rest, seen = [], self.pieces
+        for i, raw in enumerate(fresh):
+            word = raw.decode()
+            if self.pieces_of is None or "<|" in word or not _PLAIN.fullmatch(word):
+                rest.append((i, word))
+                continue
+            ids: list[int] = []
+            for piece in self.pieces_of(word.lower()):
+                ids += seen[piece] if piece in seen else self._piece(piece)
+            made[i] = ids
+        for lo in range(0, len(rest), 2000):
+            some = rest[lo : lo + 2000]
+            got = self.tokenizer.encode([w for _, w in some], is_pretokenized=True, add_special_tokens=False)
+            for i, _ in some:
+                made[i] = []
+            for k, token in zip(got.word_ids, got.ids):
+                made[some[k][0]].append(token)
+        self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, made), np.int64, len(made))])
+        self.pool = np.concatenate([self.pool, np.array([t for ids in made for t in ids], self.kind)])
 
     def encode(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in turn, each closed by ``end``, and where each text's ids end."""
         if len(self.known) > CACHE_WORDS:
             self._clear()
         split = [t.split() for t in texts]
-        known = self.known
-        fresh = list(dict.fromkeys(w for ws in split for w in ws if w not in known))
-        if fresh:
-            self._learn(fresh)
-        which = np.fromiter((known[w] for ws in split for w in ws), np.int64, sum(map(len, split)))
-        sizes, pool = self.sizes[0], self.pool[0]
-        begins = np.cumsum(sizes) - sizes
-        n = sizes[which]
-        words_upto = np.cumsum([0, *map(len, split)])
+        n_words = np.cumsum([0, *map(len, split)])
+        which = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, n_words[-1])
+        if self.known.fresh:
+            self._learn()
+        begins = np.cumsum(self.sizes) - self.sizes
+        n = self.sizes[which]
         upto = np.concatenate([[0], np.cumsum(n)])
-        ids = pool[np.repeat(begins[which] - upto[:-1], n) + np.arange(upto[-1])]
-        ends = upto[words_upto[1:]]
+        ids = self.pool[np.repeat(begins[which] - upto[:-1], n) + np.arange(upto[-1])]
+        ends = upto[n_words[1:]]
         return np.insert(ids, ends, self.kind(end)), ends + np.arange(1, len(texts) + 1)
 
 
@@ -216,6 +267,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
     parts = max(1, -(-size // PARTITION_BYTES))
 
     def run(batches):
+        gc.disable()  # the encoder makes many small lists and no cycles
         encoder, held, tokens, part = WordEncoder(tokenizer), [], 0, 0
 
         def shard():
