@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontamination, embedding_dedup, kd_sharding, language_id, license_scan, simhash_dedup, source_mixing, substring_dedup, token_store
+from . import decontamination, embedding_dedup, html_extraction, kd_sharding, language_id, license_scan, simhash_dedup, source_mixing, substring_dedup, token_store
 
 QUERIES = {
+    "op1_html_extraction": html_extraction.op1_html_extraction,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_embedding_dedup": embedding_dedup.op3_embedding_dedup,
     "op4_language_id": language_id.op4_language_id,
