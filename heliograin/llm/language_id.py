@@ -159,6 +159,19 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
     return docs.select(F.col(id_col).cast("long").alias("id"), letters(F.col(text_col)).alias("body")).mapInArrow(_predictor(*model), "id long, lang_pred string, score double")
 
 
+def accept(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", least: float = 0.05) -> DataFrame:
+    """The rows of ``docs`` whose text has letters and a language that scores ``least`` or more, with their columns."""
+
+    def keep(texts):
+        data, off = C.flat(texts)
+        good = np.zeros(len(off) - 1, bool)
+        for lo, hi in C.blocks(off, BLOCK_BYTES) if model[0] else ():
+            good[lo:hi] = score(presence(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]), model[1]).max(axis=1) >= least
+        return good & (np.diff(off) > 0)
+
+    return C.keep_rows(docs, letters(F.col(text_col)), keep)
+
+
 def op4_language_id(spark, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents")
     found = predict(docs, train(docs))

@@ -180,6 +180,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, "fp").select("id", "fp", "component")
 
 
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
+    """One row of each group of near-duplicates, that of the smallest id, with the columns of ``docs``.
+
+    Ids are keys here: of rows of one id one stays, and rows without an id are left out.
+    """
+    found = near_duplicates(docs, id_col, text_col, shingle, radius).filter("id = component")
+    first = found.select(F.col("id").alias("_kept_id"))
+    return docs.join(first, F.col(id_col) == F.col("_kept_id"), "left_semi").dropDuplicates([id_col])
+
+
 def op6_simhash_dedup(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(C.table(spark, sf_dir, "documents"))
     return found.select(
