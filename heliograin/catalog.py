@@ -2,34 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from heliograin.plans import datasets, decimals, flows, graph, market, retrieval, series, signal, state, stats, tabular, text  # noqa: F401
+from heliograin.plans.base import ORACLE_SQL, QUERIES  # noqa: F401
 
-QUERIES = {}
-ORACLE_SQL = {}
-FLAGSHIP = "tabular_group_agg"
-
-
-def _t(spark, d, name):
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
-def query(sql=None):
-    """Register a query under its function's name."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-@query(
-    "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, avg(l_extendedprice) AS avg_price, count(*) AS n "
-    "FROM lineitem GROUP BY ALL"
-)
-def tabular_group_agg(spark, d):
-    return _t(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(
-        F.sum("l_quantity").alias("sum_qty"), F.avg("l_extendedprice").alias("avg_price"), F.count("*").alias("n")
-    )
+FLAGSHIP = "tabular_flagship"
