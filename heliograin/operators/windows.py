@@ -15,7 +15,11 @@ class Series:
     """Window columns of one series layout: ``keys`` partition it, ``order`` sorts it."""
 
     def __init__(self, keys: list[str], order: list[str]):
-        self.order = W.partitionBy(*keys).orderBy(*order)
+        self.keys, self.by = keys, order
+
+    @property
+    def order(self):
+        return W.partitionBy(*self.keys).orderBy(*self.by)
 
     def trailing(self, n: int):
         return self.order.rowsBetween(1 - n, 0)

@@ -1 +1,75 @@
-"""Queries."""
+"""Graph queries over a forest of customers (parent = key / 3) and over the region-nation-supplier lineage."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from heliograin.operators import graph
+from heliograin.plans.base import query, rounded, table
+
+TREE = "edges AS (SELECT c_custkey // 3 AS src, c_custkey AS dst FROM customer WHERE c_custkey > 0)"
+UP = f"WITH RECURSIVE {TREE}, up(src, dst, hops) AS (SELECT src, dst, 1 FROM edges UNION ALL SELECT e.src, up.dst, hops + 1 FROM up JOIN edges e ON e.dst = up.src)"
+
+
+def _tree(spark, d):
+    return table(spark, d, "customer").filter("c_custkey > 0").select(F.floor(F.col("c_custkey") / 3).alias("src"), F.col("c_custkey").alias("dst"))
+
+
+LINEAGE = "edges AS (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst FROM nation UNION SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier)"
+
+
+def _lineage(spark, d):
+    n = table(spark, d, "nation").select(F.concat(F.lit("r"), "n_regionkey").alias("src"), F.concat(F.lit("n"), "n_nationkey").alias("dst"))
+    return n.union(table(spark, d, "supplier").select(F.concat(F.lit("n"), "s_nationkey"), F.concat(F.lit("s"), "s_suppkey"))).distinct()
+
+
+@query(f"WITH {LINEAGE} SELECT node, count(*) FILTER (side = 's') AS children, count(*) FILTER (side = 'd') AS parents FROM (SELECT src AS node, 's' AS side FROM edges UNION ALL SELECT dst, 'd' FROM edges) GROUP BY ALL")
+def graph_degrees(spark, d):
+    return graph.degrees(_lineage(spark, d))
+
+
+@query(f"WITH {LINEAGE} SELECT src, dst FROM edges UNION SELECT dst, src FROM edges")
+def graph_undirected(spark, d):
+    return graph.to_undirected(_lineage(spark, d))
+
+
+@query(f"WITH {LINEAGE}, n AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges) SELECT node, CASE WHEN node NOT IN (SELECT dst FROM edges) THEN 'root' ELSE 'tip' END AS kind FROM n WHERE node NOT IN (SELECT dst FROM edges) OR node NOT IN (SELECT src FROM edges)")
+def graph_roots_and_tips(spark, d):
+    return graph.roots_and_tips(_lineage(spark, d))
+
+
+@query(f"{UP} SELECT src, dst, hops::INT AS hops FROM up")
+def graph_closure(spark, d):
+    return graph.closure(_tree(spark, d))
+
+
+@query(f"{UP} SELECT src AS start, dst AS node, hops::INT AS hops FROM up WHERE src IN (1, 2) UNION ALL VALUES (1, 1, 0), (2, 2, 0)")
+def graph_reachable(spark, d):
+    starts = spark.createDataFrame([(1,), (2,)], "node long")
+    return graph.reachable(_tree(spark, d), starts)
+
+
+@query(f"{UP} SELECT dst AS node, max(hops)::INT AS level FROM up GROUP BY ALL UNION ALL SELECT 0, 0")
+def graph_topological_levels(spark, d):
+    return graph.topological_levels(_tree(spark, d))
+
+
+@query(f"{UP} SELECT c_custkey AS node FROM customer WHERE c_custkey NOT IN (SELECT dst FROM up WHERE src = 5) AND c_custkey <> 5")
+def graph_unreachable(spark, d):
+    return graph.unreachable(table(spark, d, "customer").select(F.col("c_custkey").alias("node")), _tree(spark, d), spark.createDataFrame([(5,)], "node long"))
+
+
+@query("SELECT unnest([0, 1, 3, 11, 35]) AS node, unnest(range(5))::INT AS place")
+def graph_shortest_path(spark, d):
+    path = graph.shortest_path(_tree(spark, d), 0, 35)
+    return spark.createDataFrame([(int(n), k) for k, n in enumerate(path)], "node long, place int")
+
+
+@query()
+def graph_page_rank(spark, d):
+    return rounded(graph.page_rank(_lineage(spark, d)), 8)
+
+
+@query(f"WITH {LINEAGE} SELECT src, dst FROM edges")
+def graph_checked_edges(spark, d):
+    return graph.check_edges(_lineage(spark, d))
