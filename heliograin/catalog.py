@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from heliograin.plans import datasets, decimals, flows, graph, market, retrieval, series, signal, state, stats, tabular, text  # noqa: F401
+from heliograin.plans import datasets, decimals, flows, graph, market, monitoring, retrieval, series, signal, state, stats, tabular, text  # noqa: F401
 from heliograin.plans.base import ORACLE_SQL, QUERIES  # noqa: F401
 
 FLAGSHIP = "tabular_flagship"

@@ -210,9 +210,170 @@ def spikes(window: int, alpha: float, factor: float) -> Kernel:
     return Kernel(("window_max", "spike"), (float("-inf"), 0, None), step)
 
 
-def in_batch(df: DataFrame, key: str, order: list[str], value: str, kernel: Kernel, keep: list[str] | None = None) -> DataFrame:
-    """Rows (key, kept columns, outputs): the kernel over each key's rows in order; null values are left out."""
+def macd(fast: int, slow: int, signal: int) -> Kernel:
+    """Difference of two seeded exponential means, and the seeded mean of that difference."""
+    a, b, c = seeded_ema(fast), seeded_ema(slow), seeded_ema(signal)
+
+    def step(s, x):
+        sa, (va,) = a.step(s[0], x)
+        sb, (vb,) = b.step(s[1], x)
+        line = None if va is None or vb is None else va - vb
+        sc, (vc,) = (s[2], (None,)) if line is None else c.step(s[2], line)
+        return (sa, sb, sc), (line, vc)
+
+    return Kernel(("macd", "signal"), (a.start, b.start, c.start), step)
+
+
+def _true_range(last, high, low, close):
+    return high - low if last is None else max(high - low, abs(high - last), abs(low - last))
+
+
+def keltner(n: int, width: float) -> Kernel:
+    """(high, low, close): seeded exponential mean of closes with a band of Wilder's mean true range."""
+    mid, atr = seeded_ema(n), wilder(n)
+
+    def step(s, x):
+        sm, (m,) = mid.step(s[0], x[2])
+        sr, (r,) = atr.step(s[1], _true_range(s[2], *x))
+        full = m is not None and r is not None
+        return (sm, sr, x[2]), ((m - width * r, m, m + width * r) if full else (None, None, None))
+
+    return Kernel(("lower", "middle", "upper"), (mid.start, atr.start, None), step)
+
+
+def supertrend(n: int, width: float) -> Kernel:
+    """(high, low, close): a trailing band that changes side when the close crosses it."""
+    atr = wilder(n)
+
+    def step(s, x):
+        state, last, upper, lower, up = s
+        high, low, close = x
+        state, (r,) = atr.step(state, _true_range(last, *x))
+        if r is None:
+            return (state, close, None, None, True), (None, None)
+        mid = (high + low) / 2
+        top, bottom = mid + width * r, mid - width * r
+        if upper is not None:
+            top = top if top < upper or last > upper else upper
+            bottom = bottom if bottom > lower or last < lower else lower
+            up = close >= bottom if up else close > top
+        return (state, close, top, bottom, up), (bottom if up else top, 1.0 if up else -1.0)
+
+    return Kernel(("band", "direction"), (atr.start, None, None, None, True), step)
+
+
+def directional(n: int) -> Kernel:
+    """(high, low, close): +DI, -DI and ADX over Wilder's means."""
+    means = [wilder(n) for _ in range(4)]
+
+    def step(s, x):
+        last, states = s
+        if last is None:
+            return (x, states), (None, None, None)
+        up, down = x[0] - last[0], last[1] - x[1]
+        raw = (up if up > down and up > 0 else 0.0, down if down > up and down > 0 else 0.0, _true_range(last[2], *x))
+        new, out = zip(*(k.step(st, v) for k, st, v in zip(means, states, raw)))
+        p, m, r = (v[0] for v in out)
+        if r is None:
+            return (x, (*new, states[3])), (None, None, None)
+        plus, minus = (100 * p / r, 100 * m / r) if r > 1e-12 else (0.0, 0.0)
+        dx = 100 * abs(plus - minus) / (plus + minus) if plus + minus > 1e-12 else 0.0
+        sx, (adx,) = means[3].step(states[3], dx)
+        return (x, (*new, sx)), (plus, minus, adx)
+
+    return Kernel(("plus_di", "minus_di", "adx"), (None, tuple(k.start for k in means)), step)
+
+
+def sequence_monitor() -> Kernel:
+    """(state number, sequence number): 0 first seen, 1 valid, 2 replay, 3 spoof; only valid messages move the known state."""
+
+    def step(s, x):
+        if s is None:
+            return x, (0.0,)
+        if (x[0] == s[0] + 1 and x[1] == 0) or (x[0] == s[0] and x[1] == s[1] + 1):
+            return x, (1.0,)
+        return s, (2.0 if x <= s else 3.0,)
+
+    return Kernel(("verdict",), None, step)
+
+
+def rollback_monitor(window: int, floor: float, least: int) -> Kernel:
+    """Hits (1 or 0) in a sliding window: coverage, and a rollback that stays once coverage falls below the floor."""
+
+    def step(s, x):
+        held, latched = (*s[0], x)[-window:], s[1]
+        cover = sum(held) / len(held)
+        latched = latched or (len(held) >= least and cover < floor)
+        return (held, latched), (cover, float(latched))
+
+    return Kernel(("coverage", "rollback"), ((), False), step)
+
+
+def run_to_run(target: float, slope: float, lam: float) -> Kernel:
+    """Outputs of runs: EWMA of the process offset, and the next recipe that would hit the target."""
+
+    def step(s, x):
+        offset, recipe = s
+        offset = lam * (x - slope * recipe) + (1 - lam) * offset
+        recipe = (target - offset) / slope
+        return (offset, recipe), (offset, recipe)
+
+    return Kernel(("offset", "recipe"), (0.0, target / slope), step)
+
+
+def rainflow(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
+    """Rows (key, range, mean, count): rainflow cycles of each series' turning points; what is left over counts half."""
+
+    def pairs(stack, last):
+        while len(stack) >= 3 and abs(stack[-1] - stack[-2]) >= abs(stack[-2] - stack[-3]):
+            a, b = stack[-3], stack[-2]
+            half = len(stack) == 3
+            stack[:] = stack[1:] if half else [*stack[:-3], stack[-1]]
+            yield abs(a - b), (a + b) / 2, 0.5 if half else 1.0
+        if last:
+            for a, b in zip(stack, stack[1:]):
+                yield abs(a - b), (a + b) / 2, 0.5
+
+    def run(batches):
+        now, stack = object(), []
+        for b in batches:
+            out = []
+            for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if k != now:
+                    out += ended(now, stack)
+                    now, stack = k, []
+                if len(stack) >= 2 and (stack[-1] - stack[-2]) * (x - stack[-1]) >= 0:
+                    stack[-1] = x  # no turning point yet
+                elif not stack or x != stack[-1]:
+                    # what was last is a turning point now, so cycles may close on it
+                    out += [(now, *c) for c in pairs(stack, False)]
+                    stack.append(x)
+            yield made(out)
+        yield made(ended(now, stack))
+
+    def ended(now, stack):
+        return [(now, *c) for c in pairs(stack, True)]
+
+    kind = df.schema[key].dataType
+
+    def made(out):
+        cols = list(zip(*out)) if out else [()] * 4
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], to_arrow_type(kind)), *[pa.array(c, pa.float64()) for c in cols[1:]]], [key, "range", "mean", "count"])
+
+    rows = df.filter(F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias("_x"), *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)])
+    held = rows.repartition(F.col(key)).sortWithinPartitions(key, *[f"_o{i}" for i in range(len(order))])
+    return held.select(key, "_x").mapInArrow(run, f"`{key}` {kind.simpleString()}, range double, mean double, count double")
+
+
+def in_batch(df: DataFrame, key: str, order: list[str], value: str | list[str], kernel: Kernel, keep: list[str] | None = None) -> DataFrame:
+    """Rows (key, kept columns, outputs): the kernel over each key's rows in order; rows with a null value are left out.
+
+    A list of values reaches the kernel as a tuple.
+    """
     keep = order if keep is None else keep
+    several, values = not isinstance(value, str), [value] if isinstance(value, str) else list(value)
     schema = df.select(key, *keep).schema
     for name in kernel.names:
         schema = schema.add(name, "double")
@@ -222,17 +383,18 @@ def in_batch(df: DataFrame, key: str, order: list[str], value: str, kernel: Kern
         now, state = object(), kernel.start
         for b in batches:
             out: list[tuple] = []
-            for k, x in zip(b.column(0).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
+            inputs = [c.to_pylist() for c in b.columns[-len(values) :]]
+            for k, x in zip(b.column(0).to_pylist(), zip(*inputs) if several else inputs[0]):
                 if k != now:
                     now, state = k, kernel.start
                 state, made = kernel.step(state, x)
                 out.append(made)
             cols = [pa.array(c, pa.float64()) for c in zip(*out)] if out else [pa.array([], pa.float64())] * len(kernel.names)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], [*b.schema.names[:-1], *kernel.names])
+            yield pa.RecordBatch.from_arrays([*b.columns[: -len(values)], *cols], [*b.schema.names[: -len(values)], *kernel.names])
 
-    rows = df.filter(F.col(value).isNotNull()).select(key, *keep, *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)], F.col(value).cast("double").alias("_x"))
+    rows = df.dropna(subset=values).select(key, *keep, *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)], *[F.col(v).cast("double").alias(f"_x{i}") for i, v in enumerate(values)])
     held = rows.repartition(F.col(key)).sortWithinPartitions(key, *[f"_o{i}" for i in range(len(order))])
-    return held.select(key, *keep, "_x").mapInArrow(run, plain)
+    return held.select(key, *keep, *[f"_x{i}" for i in range(len(values))]).mapInArrow(run, plain)
 
 
 def in_stream(df: DataFrame, key: str, order: str, value: str, kernel: Kernel) -> DataFrame:

@@ -336,3 +336,39 @@ def test_unknown_currency_and_full_fields_are_errors(spark):
         decimals.convert_with(df, rates, "p", "s", "t").collect()
     with pytest.raises(Exception):
         df.select(decimals.fixed_point(F.lit(Decimal("1000.00")), 5, 2)).collect()
+
+
+def test_rainflow_cycles_of_a_known_history(spark):
+    got = sorted(rows(kernels.rainflow(series(spark, [-2, 1, -3, 5, -1, 3, -4, 4, -2]), "k", ["i"], "x"), "range", "count"))
+    assert got == [(3.0, 0.5), (4.0, 0.5), (4.0, 1.0), (6.0, 0.5), (8.0, 0.5), (8.0, 0.5), (9.0, 0.5)]
+    assert rows(kernels.rainflow(series(spark, [1, 1, 1]), "k", ["i"], "x")) == []
+
+
+def test_bar_kernels_agree_with_their_parts(spark):
+    rng = np.random.default_rng(8)
+    close = 100 + rng.standard_normal(60).cumsum()
+    bars = [("a", i, float(c + 1), float(c - 1), float(c)) for i, c in enumerate(close)]
+    df = spark.createDataFrame(bars, "k string, i long, h double, l double, c double")
+    k = rows(kernels.in_batch(df, "k", ["i"], ["h", "l", "c"], kernels.keltner(5, 2.0)).orderBy("i"), "lower", "middle", "upper")
+    ema = [v for (v,) in rows(kernels.in_batch(df, "k", ["i"], "c", kernels.seeded_ema(5)).orderBy("i"), "ema")]
+    assert [m for _, m, _ in k] == ema and all(lo < m < hi for lo, m, hi in k[4:])
+    s = rows(kernels.in_batch(df, "k", ["i"], ["h", "l", "c"], kernels.supertrend(5, 2.0)).orderBy("i"), "band", "direction")
+    assert all((b <= c) == (d > 0) or b == c for (b, d), c in zip(s[5:], close[5:]))
+    m = rows(kernels.in_batch(df, "k", ["i"], "c", kernels.macd(3, 6, 4)).orderBy("i"), "macd", "signal")
+    assert [x is None for x, _ in m][:6] == [True] * 5 + [False] and m[8][1] is not None and m[7][1] is None
+
+
+def test_sequence_monitor_and_rollback(spark):
+    msgs = [(5, 0), (5, 1), (5, 1), (6, 0), (9, 9), (6, 1)]
+    df = spark.createDataFrame([("a", i, float(s), float(q)) for i, (s, q) in enumerate(msgs)], "k string, i long, s double, q double")
+    assert [v for (v,) in rows(kernels.in_batch(df, "k", ["i"], ["s", "q"], kernels.sequence_monitor()).orderBy("i"), "verdict")] == [0.0, 1.0, 2.0, 1.0, 3.0, 1.0]
+    hits = rows(kernels.in_batch(series(spark, [1, 0, 0, 1, 1, 1]), "k", ["i"], "x", kernels.rollback_monitor(3, 0.5, 3)).orderBy("i"), "rollback")
+    assert [h for (h,) in hits] == [0.0, 0.0, 1.0, 1.0, 1.0, 1.0]
+
+
+def test_hotelling_needs_a_regular_covariance(spark):
+    from heliograin.operators import monitoring
+
+    df = spark.createDataFrame([(float(i), 2.0 * i) for i in range(5)], "a double, b double")
+    with pytest.raises(ValueError):
+        monitoring.hotelling(df, df, ["a", "b"], 3.0)
