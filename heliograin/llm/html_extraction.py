@@ -12,8 +12,9 @@ form, notice, comment and the like.
 
 Wrappers are merged where the pages are read, then by host and a salt, then by
 host: a host with a third of all pages sends one small tree from each task.
-Pages meet the wrapper of their host by a join that Spark may split for large
-hosts; wrappers hold no text.
+Pages meet the ways of their host by a broadcast while all ways are small, and
+else by a shuffled join that leaves out the few large hosts, whose ways are
+broadcast; ways hold no text.
 
 Defined results: a null or empty html gives the empty text; a page without its
 wrapper's regions is read by a wrapper of its own; a null or unreadable url
@@ -35,6 +36,9 @@ from . import page_parts as P
 #: Hosts whose wrappers a task holds before it sends them on.
 HELD_HOSTS = 2000
 SALTS = 16
+#: Regions of all hosts are broadcast up to this size; beyond it those of hosts with over 1 / HOT_HOSTS of the pages.
+BROADCAST_BYTES = 8 << 20
+HOT_HOSTS = 200
 _WRAPPER = "host string, pages long, wrapper string"
 
 
@@ -83,7 +87,7 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
 def _regions(batches):
     for b in batches:
         made = [json.dumps(P.regions(json.loads(w), n), separators=(",", ":")) for n, w in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.string())], ["of", "regions"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.string())], ["of", "pages", "regions"])
 
 
 def article(page: str | None, regions: list | None) -> str:
@@ -110,11 +114,30 @@ def _extracted(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], ["id", "url", "text"])
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def _with_regions(read: DataFrame, ways: DataFrame, most_bytes: int) -> DataFrame:
+    """``read`` with its hosts' regions. Ways of up to ``most_bytes`` are broadcast.
+
+    Beyond that only those of hosts with over 1 / HOT_HOSTS of all pages are,
+    which are fewer than HOT_HOSTS; pages of all other hosts meet theirs by a
+    shuffled join, in which no host is large.
+    """
+    size = F.octet_length("of") + F.octet_length("regions")
+    total = ways.agg(F.sum("pages").alias("pages"), F.sum(size).alias("bytes")).first()
+    slim = ways.select("of", "regions")
+    if (total["bytes"] or 0) <= most_bytes:
+        return read.join(F.broadcast(slim), F.col("host") == F.col("of"), "left")
+    large = ways.withColumn("hot", F.col("pages") > total["pages"] / HOT_HOSTS)
+    hot, rest = large.filter("hot").select("of", "regions"), large.filter("not hot").select("of", "regions")
+    met = read.join(F.broadcast(hot), F.col("host") == F.col("of"), "left")
+    apart = met.filter("of is null").drop("of", "regions").join(rest.hint("merge"), F.col("host") == F.col("of"), "left")
+    return met.filter("of is not null").unionByName(apart)
+
+
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", most_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Rows (id, url, text), a row for each page."""
-    ways = C.cut(wrappers(pages, url_col, html_col).mapInArrow(_regions, "of string, regions string"))
+    ways = C.cut(wrappers(pages, url_col, html_col).mapInArrow(_regions, "of string, pages long, regions string"))
     read = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
-    return read.join(ways, F.col("host") == F.col("of"), "left").select("id", "url", "html", "regions").mapInArrow(_extracted, "id long, url string, text string")
+    return _with_regions(read, ways, most_bytes).select("id", "url", "html", "regions").mapInArrow(_extracted, "id long, url string, text string")
 
 
 def op1_html_extraction(spark, sf_dir: str) -> DataFrame:

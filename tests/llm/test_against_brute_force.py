@@ -249,6 +249,14 @@ def test_op1_without_article_elements(spark):
     assert got == {k: f"First {k} words that are long enough é\na{k}\nb{k}\nLast bold" for k in range(5)}
 
 
+def test_op1_ways_beyond_the_broadcast_size_give_the_same_texts(spark, data):
+    from heliograin.llm import html_extraction
+
+    pages = common.table(spark, data, "pages")
+    want = sorted(map(tuple, html_extraction.extract(pages).collect()))
+    assert sorted(map(tuple, html_extraction.extract(pages, most_bytes=0).collect())) == want
+
+
 def test_op1_expressions_fold_repeats_and_options():
     tree = lambda s: page_parts.expression(page_parts.parse(s))
     a, b = tree("<dl><dt>1<dd>2<dt>3<dd>4</dl><p>x</p>"), tree("<dl><dt>1<dd>2</dl><hr><p>y</p><p>z</p>")
