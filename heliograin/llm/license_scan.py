@@ -5,10 +5,8 @@ whole. Units and licence templates are normalised alike (lower case, every run
 of characters other than letters and digits as one space) and compared as sets
 of word bigrams: 2 * |both| / (|a| + |b|). A Dice coefficient of t needs set
 sizes within a factor of t / (2 - t) of each other, so a unit meets only the
-templates within those bounds; units outside the bounds of all templates are
-dropped before any bigram is made (by the number of words, as a set cannot
-hold more bigrams than the text; a unit with repeats may be longer, which the
-lower bound alone tests).
+templates within those bounds. Before any bigram is made, units with too few
+words for every template are dropped, and those without a word that every match must hold.
 
 Only DataFrame functions are used and nothing is joined or shuffled but the
 final grouping by document of units that match. Templates are literals of the
@@ -22,9 +20,10 @@ gives an empty result; further columns are ignored whatever their names.
 
 from __future__ import annotations
 
+import math
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -32,6 +31,9 @@ from . import common as C
 THRESHOLD = 0.8
 MOST_TEMPLATES = 500
 
+# Words that ordinary prose is full of.
+COMMON = {"a", "and", "any", "are", "as", "at", "by", "can", "either", "except", "following", "in", "is", "it", "may", "not", "of", "or", "that", "the", "this", "to", "under", "use", "with", "without", "you", "your"}
+
 # Customary licence notices, one template a text; a name may have several.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -51,20 +53,29 @@ TEMPLATES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 ]
 
-_OTHER = r"[^\p{L}\p{N}]+"
-
-
-def _normal(column: Column) -> Column:
-    return F.btrim(F.regexp_replace(F.lower(column), _OTHER, " "), F.lit(" "))
-
-
 def _template_bigrams(text: str) -> list[str]:
     w = re.sub(r"[^a-z0-9]+", " ", text.lower()).split()
     return sorted({f"{a} {b}" for a, b in zip(w, w[1:])})
 
 
+def telling_words(grams: list[str], threshold: float) -> set[str]:
+    """Words of which any unit that reaches the threshold holds at least one.
+
+    Such a unit shares threshold / (2 - threshold) of the template's bigrams, so
+    it can't lack all bigrams of a set that is larger than the rest. Words are
+    taken, common ones last and longest first, until the bigrams with one of them are such a set.
+    """
+    spare = len(grams) - math.ceil(len(grams) * threshold / (2 - threshold) - 1e-9)
+    taken: set[str] = set()
+    for word in sorted({w for g in grams for w in g.split()}, key=lambda w: (w in COMMON, -len(w), w)):
+        taken.add(word)
+        if sum(1 for g in grams if not taken.isdisjoint(g.split())) > spare:
+            break
+    return taken
+
+
 def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=None, threshold: float = THRESHOLD) -> DataFrame:
-    """Rows (id, unit, license, dice, line): a row for each unit that reaches the threshold, with its best template.
+    """Rows (id, unit, license, dice): a row for each unit that reaches the threshold, with its best template.
 
     ``unit`` numbers the document's lines from 1; 0 is the text as a whole.
     """
@@ -75,18 +86,18 @@ def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tem
     ratio = threshold / (2 - threshold)
     bounds = [(len(g) * ratio, len(g) / ratio) for _, g in made]
     least, most = min(b[0] for b in bounds), max(b[1] for b in bounds)
-    text = F.col(text_col).cast("string")
-    lines = F.split(text, "\n", -1)
-    cased = docs.select(F.col(id_col).alias("id"), F.when(F.size(lines) > 1, F.concat(F.array(text), lines)).otherwise(F.concat(F.array(F.lit(None).cast("string")), lines)).alias("units"))
-    units = (
-        cased.select("id", F.posexplode("units").alias("unit", "line"))
-        .filter(F.col("line").isNotNull())
-        .select("id", "unit", "line", F.split(_normal(F.col("line")), " ").alias("w"))
-        .filter(F.size("w") - 1 >= least)
-    )
+    words = sorted(set().union(*(telling_words(g, threshold) for _, g in made)))
+    normal = F.regexp_replace(F.lower(F.col(text_col).cast("string")), r"[^\p{L}\p{N}\n]+", " ")
+    # what a generator makes is a column of its own: filters on it aren't pushed below as copies of its expression
+    column = lambda c, name: F.explode_outer(F.array(c)).alias(name)
+    cased = docs.select(F.col(id_col).alias("id"), column(normal, "body")).filter("body is not null")
+    lines = F.split("body", "\n", -1)
+    units = F.concat(F.array(F.when(F.instr("body", "\n") > 0, F.translate("body", "\n", " "))), lines)
+    units = cased.select("id", F.posexplode_outer(F.transform(units, lambda u: F.split(F.btrim(u, F.lit(" ")), " +"))).alias("unit", "w"))
+    units = units.filter(F.col("w").isNotNull() & (F.size("w") - 1 >= least) & F.arrays_overlap("w", F.array(*map(F.lit, words))))
     count = F.size("w") - 1
     grams = F.array_distinct(F.zip_with(F.slice("w", F.lit(1), count), F.slice("w", F.lit(2), count), lambda a, b: F.concat(a, F.lit(" "), b)))
-    sized = units.select("id", "unit", "line", grams.alias("grams")).filter(F.size("grams").between(least, most))
+    sized = units.select("id", "unit", column(grams, "grams")).filter(F.size("grams").between(least, most))
     scores = [
         F.when(
             F.size("grams").between(lo, hi),
@@ -99,11 +110,7 @@ def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tem
         for k, ((name, g), (lo, hi)) in enumerate(zip(made, bounds))
     ]
     best = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    return (
-        sized.select("id", "unit", "line", best.alias("best"))
-        .filter(F.col("best.dice") >= threshold)
-        .select("id", "unit", F.col("best.license").alias("license"), F.col("best.dice").alias("dice"), "line")
-    )
+    return sized.select("id", "unit", column(best, "best")).filter(F.col("best.dice") >= threshold).select("id", "unit", F.col("best.license").alias("license"), F.col("best.dice").alias("dice"))
 
 
 def op7_license_scan(spark, sf_dir: str) -> DataFrame:
