@@ -179,3 +179,26 @@ def batches(df: DataFrame, order: list, size: int, drop_last: bool = False) -> D
 
 def pad(sample: Column, length: int, fill: float = 0.0) -> Column:
     return F.slice(F.concat(sample, F.array_repeat(F.lit(fill), length)), 1, length)
+
+
+def contaminate(df: DataFrame, id_col: str, value: str, rate: float, size: float, seed: int = 0) -> DataFrame:
+    """``df`` with seeded spikes of ``size`` added to a share of the values, and the manifest column spiked."""
+    hit = chance(id_col, seed=seed) < rate
+    return df.withColumn("spiked", hit).withColumn(value, F.when(hit, F.col(value) + size).otherwise(F.col(value)))
+
+
+def isotonic_blocks(df: DataFrame, x: str, y: str, bins: int) -> DataFrame:
+    """Rows (bin, fit): the isotonic fit of equal-width bin means, max over starts of min over ends of pooled means.
+
+    The data are reduced to ``bins`` sums first; the pairs of bins are bounded by that parameter.
+    """
+    ends = df.agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
+    at = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col(x) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1))).otherwise(0)
+    b = df.join(F.broadcast(ends), how="cross").groupBy(at.alias("bin")).agg(F.sum(y).alias("s"), F.count(y).alias("n"))  # one row
+    w = W.orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
+    c = b.select("bin", F.sum("s").over(w).alias("cs"), F.sum("n").over(w).alias("cn"), F.coalesce(F.sum("s").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)).alias("bs"), F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("bn"))
+    start = c.select(F.col("bin").alias("i"), "bs", "bn")
+    end = c.select(F.col("bin").alias("j"), "cs", "cn")
+    pooled = start.join(end, F.col("i") <= F.col("j")).withColumn("m", (F.col("cs") - F.col("bs")) / (F.col("cn") - F.col("bn")))
+    low = pooled.withColumn("low", F.min("m").over(W.partitionBy("i").orderBy("j").rowsBetween(0, W.unboundedFollowing)))
+    return low.groupBy(F.col("j").alias("bin")).agg(F.max("low").alias("fit"))

@@ -191,3 +191,16 @@ def idw(neighbours: DataFrame, values: DataFrame, id_col: str, value: str, power
     near = F.min_by(F.when(F.col("distance") < 1e-12, F.col("v")), "rank")
     far = F.sum(F.when(F.col("distance") >= 1e-12, w * F.col("v"))) / F.sum(F.when(F.col("distance") >= 1e-12, w))
     return v.groupBy("id").agg(F.coalesce(near, far).alias("idw"))
+
+
+def local_outliers(neighbours: DataFrame, values: DataFrame, id_col: str, value: str, k: float) -> DataFrame:
+    """Rows (id, keep): within k population deviations of the neighbours' mean; kept where they don't vary or there are none."""
+    v = values.select(F.col(id_col).alias("id"), F.col(value).alias("own"))
+    near = neighbours.join(values.select(F.col(id_col).alias("near"), F.col(value).alias("v")), "near").groupBy("id").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
+    keep = F.when(F.col("s").isNull() | (F.col("s") < 1e-12), True).otherwise(F.abs(F.col("own") - F.col("m")) / F.col("s") <= k)
+    return v.join(near, "id", "left").select("id", keep.alias("keep"))
+
+
+def packets_in(packets: DataFrame, time: str, start: float, end: float) -> DataFrame:
+    """Packets of the half-open window [start, end)."""
+    return packets.filter((F.col(time) >= start) & (F.col(time) < end))

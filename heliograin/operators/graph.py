@@ -109,3 +109,19 @@ def page_rank(edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> Data
         if k % 5 == 4:
             rank = cut(rank)
     return rank
+
+
+def neighbours(edges: DataFrame) -> DataFrame:
+    """Rows (src, relation, targets): each node's sorted neighbours by relation of typed edges (src, relation, dst)."""
+    return edges.groupBy("src", "relation").agg(F.array_sort(F.collect_set("dst")).alias("targets"))
+
+
+def relations_between(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rows (src, dst, relation) of the typed edges between given pairs (src, dst)."""
+    return pairs.join(edges, ["src", "dst"]).select("src", "dst", "relation").distinct()
+
+
+def rerank_by_ancestry(hits: DataFrame, ancestors: DataFrame, boost: float) -> DataFrame:
+    """Hits (query, id, score) with scores raised for ids that are ancestors of the query's node: (src, dst, hops)."""
+    a = ancestors.select(F.col("dst").alias("query"), F.col("src").alias("id"), F.col("hops"))
+    return hits.join(a, ["query", "id"], "left").withColumn("score", F.col("score") * (1 + F.coalesce(boost / F.col("hops"), F.lit(0.0)))).drop("hops")

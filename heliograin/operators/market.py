@@ -178,3 +178,22 @@ def candle_patterns(df: DataFrame, keys: list[str], order: list[str]) -> DataFra
         "three_black_crows": (c2 < o2) & (c1 < o1) & (c < o) & (c1 < c2) & (c < c1),
     }
     return df.withColumn("patterns", F.array_compact(F.array(*[F.when(rule, F.lit(n)) for n, rule in rules.items()])))
+
+
+def schedule(df: DataFrame, keys: list[str], weight: Column, quantity: float) -> DataFrame:
+    """``df`` with child: the part of an order for each row, by weight (negative ones clipped); equal parts where all weights vanish."""
+    w = W.partitionBy(*keys)
+    clipped = F.greatest(weight, F.lit(0.0))
+    total = F.sum(clipped).over(w)
+    return df.withColumn("child", F.when(total > 1e-12, quantity * clipped / total).otherwise(quantity / F.count(F.lit(1)).over(w)))
+
+
+def hurst(df: DataFrame, keys: list[str], order: list[str], x: str, sizes: list[int]) -> DataFrame:
+    """Slope of log rescaled range over log block size, whole blocks of each size only."""
+    numbered = df.select(*keys, F.col(x).alias("_x"), (F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1).alias("_i"))
+    each = numbered.withColumn("_n", F.explode(F.array(*map(F.lit, sizes)))).withColumn("_b", F.floor(F.col("_i") / F.col("_n")))
+    block = W.partitionBy(*keys, "_n", "_b")
+    off = each.withColumn("_d", F.col("_x") - F.avg("_x").over(block)).withColumn("_s", F.sum("_d").over(block.orderBy("_i").rowsBetween(W.unboundedPreceding, 0)))
+    rs = off.groupBy(*keys, "_n", "_b").agg(F.count(F.lit(1)).alias("_c"), (F.max("_s") - F.min("_s")).alias("_r"), F.stddev_pop("_x").alias("_sd")).filter("_c = _n and _sd > 0")
+    mean = rs.groupBy(*keys, "_n").agg(F.avg(F.col("_r") / F.col("_sd")).alias("_rs"))
+    return mean.groupBy(*keys).agg((F.covar_pop(F.log("_rs"), F.log("_n")) / F.var_pop(F.log("_n"))).alias("hurst"))

@@ -44,7 +44,7 @@ def candles(spark, d) -> DataFrame:
     """Daily candles of order prices by priority: symbol, day, open, high, low, close, volume."""
     o = table(spark, d, "orders").withColumn("symbol", F.col("o_orderpriority"))
     c = market.candles(o, ["symbol"], F.datediff("o_orderdate", F.lit("1970-01-01")), "o_totalprice", (F.col("o_custkey") % 100).cast("double"), ["o_orderkey"])
-    return c.withColumnRenamed("bucket", "day")
+    return c.withColumnRenamed("bucket", "day").withColumn("day", F.col("day").cast("long"))
 
 
 CANDLES = """candles AS (

@@ -151,3 +151,17 @@ def datasets_batches(spark, d):
 def datasets_padding(spark, d):
     e = table(spark, d, "embeddings").withColumn("v", datasets.pad(F.slice(F.col("embedding").cast("array<double>"), 1, 40), 80))
     return rounded(e.select("vec_id", F.aggregate("v", F.lit(0.0), lambda a, x: a + x).alias("total"), F.size("v").alias("length")))
+
+
+@query(f"WITH u AS (SELECT o_orderkey, o_totalprice, {CHANCE.format(seed=11, c='o_orderkey')} < 0.05 AS spiked FROM orders) SELECT o_orderkey, spiked, round(o_totalprice + CASE WHEN spiked THEN 1000000 ELSE 0 END, 2) AS o_totalprice FROM u")
+def datasets_contaminate(spark, d):
+    c = datasets.contaminate(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", "o_totalprice", 0.05, 1000000.0, 11)
+    return rounded(c, 2)
+
+
+@query(
+    "WITH e AS (SELECT min(p_size)::DOUBLE AS lo, max(p_size)::DOUBLE AS hi FROM part), b AS (SELECT least(floor((p_size - lo) / (hi - lo) * 10), 9)::BIGINT AS bin, sum(p_retailprice) AS s, count(*) AS n FROM part, e GROUP BY ALL), p AS (SELECT i.bin AS i, j.bin AS j, (SELECT sum(s) / sum(n) FROM b WHERE bin BETWEEN i.bin AND j.bin) AS m FROM b i JOIN b j ON i.bin <= j.bin), "
+    "l AS (SELECT i, j, min(m) OVER (PARTITION BY i ORDER BY j ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS low FROM p) SELECT j AS bin, round(max(low), 4) AS fit FROM l GROUP BY ALL"
+)
+def datasets_isotonic(spark, d):
+    return rounded(datasets.isotonic_blocks(table(spark, d, "part"), "p_size", "p_retailprice", 10))

@@ -148,7 +148,7 @@ def _points(spark, d):
     return table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") * 7 % 50).cast("double").alias("x"), (F.col("s_suppkey") * 13 % 50).cast("double").alias("y"), F.col("s_acctbal").alias("v"))
 
 
-@query(f"{NEAR} SELECT id, near, round(dist, 4) AS distance, rank FROM k")
+@query(f"{NEAR} SELECT id, near, round(dist, 4) AS distance, rank::INT AS rank FROM k")
 def flows_grid_neighbours(spark, d):
     p = _points(spark, d)
     return rounded(flows.grid_neighbours(p, p, "x", "y", 8.0, 4, "id"))
@@ -158,3 +158,16 @@ def flows_grid_neighbours(spark, d):
 def flows_idw(spark, d):
     p = _points(spark, d)
     return rounded(flows.idw(flows.grid_neighbours(p, p, "x", "y", 8.0, 4, "id"), p, "id", "v"))
+
+
+@query(f"{NEAR}, m AS (SELECT id, avg(v) AS m, stddev_pop(v) AS s FROM k GROUP BY ALL) SELECT pts.id, CASE WHEN s IS NULL OR s < 1e-12 THEN true ELSE abs(pts.v - m) / s <= 1.5 END AS keep FROM pts LEFT JOIN m ON pts.id = m.id")
+def flows_local_outliers(spark, d):
+    p = _points(spark, d)
+    return flows.local_outliers(flows.grid_neighbours(p, p, "x", "y", 8.0, 4, "id"), p, "id", "v", 1.5)
+
+
+@query("SELECT event_id FROM events WHERE epoch_us(ts) / 1e6 >= 1704500000 AND epoch_us(ts) / 1e6 < 1704600000")
+def flows_packet_window(spark, d):
+    from heliograin.plans.base import events
+
+    return flows.packets_in(events(spark, d), "t", 1704500000.0, 1704600000.0).select("event_id")

@@ -59,7 +59,7 @@ def graph_unreachable(spark, d):
     return graph.unreachable(table(spark, d, "customer").select(F.col("c_custkey").alias("node")), _tree(spark, d), spark.createDataFrame([(5,)], "node long"))
 
 
-@query("SELECT unnest([0, 1, 3, 11, 35]) AS node, unnest(range(5))::INT AS place")
+@query("SELECT unnest([0, 1, 3, 11, 35])::BIGINT AS node, unnest(range(5))::INT AS place")
 def graph_shortest_path(spark, d):
     path = graph.shortest_path(_tree(spark, d), 0, 35)
     return spark.createDataFrame([(int(n), k) for k, n in enumerate(path)], "node long, place int")
@@ -73,3 +73,35 @@ def graph_page_rank(spark, d):
 @query(f"WITH {LINEAGE} SELECT src, dst FROM edges")
 def graph_checked_edges(spark, d):
     return graph.check_edges(_lineage(spark, d))
+
+
+TYPED = "typed AS (SELECT 'n' || n_nationkey AS src, 'in' AS relation, 'r' || n_regionkey AS dst FROM nation UNION SELECT 's' || s_suppkey, 'of', 'n' || s_nationkey FROM supplier UNION SELECT 'n' || s_nationkey, 'has', 's' || s_suppkey FROM supplier)"
+
+
+def _typed(spark, d):
+    n, s = table(spark, d, "nation"), table(spark, d, "supplier")
+    rows = [
+        n.select(F.concat(F.lit("n"), "n_nationkey").alias("src"), F.lit("in").alias("relation"), F.concat(F.lit("r"), "n_regionkey").alias("dst")),
+        s.select(F.concat(F.lit("s"), "s_suppkey").alias("src"), F.lit("of").alias("relation"), F.concat(F.lit("n"), "s_nationkey").alias("dst")),
+        s.select(F.concat(F.lit("n"), "s_nationkey").alias("src"), F.lit("has").alias("relation"), F.concat(F.lit("s"), "s_suppkey").alias("dst")),
+    ]
+    return rows[0].union(rows[1]).union(rows[2]).distinct()
+
+
+@query(f"WITH {TYPED} SELECT src, relation, string_agg(dst, ',' ORDER BY dst) AS targets FROM typed GROUP BY ALL")
+def graph_neighbours(spark, d):
+    return graph.neighbours(_typed(spark, d)).withColumn("targets", F.array_join("targets", ","))
+
+
+@query(f"WITH {TYPED} SELECT src, dst, relation FROM typed WHERE src LIKE 'n1%' AND dst LIKE 's%'")
+def graph_relations_between(spark, d):
+    t = _typed(spark, d)
+    return graph.relations_between(t, t.filter("src like 'n1%' and dst like 's%'").select("src", "dst").distinct())
+
+
+@query(f"{UP}, h AS (SELECT c_custkey AS query, c_custkey // 3 AS id, 1.0::DOUBLE AS score FROM customer WHERE c_custkey > 0 AND c_custkey % 20 = 0 UNION ALL SELECT c_custkey, c_custkey // 9, 1.0 FROM customer WHERE c_custkey > 8 AND c_custkey % 20 = 0) SELECT query, id, round(score * (1 + coalesce(0.5 / hops, 0)), 6) AS score FROM h LEFT JOIN up ON up.dst = query AND up.src = id")
+def graph_rerank(spark, d):
+    c = table(spark, d, "customer").filter("c_custkey > 0 and c_custkey % 20 = 0")
+    one = c.select(F.col("c_custkey").alias("query"), F.floor(F.col("c_custkey") / 3).alias("id"), F.lit(1.0).alias("score"))
+    two = c.filter("c_custkey > 8").select(F.col("c_custkey").alias("query"), F.floor(F.col("c_custkey") / 9).alias("id"), F.lit(1.0).alias("score"))
+    return rounded(graph.rerank_by_ancestry(one.union(two), graph.closure(_tree(spark, d)), 0.5), 6)

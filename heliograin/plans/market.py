@@ -123,3 +123,17 @@ def market_correlations(spark, d):
 @query(f"WITH {RET}, v AS (SELECT symbol, 1 / stddev_samp(ret) AS w FROM r GROUP BY ALL) SELECT symbol, round(w / sum(w) OVER (), 6) AS weight FROM v")
 def market_inverse_risk_weights(spark, d):
     return rounded(market.inverse_risk_weights(_returns(spark, d), "symbol", "ret"), 6)
+
+
+@query(f"WITH {CANDLES} SELECT symbol, day, round(10000 * (volume - 100) * (volume > 100)::INT / sum((volume - 100) * (volume > 100)::INT) OVER (PARTITION BY symbol), 6) + 0.0 AS child FROM candles")
+def market_schedule(spark, d):
+    return rounded(market.schedule(candles(spark, d), K, F.col("volume") - 100, 10000.0).select("symbol", "day", "child"), 6)
+
+
+@query(
+    f"WITH {RET}, i AS (SELECT symbol, ret, row_number() OVER (PARTITION BY symbol ORDER BY day) - 1 AS i FROM r WHERE ret IS NOT NULL), b AS (SELECT symbol, n, i // n AS b, i, ret, ret - avg(ret) OVER (PARTITION BY symbol, n, i // n) AS dv FROM i, (SELECT unnest([8, 16, 32, 64]) AS n)), "
+    "s AS (SELECT *, sum(dv) OVER (PARTITION BY symbol, n, b ORDER BY i ROWS UNBOUNDED PRECEDING) AS s FROM b), q AS (SELECT symbol, n, b, (max(s) - min(s)) / stddev_pop(ret) AS rs FROM s GROUP BY ALL HAVING count(*) = n AND stddev_pop(ret) > 0), m AS (SELECT symbol, n, avg(rs) AS rs FROM q GROUP BY ALL) "
+    "SELECT symbol, round(covar_pop(ln(rs), ln(n)) / var_pop(ln(n)), 6) AS hurst FROM m GROUP BY ALL"
+)
+def market_hurst(spark, d):
+    return rounded(market.hurst(_returns(spark, d).filter("ret is not null"), K, O, "ret", [8, 16, 32, 64]), 6)

@@ -74,7 +74,7 @@ def monitoring_miner_damage(spark, d):
     return rounded(monitoring.miner_damage(li, ["l_returnflag"], "s", "l_linenumber", 1e6, 3.0), 6)
 
 
-@query("SELECT p_partkey, round(p_size * 4 * (1 - 0.2), 6) AS bpfo, round(p_size * 4 * (1 + 0.2), 6) AS bpfi, round(p_size * 2.5 * (1 - 0.04), 6) AS bsf, round(p_size * (1 - 0.2) / 2, 6) AS ftf FROM part")
+@query("SELECT p_partkey, round(p_size * 4 * (1 - 0.2::DOUBLE), 6) AS bpfo, round(p_size * 4 * (1 + 0.2::DOUBLE), 6) AS bpfi, round(p_size * 2.5::DOUBLE * (1 - 0.04::DOUBLE), 6) AS bsf, round(p_size * (1 - 0.2::DOUBLE) / 2, 6) AS ftf FROM part")
 def monitoring_bearing_frequencies(spark, d):
     f = monitoring.bearing_frequencies(F.col("p_size"), 8, 10.0, 50.0)
     return rounded(table(spark, d, "part").select("p_partkey", *[c.alias(n) for n, c in f.items()]), 6)

@@ -147,3 +147,9 @@ def state_hourly(spark, d):
 def state_sessions(spark, d):
     s = windows.sessions(events(spark, d), "ts", "user_id")
     return s.select("user_id", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "n")
+
+
+@query()
+def state_adaptive_alpha(spark, d):
+    e = events(spark, d).withColumn("miss", (F.col("value") > 90).cast("double"))
+    return rounded(kernels.in_batch(e, "user_id", ["t", "event_id"], "miss", kernels.adaptive_alpha(0.1, 0.02), ["event_id"]))

@@ -48,7 +48,7 @@ def tabular_with_column(spark, d):
     return frame.with_new_column(table(spark, d, "customer").select("c_custkey", "c_acctbal"), "doubled", F.col("c_acctbal") * 2)
 
 
-@query("SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS place FROM supplier")
+@query("SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey)::INT AS place FROM supplier")
 def tabular_sort_double(spark, d):
     from pyspark.sql import Window as W
 

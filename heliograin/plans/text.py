@@ -178,3 +178,30 @@ def text_bloom_members(spark, d):
     o = table(spark, d, "orders").select("o_custkey").distinct()
     bits = text.bloom_bits(o, F.col("o_custkey"), 1 << 16, 5)
     return text.bloom_contains(o, F.col("o_custkey"), "maybe", bits, 1 << 16, 5).select(F.col("o_custkey").alias("id"), "maybe")
+
+
+@query(
+    f"WITH b AS (SELECT item_id, {TOKENS.format(c='text')} AS w FROM benchmark), i AS (SELECT w, unnest(range(1, len(w) + 1)) AS i FROM b), e AS (SELECT w[i] AS src, unnest(w[i + 1:i + 3]) AS dst FROM i), x AS (SELECT * FROM e WHERE src <> dst), u AS (SELECT src, dst FROM x UNION ALL SELECT dst, src FROM x) SELECT src, dst, count(*) AS n FROM u GROUP BY ALL"
+)
+def text_cooccurrences(spark, d):
+    return text.cooccurrences(table(spark, d, "benchmark"), "item_id", text.alphanumeric_tokens(F.col("text")), 3)
+
+
+@query()
+def text_rank(spark, d):
+    from heliograin.operators import graph
+
+    edges = text.cooccurrences(table(spark, d, "benchmark"), "item_id", text.alphanumeric_tokens(F.col("text")), 3).select("src", "dst")
+    return rounded(graph.page_rank(edges, rounds=15), 8)
+
+
+@query(
+    f"WITH {COUNTS}, f0 AS (SELECT term, count(*) AS df FROM counts GROUP BY ALL), f AS (SELECT term, df, row_number() OVER (ORDER BY df DESC, term) AS place FROM f0 QUALIFY place <= 12), t AS (SELECT (place % 3)::INT AS topic, place, term, df FROM f), p AS (SELECT id, topic, place, t.term, df FROM counts JOIN t USING (term)), "
+    "co AS (SELECT a.topic, a.term AS ta, b.term AS tb, b.df AS df, count(*) AS co FROM p a JOIN p b ON a.id = b.id AND a.topic = b.topic AND a.place < b.place GROUP BY ALL) SELECT topic, round(avg(ln((co + 1) / df)), 6) + 0.0 AS coherence FROM co GROUP BY ALL"
+)
+def text_coherence(spark, d):
+    from pyspark.sql import Window as W
+
+    c = _counts(spark, d)
+    v = text.vocabulary(c).withColumn("place", F.row_number().over(W.orderBy(F.col("df").desc(), "term"))).filter("place <= 12")  # a vocabulary
+    return rounded(text.coherence(c, v.select((F.col("place") % 3).alias("topic"), "term", "place")), 6)

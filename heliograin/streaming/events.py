@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 def count_windows(df: DataFrame, keys: list[str], order: list[str], value: str, size: int, stride: int) -> DataFrame:
     """Rows (keys, window, start, n, sum, max): sliding windows by row count; the incomplete tail is dropped."""
-    numbered = df.withColumn("_i", F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1)
+    numbered = df.withColumn("_i", (F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1).cast("long"))
     first = F.greatest(F.ceil((F.col("_i") - size + 1) / stride), F.lit(0)).cast("long")
     each = numbered.withColumn("window", F.explode(F.when(first <= F.floor(F.col("_i") / stride), F.sequence(first, F.floor(F.col("_i") / stride).cast("long")))))
     w = each.groupBy(*keys, "window").agg(F.min("_i").alias("start"), F.count(F.lit(1)).alias("n"), F.sum(value).alias("sum"), F.max(value).alias("max"))
