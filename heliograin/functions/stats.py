@@ -36,8 +36,10 @@ def describe(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, points: list[float]) -> DataFrame:
+    """One column for each point (clamped to 0..1), from one percentile aggregate."""
     points = [min(1.0, max(0.0, p)) for p in points]
-    return df.groupBy(*keys).agg(*[F.percentile(value, F.lit(p)).alias(f"q{round(p * 1000):04d}") for p in points])
+    all_ = df.groupBy(*keys).agg(F.percentile(value, F.array(*map(F.lit, points))).alias("_q"))
+    return all_.select(*keys, *[F.col("_q")[k].alias(f"q{round(p * 1000):04d}") for k, p in enumerate(points)])
 
 
 def iqr(value: str) -> Column:
