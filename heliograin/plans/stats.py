@@ -52,9 +52,9 @@ def stats_weighted_median(spark, d):
     return rounded(stats.weighted_median(table(spark, d, "customer"), ["c_mktsegment"], "c_acctbal", "c_custkey", "c_custkey"))
 
 
-@query("WITH m AS (SELECT o_orderpriority, o_orderkey % 9 AS b, avg(o_totalprice) AS m FROM orders GROUP BY ALL) SELECT o_orderpriority, round(median(m), 4) AS median_of_means FROM m GROUP BY ALL")
+@query("WITH m AS (SELECT o_orderpriority, o_orderkey % 9 AS b, avg(o_totalprice) AS m FROM orders GROUP BY ALL) SELECT o_orderpriority, round(median(m), 7) AS median_of_means FROM m GROUP BY ALL")
 def stats_median_of_means(spark, d):
-    return rounded(stats.median_of_means(table(spark, d, "orders"), ["o_orderpriority"], "o_totalprice", "o_orderkey", 9))
+    return rounded(stats.median_of_means(table(spark, d, "orders"), ["o_orderpriority"], "o_totalprice", "o_orderkey", 9), 7)
 
 
 @query("SELECT o_orderpriority, round((avg(o_totalprice) - 100000) / (stddev_samp(o_totalprice) / sqrt(count(*))), 4) AS t, count(*) - 1 AS dof FROM orders GROUP BY ALL")
