@@ -1,19 +1,31 @@
 """Vector and text retrieval: exact and indexed top-k, BM25, rank fusion, ranking metrics.
 
 Queries are a stated set of rows; they meet all rows in blocks of matrix
-products (exact search), by hash buckets (LSH) or by cluster lists (IVF).
+products (exact search), by hash buckets (LSH) or by cluster lists (IVF). An
+index answers a query where it can be expected to reach ``RECALL``; LSH leaves
+the other queries to exact search, IVF probes as many lists as that takes.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from heliograin.sources.scratch import cut
+
+#: Expected share of the true top-k that an index search finds.
+RECALL = 0.9
 #: Queries that one pass over the rows takes along; more are dealt into passes.
 QUERY_BLOCK = 4096
+#: Rows of the largest LSH bucket that queries are joined with.
+BUCKET = 256
+#: Queries on which the number of probed lists is fitted.
+PROBE_QUERIES = 512
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -52,6 +64,11 @@ def dense_search(rows: DataFrame, queries: DataFrame, id_col: str, vector: str,
     Blocks of queries go to every batch of rows, which keeps its own k best of
     each query; the final ranking sees k rows from each batch, not all pairs.
     """
+    return _search(rows, queries, id_col, vector, k, None, 0)
+
+
+def _search(rows: DataFrame, queries: DataFrame, id_col: str, vector: str, k: int, centres: np.ndarray | None, probes: int) -> DataFrame:
+    """Top-k over all rows, or over the rows of each query's ``probes`` nearest centres."""
     spark = rows.sparkSession
     n = queries.count()
     passes = max(1, -(-n // QUERY_BLOCK))
@@ -60,17 +77,34 @@ def dense_search(rows: DataFrame, queries: DataFrame, id_col: str, vector: str,
         block = queries.filter(F.pmod(F.xxhash64(id_col), F.lit(passes)) == p).select(id_col, vector).toPandas()
         if not len(block):
             continue
-        held = spark.sparkContext.broadcast((block[id_col].to_numpy(), _matrix(block[vector])))
+        q = _matrix(block[vector])
+        asked = None
+        if centres is not None:
+            asked = np.zeros((len(q), len(centres)), bool)
+            np.put_along_axis(asked, np.argsort(-(q @ centres.T), axis=1, kind="stable")[:, :probes], True, 1)
+        held = spark.sparkContext.broadcast((block[id_col].to_numpy(), q, asked))
 
         def run(batches, held=held):
-            names, q = held.value
+            names, q, asked = held.value
             for b in batches:
                 if not len(b):
                     continue
-                ids, s = b[id_col].to_numpy(), q @ _matrix(b[vector]).T
-                m = min(k + 1, s.shape[1])  # one more, for the query itself
-                order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :m]
-                yield pd.DataFrame({"query": np.repeat(names, m), "id": ids[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})
+                ids, x = b[id_col].to_numpy(), _matrix(b[vector])
+                own = None if asked is None else (x @ centres.T).argmax(axis=1)
+                m = min(k + 1, len(ids))  # one more, for the query itself
+                for lo in range(0, len(q), 256):
+                    part = q[lo : lo + 256]
+                    if own is None:
+                        s = part @ x.T
+                    else:
+                        s = np.full((len(part), len(x)), -np.inf)
+                        for c in np.unique(own):
+                            at = np.ix_(np.flatnonzero(asked[lo : lo + 256, c]), np.flatnonzero(own == c))
+                            s[at] = part[at[0].ravel()] @ x[at[1].ravel()].T
+                    order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :m]
+                    score = np.take_along_axis(s, order, 1).ravel()
+                    made = pd.DataFrame({"query": np.repeat(names[lo : lo + 256], m), "id": ids[order].ravel(), "score": score})
+                    yield made[np.isfinite(score)]
 
         part = rows.select(F.col(id_col), F.col(vector)).mapInPandas(run, "query long, id long, score double").filter("query <> id")
         found = part if found is None else found.union(part)
@@ -99,11 +133,29 @@ def lsh_keys(rows: DataFrame, id_col: str, vector: str, dim: int, tables: int, b
     return src.mapInPandas(run, "id long, vector array<double>, table int, key long")
 
 
-def lsh_search(rows: DataFrame, queries: DataFrame, id_col: str, vector: str, dim: int, k: int, tables: int = 8, bits: int = 10) -> DataFrame:
-    """Approximate top-k: candidates share a bucket in some table; scores are exact."""
-    a = lsh_keys(queries, id_col, vector, dim, tables, bits).select(F.col("id").alias("query"), F.col("vector").alias("q"), "table", "key")
-    pairs = a.join(lsh_keys(rows, id_col, vector, dim, tables, bits), ["table", "key"]).filter("query <> id").dropDuplicates(["query", "id"])
-    return top_k(pairs.select("query", "id", cosine(F.col("q"), F.col("vector")).alias("score")), "query", "score", "id", k)
+def lsh_search(rows: DataFrame, queries: DataFrame, id_col: str, vector: str, dim: int, k: int, tables: int = 8, bits: int | None = None, recall: float = RECALL) -> DataFrame:
+    """Top-k with an expected recall of ``recall``: candidates share a bucket in some table; scores are exact.
+
+    A row at cosine c meets the query in some table with probability
+    1 - (1 - (1 - acos(c) / pi) ** bits) ** tables. A query for which that is less
+    than ``recall`` at its k-th score, that met fewer than k rows, or that has a bucket
+    of over ``BUCKET`` rows, is answered by exact search. Unless ``bits`` is given,
+    it is 10 or, for buckets of a few rows however many there are, more.
+    """
+    if bits is None:
+        bits = max(10, math.ceil(math.log2(max(rows.count(), 1) / 4)))
+    keys = cut(lsh_keys(rows, id_col, vector, dim, tables, bits).select("id", "table", "key"))
+    asked = lsh_keys(queries, id_col, vector, dim, tables, bits).select(F.col("id").alias("query"), "table", "key")
+    large = keys.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BUCKET)
+    busy = asked.join(large, ["table", "key"], "left_semi").select("query").distinct()
+    pairs = asked.join(busy, "query", "left_anti").join(keys, ["table", "key"]).filter("query <> id").select("query", "id").distinct()
+    pairs = pairs.join(queries.select(F.col(id_col).alias("query"), F.col(vector).alias("q")), "query").join(rows.select(F.col(id_col).alias("id"), F.col(vector).alias("v")), "id")
+    found = cut(top_k(pairs.select("query", "id", cosine(F.col("q"), F.col("v")).alias("score")), "query", "score", "id", k))
+    angle = F.acos(F.least(F.greatest(F.min("score"), F.lit(-1.0)), F.lit(1.0)))
+    meets = 1 - F.pow(1 - F.pow(1 - angle / np.pi, F.lit(bits)), F.lit(tables))
+    sure = found.groupBy("query").agg(F.count(F.lit(1)).alias("n"), meets.alias("meets")).filter((F.col("n") == k) & (F.col("meets") >= recall)).select("query")
+    left = queries.join(sure, queries[id_col] == sure["query"], "left_anti")
+    return found.join(sure, "query", "left_semi").unionByName(dense_search(rows, left, id_col, vector, k))
 
 
 def kmeans(sample: np.ndarray, lists: int, rounds: int = 10) -> np.ndarray:
@@ -117,26 +169,41 @@ def kmeans(sample: np.ndarray, lists: int, rounds: int = 10) -> np.ndarray:
     return centres
 
 
-def ivf_search(rows: DataFrame, queries: DataFrame, id_col: str, vector: str, k: int, lists: int = 32, probes: int = 8, sample_rows: int = 5000) -> DataFrame:
+def probes_for(x: np.ndarray, ids: np.ndarray, q: np.ndarray, asked: np.ndarray, centres: np.ndarray, k: int, recall: float) -> int:
+    """The least number of lists whose rows hold the share ``recall`` of the queries' top-k among ``x``, with two standard errors to spare.
+
+    The top-k of a sample lies farther off than that of all rows, and so in no fewer lists.
+    """
+    if not len(x) or not len(q):
+        return max(1, len(centres))
+    s = np.where(asked[:, None] == ids, -np.inf, q @ x.T)
+    top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+    order = np.argsort(-(q @ centres.T), axis=1, kind="stable")
+    place = np.argsort(order, axis=1)  # a list's place in the query's order
+    own = (x @ centres.T).argmax(axis=1)
+    at = np.take_along_axis(place, own[top], 1)
+    for p in range(1, len(centres)):
+        share = (at < p).mean(axis=1)
+        if share.mean() - 2 * share.std() / np.sqrt(len(share)) >= recall:
+            return p
+    return len(centres)
+
+
+def ivf_search(rows: DataFrame, queries: DataFrame, id_col: str, vector: str, k: int, lists: int = 32, probes: int | None = None, sample_rows: int = 5000, recall: float = RECALL) -> DataFrame:
     """Approximate top-k over cluster lists; with all lists probed the search is exact.
 
     Centres are fitted on the ``sample_rows`` rows of least hash; every row is indexed.
+    Unless ``probes`` is given, it is the number with which a sample of the queries
+    finds ``recall`` of its top-k among the sampled rows (``probes_for``).
     """
-    sample = rows.orderBy(F.xxhash64(id_col)).limit(sample_rows).select(vector).toPandas()
-    centres = kmeans(_matrix(sample[vector]), min(lists, len(sample)))
-
-    def listed(df: DataFrame, n: int) -> DataFrame:
-        def run(batches):
-            for b in batches:
-                near = np.argsort(-(_matrix(b["vector"]) @ centres.T), axis=1, kind="stable")[:, :n]
-                yield pd.DataFrame({"id": b["id"], "vector": b["vector"], "list": near.tolist()})
-
-        src = df.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("vector"))
-        return src.mapInPandas(run, "id long, vector array<double>, list array<long>").withColumn("list", F.explode("list"))
-
-    a = listed(queries, probes).select(F.col("id").alias("query"), F.col("vector").alias("q"), "list")
-    pairs = a.join(listed(rows, 1), "list").filter("query <> id")
-    return top_k(pairs.select("query", "id", cosine(F.col("q"), F.col("vector")).alias("score")), "query", "score", "id", k)
+    sample = rows.orderBy(F.xxhash64(id_col)).limit(sample_rows).select(id_col, vector).toPandas()
+    x = _matrix(sample[vector])
+    centres = kmeans(x, min(lists, len(sample)))
+    if probes is None:
+        asked = queries.orderBy(F.xxhash64(id_col)).limit(PROBE_QUERIES).select(id_col, vector).toPandas()
+        probes = probes_for(x, sample[id_col].to_numpy(), _matrix(asked[vector]), asked[id_col].to_numpy(), centres, k, recall)
+
+    return _search(rows, queries, id_col, vector, k, centres, probes)
 
 
 def bm25(counts: DataFrame, queries: DataFrame, n_docs: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from heliograin import catalog
 from heliograin.functions import stats
 from heliograin.operators import datasets, decimals, flows, frame, graph, market, retrieval, signal, text, windows
 from heliograin.sources import files
@@ -240,6 +241,26 @@ def test_index_recall_against_exact_search(spark):
     assert len(exact & ivf) / len(exact) >= 0.9
 
 
+@pytest.mark.parametrize("name", ["retrieval_lsh_top_k", "retrieval_ivf_top_k"])
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_registered_index_queries_reach_the_recall(spark, name, sf):
+    d = f"/root/testdata/{sf}"
+    exact = set(rows(catalog.QUERIES["retrieval_dense_top_k"](spark, d), "query", "id"))
+    found = set(rows(catalog.QUERIES[name](spark, d), "query", "id"))
+    assert len(exact & found) / len(exact) >= retrieval.RECALL
+
+
+def test_lsh_answers_near_neighbours_from_its_buckets(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = (rng.standard_normal((40, 1, 16)) + 0.05 * rng.standard_normal((40, 12, 16))).reshape(-1, 16)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    exact = set(rows(retrieval.dense_search(df, df, "id", "v", 5), "query", "id"))
+    left, search = [], retrieval.dense_search
+    monkeypatch.setattr(retrieval, "dense_search", lambda r, q, *a: (left.append(q.count()), search(r, q, *a))[1])
+    found = set(rows(retrieval.lsh_search(df, df, "id", "v", 16, 5), "query", "id"))
+    assert len(exact & found) / len(exact) >= 0.9 and left[0] < len(x) / 2
+
+
 def test_rank_fusion_and_zero_vectors(spark):
     ranked = spark.createDataFrame([(1, 7, 1), (1, 8, 2), (1, 8, 1)], "query long, id long, rank long")
     got = {i: s for _, i, s in rows(retrieval.rank_fusion(ranked))}
