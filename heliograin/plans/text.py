@@ -109,9 +109,7 @@ def text_naive_bayes(spark, d):
 
 @query()
 def text_minhash_links(spark, d):
-    bands, rows = text.bands_for(0.8, 32)
-    s = text.minhash(_docs(spark, d), "doc_id", text.alphanumeric_tokens(F.col("text")), 32)
-    return text.candidate_pairs(s, bands, rows)
+    return text.near_links(_docs(spark, d), "doc_id", text.alphanumeric_tokens(F.col("text")), 0.8)
 
 
 @query(

@@ -225,6 +225,31 @@ def test_minhash_links_equal_sets_and_stay_linear_in_buckets(spark):
     assert sorted(rows(links)) == sorted((i % 5, i) for i in range(5, 50))
 
 
+def test_minhash_links_query_against_brute_force(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    texts = [[f"w{k}" for k in rng.integers(0, 5000, 60)] for _ in range(60)]
+    for w in texts[:60]:
+        for cuts in (0, 1, 2):  # similarity 1, 0.84 and about 0.7
+            other = list(w)
+            for at in rng.choice(np.arange(5, 55), cuts, replace=False):
+                other[at] = "other"
+            texts.append(other)
+        texts.append(w[:52])  # 0.86
+    df = spark.createDataFrame([(i, " ".join(w), "en") for i, w in enumerate(texts)], "doc_id long, text string, lang string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in texts]
+    near = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8}
+    got = set(rows(catalog.QUERIES["text_minhash_links"](spark, str(tmp_path))))
+
+    def groups(links):
+        label = list(range(len(sets)))
+        for a, b in links:
+            label = [min(label[a], label[b]) if x in (label[a], label[b]) else x for x in label]
+        return label
+
+    assert got <= near and groups(got) == groups(near) and len(got) < len(sets)
+
+
 def test_bloom_filters_never_miss(spark):
     df = spark.range(500)
     bits = text.bloom_bits(df, F.col("id"), 1 << 13, 4)
