@@ -13,11 +13,15 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 BLOCK_BYTES = 2 << 20
+#: A table joined to all rows is broadcast up to this size; beyond it only its rows for keys with over 1 / HOT_KEYS of all rows are.
+BROADCAST_BYTES = 8 << 20
+HOT_KEYS = 200
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -27,22 +31,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def word_count(text):
-    """Column: number of words of a text column, null as 0."""
-    trimmed = F.regexp_replace(text, "[\\x20\\x09-\\x0D]+", " ")
-    trimmed = F.btrim(trimmed, F.lit(" "))
-    spaces = F.length(trimmed) - F.length(F.replace(trimmed, F.lit(" "), F.lit("")))
-    return F.coalesce(F.when(trimmed == "", 0).otherwise(spaces + 1), F.lit(0)).cast("long")
-
-
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder under /tmp only where none is named (tests)."""
+    """The cluster's shared folder; a folder under /tmp only where none is named and all runs on this machine (tests)."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     if named is None:
         held = sc._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = f"/tmp/checkpoints/{uuid.uuid4().hex}"
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(named)
@@ -60,6 +58,46 @@ def text_bytes(df: DataFrame, column: str) -> int:
     return df.agg(F.sum(F.octet_length(F.col(column)))).first()[0] or 0
 
 
+def running(df: DataFrame, order: list[Column], **values) -> DataFrame:
+    """``df`` with ``before_<name>`` for each of ``values``: its sum over all rows that come earlier in ``order``.
+
+    ``order`` has to tell rows apart. Rows are range-partitioned and written once,
+    sums run inside the partitions, and each partition starts from the sums of
+    those before it (a window over one row for each partition), so no task sorts all rows.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.withColumns({f"_{k}": v for k, v in values.items()}).repartitionByRange(parts, *order)
+    placed = cut(placed.withColumn("_part", F.spark_partition_id()))
+    earlier = W.orderBy("_of").rowsBetween(W.unboundedPreceding, -1)
+    starts = placed.groupBy(F.col("_part").alias("_of")).agg(*[F.sum(f"_{k}").alias(f"_all_{k}") for k in values])
+    starts = starts.select("_of", *[F.coalesce(F.sum(f"_all_{k}").over(earlier), F.lit(0)).alias(f"_first_{k}") for k in values])
+    inside = W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    made = placed.withColumns({f"_in_{k}": F.coalesce(F.sum(f"_{k}").over(inside), F.lit(0)) for k in values})
+    made = made.join(F.broadcast(starts), F.col("_part") == F.col("_of"))
+    made = made.withColumns({f"before_{k}": F.col(f"_first_{k}") + F.col(f"_in_{k}") for k in values})
+    return made.drop("_part", "_of", *[f"{p}_{k}" for k in values for p in ("", "_in", "_first")])
+
+
+def meet(rows: DataFrame, key: Column, table: DataFrame, of: str, count: str, size: Column, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``rows`` left-joined to ``table`` where ``key`` equals its column ``of``, null as a value of its own.
+
+    ``table`` has a row for each key, with the number of rows that have it
+    (``count``) and columns whose names ``rows`` lacks; ``size`` says the bytes of such a row. A table of up to ``most_bytes``
+    is broadcast. Beyond that only its rows for keys with over 1 / HOT_KEYS of all
+    rows are, which are fewer than HOT_KEYS; the other rows meet theirs by a
+    shuffled join, in which no key is large.
+    """
+    total = table.agg(F.sum(count).alias("n"), F.sum(size).alias("bytes")).first()
+    table = table.withColumn("_met", F.lit(True))
+    same = key.eqNullSafe(F.col(of))
+    if (total["bytes"] or 0) <= most_bytes:
+        return rows.join(F.broadcast(table), same, "left").drop("_met")
+    large = F.col(count) > total["n"] / HOT_KEYS
+    met = rows.join(F.broadcast(table.filter(large)), same, "left")
+    apart = met.filter("_met is null").drop(*table.columns).join(table.filter(~large).hint("merge"), same, "left")
+    return met.filter("_met").unionByName(apart).drop("_met")
+
+
 def keep_rows(docs: DataFrame, made, keep) -> DataFrame:
     """The rows of ``docs`` for which ``keep`` of the Arrow values of column ``made`` is true; no shuffle, all columns stay."""
     names = [f"c{i}" for i in range(len(docs.columns))]
@@ -116,6 +154,21 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def with_word_counts(rows: DataFrame, text_col: str, name: str) -> DataFrame:
+    """``rows`` with the number of words of a text column (null: 0) as a long in its place, named ``name``."""
+    rest = [c for c in rows.columns if c != text_col]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*rest).schema.fields)
+
+    def run(batches):
+        for b in batches:
+            data, off = flat(b.column(b.num_columns - 1))
+            n = [np.diff(words(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])[2]) for lo, hi in blocks(off)]
+            n = np.concatenate(n) if n else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int64())], [*rest, name])
+
+    return rows.select(*rest, text_col).mapInArrow(run, f"{kinds}, `{name}` long")
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift and multiply), in place where it can be."""
     h = h ^ (h >> np.uint64(33))

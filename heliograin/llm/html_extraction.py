@@ -114,25 +114,6 @@ def _extracted(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], ["id", "url", "text"])
 
 
-def _with_regions(read: DataFrame, ways: DataFrame, most_bytes: int) -> DataFrame:
-    """``read`` with its hosts' regions. Ways of up to ``most_bytes`` are broadcast.
-
-    Beyond that only those of hosts with over 1 / HOT_HOSTS of all pages are,
-    which are fewer than HOT_HOSTS; pages of all other hosts meet theirs by a
-    shuffled join, in which no host is large.
-    """
-    size = F.octet_length("of") + F.octet_length("regions")
-    total = ways.agg(F.sum("pages").alias("pages"), F.sum(size).alias("bytes")).first()
-    slim = ways.select("of", "regions")
-    if (total["bytes"] or 0) <= most_bytes:
-        return read.join(F.broadcast(slim), F.col("host") == F.col("of"), "left")
-    large = ways.withColumn("hot", F.col("pages") > total["pages"] / HOT_HOSTS)
-    hot, rest = large.filter("hot").select("of", "regions"), large.filter("not hot").select("of", "regions")
-    met = read.join(F.broadcast(hot), F.col("host") == F.col("of"), "left")
-    apart = met.filter("of is null").drop("of", "regions").join(rest.hint("merge"), F.col("host") == F.col("of"), "left")
-    return met.filter("of is not null").unionByName(apart)
-
-
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", most_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Rows (id, url, text), a row for each page."""
     ways = C.cut(wrappers(pages, url_col, html_col).mapInArrow(_regions, "of string, pages long, regions string"))
