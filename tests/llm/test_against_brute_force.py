@@ -223,6 +223,48 @@ def test_op9_bytes_and_slots(spark):
     assert max(abs(x - mean) for x in size.values()) <= largest
 
 
+def plain_tree(cells, room, first=0):
+    """Shards of (q0, q1, q2, tie, bytes) by recursion."""
+    if len(room) == 1:
+        return {c[:4]: first for c in cells}
+    if not cells:
+        return {}
+    spread = [(max(c[k] for c in cells) - min(c[k] for c in cells)) / plain_tree.scale[k] for k in range(3)]
+    k = max(range(3), key=lambda k: (spread[k], -k))
+    half, total, upto, left = len(room) // 2, sum(c[4] for c in cells), 0, []
+    ordered = sorted(cells, key=lambda c: (c[k], c[3], *c[:3]))
+    for c in ordered:
+        upto += c[4]
+        if upto - c[4] / 2 > sum(room[:half]) / sum(room) * total:
+            break
+        left.append(c)
+    return plain_tree(left, room[:half], first) | plain_tree(ordered[len(left) :], room[half:], first + half)
+
+
+@pytest.mark.parametrize("count", [1, 2, 7])
+def test_op9_tree_against_recursion(spark, count):
+    rng = np.random.default_rng(9)
+    cells = sorted({(int(a), int(b), int(c), int(t)) for a, b, c, t in rng.integers(0, (9, 3, 12, 4), (150, 4))})
+    cells = [(*c, int(rng.integers(1, 1000))) for c in cells]
+    plain_tree.scale = [max(c[k] for c in cells) - min(c[k] for c in cells) for k in range(3)]
+    room = [float(x) for x in rng.integers(5, 20, count)]
+    frame = spark.createDataFrame(cells, "q0 int, q1 int, q2 int, tie long, bytes long")
+    got = {(r.q0, r.q1, r.q2, r.tie): r.shard for r in kd_sharding.tree(frame, room).collect()}
+    assert got == plain_tree(cells, room)
+
+
+def test_op9_equal_texts_share_a_shard_and_ranks_tell_values_apart(spark):
+    rows = [(i, f"text {i % 400} " + "x" * (i % 50), f"https://common-start-{i % 8}.org", None if i % 3 else "en") for i in range(1200)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    ranks = kd_sharding.ranked(kd_sharding.metadata(frame)).select("source", "q0").distinct().collect()
+    assert sorted(r.q0 for r in sorted(ranks, key=lambda r: r.source)) == list(range(8))
+    text, shards, size = {i: t for i, t, *_ in rows}, defaultdict(set), Counter()
+    for r in kd_sharding.shard_documents(frame, count=8).collect():
+        shards[text[r.id]].add(r.shard)
+        size[r.shard] += r.size
+    assert all(len(x) == 1 for x in shards.values()) and max(size.values()) < 1.1 * min(size.values())
+
+
 def test_op9_one_text_of_half_the_rows_is_cut(spark):
     frame = spark.createDataFrame([(i, "same" if i % 2 else f"text {i}", "s", "en") for i in range(4000)], "doc_id long, text string, source string, lang string")
     counts = Counter(r.shard for r in kd_sharding.shard_documents(frame, count=None, target_bytes=5000).collect())
