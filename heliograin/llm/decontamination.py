@@ -1,19 +1,22 @@
 """Operator 5: benchmark decontamination by SimHash over item-sized windows.
 
-Texts and items become lower-cased words of letters and digits. Item lengths
-fall into classes; an item is indexed under the largest class length that it
-reaches, by the 64-bit SimHash of each of its sub-windows of that length, and
-every window of that length in every document is hashed by running sums over
-packed counters. The 64 bits are four blocks of 16: two fingerprints that
-differ in at most 7 bits differ by at most one bit in some block, so an index
-of every block and its one-bit variants finds all pairs within the radius. Each
-candidate names an item and where it would start; there the multisets of
-five-word shingles are compared exactly, by the sum of the lesser over the sum
-of the greater counts.
-
-The documents are read once and not shuffled. The index goes to the workers
-with the function; benchmarks of more than ``PART_BYTES`` are cut into parts of
-that size at most, each with a pass of its own.
+Texts and items become lower-cased words of letters and digits. A match of the
+threshold leaves an item's inner words alone but for a few: of m shingles at
+most D = m * (1 - t) / (1 + t) are lost, one for a word at an end and five for
+a word inside. So an item of n words is indexed by the 64-bit SimHash of all its
+sub-windows of the largest class length up to n - D, which edits at its ends
+leave whole, within 7 bits; and where D allows words inside to change, also by
+those of the length of the longest run that must stay whole, within 3 bits. Every window
+of a class length in every document is hashed by running sums over packed
+counters. The 64 bits are four blocks of 16: fingerprints that differ in at
+most 7 bits differ by at most one bit in some block, and those within 3 bits
+agree in one, so an index of the blocks (with their one-bit variants) finds all pairs
+within the radius. Each candidate names an item and where it would start; there, and where words put in or
+left out may have moved it to, the multisets of five-word shingles are compared
+exactly, by the sum of the lesser over the sum of the greater counts.
+
+The documents are read once and not shuffled. The items go to the workers as
+broadcasts of ``PART_BYTES`` at most, gathered one at a time, each with a pass of its own.
 
 Defined results: null or empty texts and items match nothing; an item of fewer
 than five words is one shingle of all its words; the best window of each
@@ -29,6 +32,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,10 +40,11 @@ from . import common as C
 
 THRESHOLD, SHINGLE = 0.8, 5
 BLOCKS, BLOCK_BITS = 4, 16
-RADIUS = 2 * BLOCKS - 1
+#: Bits that may differ in windows of the item's size, and in those of runs that stay whole.
+RADIUS, RUN_RADIUS = 2 * BLOCKS - 1, BLOCKS - 1
 #: Ratio of neighbouring class lengths, and the longest.
 STEP, LONGEST = 1.2, 32_000
-PART_BYTES = 16 << 20
+PART_BYTES = 4 << 20
 BLOCK_BYTES = 1 << 20
 SPAN = 1 << 18
 _H = C.Hasher(5)
@@ -126,46 +131,54 @@ def hashes(texts: list[str]) -> list[np.ndarray]:
     return [h[a:b] for a, b in zip(first, first[1:])]
 
 
+def spared(n: int, threshold: float) -> tuple[int, int, int]:
+    """Of an item of n words, what a match leaves: the words that edits at its ends spare, the longest run that all edits spare, and how many words inside may change."""
+    lost = int(max(n - SHINGLE + 1, 1) * (1 - threshold) / (1 + threshold) + 1e-9)
+    inside = lost // SHINGLE
+    run = min((n - (lost - SHINGLE * e) - e) // (e + 1) for e in range(inside + 1))
+    return max(n - lost, 1), max(run, 1), inside
+
+
 class Index:
-    """Items by class length, and each class's fingerprints by 16-bit block and its one-bit variants."""
+    """Items by class length, and each class's fingerprints by 16-bit block (with one-bit variants for the wider radius)."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD):
         made = [(name, h) for (name, _), h in zip(items, hashes([t for _, t in items])) if len(h)]
         self.names = [name for name, _ in made]
         self.items = [h for _, h in made]
         self.counts = [shingles(h) for h in self.items]
-        lengths = sorted({min(len(h), LONGEST) for h in self.items})
+        left = [spared(len(h), threshold) for h in self.items]
+        self.moved = [inside for *_, inside in left]
+        wanted = [(i, min(ends, LONGEST), RADIUS) for i, (ends, _, _) in enumerate(left)]
+        wanted += [(i, min(run, LONGEST), RUN_RADIUS) for i, (_, run, inside) in enumerate(left) if inside]
         sizes: list[int] = []
-        for n in lengths:
+        for n in sorted({n for _, n, _ in wanted}):
             if not sizes or n > sizes[-1] * STEP:
                 sizes.append(n)
         self.classes = {}
-        for k, size in enumerate(sizes):
-            below = sizes[k + 1] if k + 1 < len(sizes) else None
-            fps, item, offset = [], [], []
-            for i, h in enumerate(self.items):
-                if len(h) >= size and (below is None or len(h) < below):
-                    f = Sums(h).fingerprints(size)
-                    fps.append(f)
-                    item.append(np.full(len(f), i))
-                    offset.append(np.arange(len(f)))
-            self.classes[size] = self._class(np.concatenate(fps), np.concatenate(item), np.concatenate(offset))
+        for size, beyond in zip(sizes, [*sizes[1:], LONGEST + 1]):
+            for radius in (RADIUS, RUN_RADIUS):
+                mine = [i for i, n, r in wanted if r == radius and size <= n < beyond]
+                if mine:
+                    fps = [Sums(self.items[i]).fingerprints(size) for i in mine]
+                    item, offset = np.repeat(mine, [len(f) for f in fps]), np.concatenate([np.arange(len(f)) for f in fps])
+                    self.classes.setdefault(size, []).append(self._class(np.concatenate(fps), item, offset, radius))
 
     @staticmethod
-    def _class(fps, item, offset):
-        variants = np.array([0, *[1 << k for k in range(BLOCK_BITS)]], np.uint16)
+    def _class(fps, item, offset, radius):
+        variants = np.array([0, *[1 << k for k in range(BLOCK_BITS)]] if radius == RADIUS else [0], np.uint16)
         blocks, parts = [], fps.astype("<u8").view(np.uint16).reshape(-1, BLOCKS)
         for b in range(BLOCKS):
             keys = (parts[:, b, None] ^ variants).ravel().astype(np.int64)
             order = np.argsort(keys, kind="stable")
             upto = np.searchsorted(keys[order], np.arange((1 << BLOCK_BITS) + 1))
             blocks.append((np.diff(upto) > 0, upto, order // len(variants)))
-        return fps, item, offset, blocks
+        return fps, item, offset, blocks, radius
 
 
 def candidates(found: np.ndarray, valid: np.ndarray, index) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (window, entry) of a class within the radius."""
-    fps, _, _, blocks = index
+    fps, _, _, blocks, radius = index
     parts = found.astype("<u8").view(np.uint16).reshape(-1, BLOCKS)
     hit = np.zeros(len(found), bool)
     for b, (there, _, _) in enumerate(blocks):
@@ -177,7 +190,7 @@ def candidates(found: np.ndarray, valid: np.ndarray, index) -> tuple[np.ndarray,
         n = upto[key + 1] - upto[key]
         w = np.repeat(at, n)
         e = order[np.repeat(upto[key] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-        near = np.bitwise_count(found[w] ^ fps[e]) <= RADIUS
+        near = np.bitwise_count(found[w] ^ fps[e]) <= radius
         windows.append(w[near])
         entries.append(e[near])
     pairs = np.unique(np.stack([np.concatenate(windows), np.concatenate(entries)]), axis=1)
@@ -190,37 +203,50 @@ def scan(h: np.ndarray, first: np.ndarray, index: Index, threshold: float):
     if not len(h) or not index.classes:
         return best
     ends = np.repeat(first[1:], np.diff(first))
-    longest = max(index.classes)
+    longest, tried = max(index.classes), set()
+
+    def compare(r: int, i: int, s: int) -> bool:
+        """Whether an item matches the window that starts at word s of row r, which lies within the row."""
+        tried.add((r, i, s))
+        a, z = max(s, int(first[r])), min(s + len(index.items[i]), int(first[r + 1]))
+        value = similarity(index.counts[i], shingles(h[a:z])) if a < z else 0.0
+        if value >= threshold:
+            was = best.get((r, index.names[i]))
+            now = (value, a - int(first[r]), z - int(first[r]))
+            if was is None or (-now[0], now[1]) < (-was[0], was[1]):
+                best[r, index.names[i]] = now
+        return value >= threshold
+
     for lo in range(0, len(h), SPAN):
         sums = Sums(h[lo : lo + SPAN + longest - 1])
-        for size, kept in index.classes.items():
+        for size, indexes in index.classes.items():
             fps = sums.fingerprints(size)[:SPAN]
             if not len(fps):
                 continue
-            at = np.arange(lo, lo + len(fps))
-            windows, entries = candidates(fps, at + size <= ends[lo : lo + len(fps)], kept)
-            if not len(windows):
-                continue
-            item, start = kept[1][entries], windows + lo - kept[2][entries]
-            row = np.searchsorted(first, windows + lo, "right") - 1
-            for r, i, s in np.unique(np.stack([row, item, start], axis=1), axis=0).tolist():
-                a, z = max(s, int(first[r])), min(s + len(index.items[i]), int(first[r + 1]))
-                value = similarity(index.counts[i], shingles(h[a:z]))
-                if value >= threshold:
-                    was = best.get((r, index.names[i]))
-                    now = (value, a - int(first[r]), z - int(first[r]))
-                    if was is None or (-now[0], now[1]) < (-was[0], was[1]):
-                        best[r, index.names[i]] = now
+            fits = np.arange(lo, lo + len(fps)) + size <= ends[lo : lo + len(fps)]
+            for kept in indexes:
+                windows, entries = candidates(fps, fits, kept)
+                if not len(windows):
+                    continue
+                item, start = kept[1][entries], windows + lo - kept[2][entries]
+                row = np.searchsorted(first, windows + lo, "right") - 1
+                for r, i, s in np.unique(np.stack([row, item, start], axis=1), axis=0).tolist():
+                    if (r, i, s) in tried or compare(r, i, s):
+                        continue
+                    # words put in or left out before the window move the item's start
+                    for at in range(s - index.moved[i], s + index.moved[i] + 1):
+                        if (r, i, at) not in tried:
+                            compare(r, i, at)
     return best
 
 
-def _scanner(items: list[tuple[int, str]], threshold: float):
+def _scanner(items: Broadcast, threshold: float):
     """A function of a text column: yields (first row, matches) of each block of rows."""
     held: list[Index] = []
 
     def each(texts):
         if not held:
-            held.append(Index(items))
+            held.append(Index(items.value, threshold))
         data, off = C.flat(texts)
         for lo, hi in C.blocks(off, BLOCK_BYTES):
             part = data[off[lo] : off[hi]]
@@ -230,12 +256,14 @@ def _scanner(items: list[tuple[int, str]], threshold: float):
     return each
 
 
-def benchmark_parts(benchmark: DataFrame, id_col: str, text_col: str, most: int = PART_BYTES) -> list[list[tuple[int, str]]]:
-    """The items in lists of about ``most`` bytes at most; one list is gathered at a time."""
+def benchmark_parts(benchmark: DataFrame, id_col: str, text_col: str, most: int = PART_BYTES):
+    """The items as broadcasts of about ``most`` bytes at most; the driver gathers one at a time and keeps none."""
     items = benchmark.select(F.col(id_col).cast("long").alias("item"), normal(F.col(text_col)).alias("body"))
     size = C.text_bytes(items, "body")
     n = max(1, -(-2 * size // most)) if size > most else 1
-    return [[(r["item"], r["body"]) for r in items.filter(F.pmod(F.xxhash64("item", "body"), F.lit(n)) == k).orderBy("item", "body").collect()] for k in range(n)]
+    items = C.cut(items.withColumn("part", F.pmod(F.xxhash64("item", "body"), F.lit(n)))) if n > 1 else items.withColumn("part", F.lit(0))
+    for k in range(n):
+        yield benchmark.sparkSession.sparkContext.broadcast([(r["item"], r["body"]) for r in items.filter(F.col("part") == k).orderBy("item", "body").collect()])
 
 
 def matches(

@@ -123,8 +123,38 @@ def test_op5_exact_and_edited_passages(spark):
 
 def test_op5_parts_of_large_benchmarks(spark, data):
     bench = common.table(spark, data, "benchmark")
-    parts = decontamination.benchmark_parts(bench, "item_id", "text", most=2000)
-    assert len(parts) > 1 and sum(map(len, parts)) == bench.count()
+    parts = list(decontamination.benchmark_parts(bench, "item_id", "text", most=2000))
+    assert len(parts) > 1 and sum(len(p.value) for p in parts) == bench.count()
+
+
+@pytest.mark.parametrize("n", [5, 9, 12, 15, 19, 23, 29, 35, 43, 48, 49, 52, 60, 94, 100, 140, 200, 400])
+def test_op5_no_match_of_the_threshold_is_missed(n):
+    rng = np.random.default_rng(n)
+    missed = tried = 0
+    for seed in range(60):
+        words = [f"v{x}" for x in rng.integers(0, 5000, n)]
+        index = decontamination.Index([(1, " ".join(words))])
+        lost = int((n - 4) / 9 + 1e-9)
+        copy, kind = list(words), seed % 5
+        if kind == 0:  # the last words
+            copy[n - lost :] = [f"e{k}" for k in range(lost)]
+        elif kind == 1:  # words at both ends
+            copy = [f"e{k}" for k in range(lost // 2)] + copy[lost // 2 : n - (lost - lost // 2)] + [f"f{k}" for k in range(lost - lost // 2)]
+        elif kind == 2:  # words inside, evenly
+            for k in range(lost // 5):
+                copy[(k + 1) * n // (lost // 5 + 1)] = "e"
+        elif kind == 3 and lost >= 5:  # words put in and left out
+            for at in sorted(rng.choice(np.arange(5, n - 5), lost // 5, replace=False))[::-1]:
+                copy[at : at + int(rng.integers(0, 2))] = ["e"] * int(rng.integers(0, 2))
+        else:
+            copy = copy[: n - lost]
+        text = [f"a{x}" for x in rng.integers(0, 5000, 30)] + copy + [f"b{x}" for x in rng.integers(0, 5000, 500)]
+        h = decontamination.hashes([" ".join(text)])[0]
+        values = [decontamination.similarity(index.counts[0], decontamination.shingles(h[s : s + n])) for s in range(20, 40)]
+        if max(values) >= 0.8:
+            tried += 1
+            missed += not decontamination.scan(h, np.array([0, len(h)]), index, 0.8)
+    assert tried > 20 and missed == 0
 
 
 def test_op5_fingerprints_of_any_length():
