@@ -7,14 +7,17 @@ host's wrapper, tells where its pages differ and how much text stands where; it
 is cut down to the ways to the article (an article element; else a block named
 as content that holds most of the variable text; else the smallest block that
 does), and every page is read along these ways, leaving out blocks whose
-element or class, id or role words name them as menu, header, footer, advert,
-form, notice, comment and the like.
+element or whose tokens of class, id or role name them as menu, header, footer, advert,
+form, notice, comment and the like. Names are overruled where the wrapper shows
+that hardly any text would be left without the blocks they name.
 
 Wrappers are merged where the pages are read, then by host and a salt, then by
 host: a host with a third of all pages sends one small tree from each task.
+A wrapper's node has a bounded number of children: the lightest beyond it become
+one place of any blocks, so generated names don't make it grow with the pages.
 Pages meet the ways of their host by a broadcast while all ways are small, and
 else by a shuffled join that leaves out the few large hosts, whose ways are
-broadcast; ways hold no text.
+broadcast (``common.meet``); ways hold no text.
 
 Defined results: a null or empty html gives the empty text; a page without its
 wrapper's regions is read by a wrapper of its own; a null or unreadable url
@@ -36,9 +39,6 @@ from . import page_parts as P
 #: Hosts whose wrappers a task holds before it sends them on.
 HELD_HOSTS = 2000
 SALTS = 16
-#: Regions of all hosts are broadcast up to this size; beyond it those of hosts with over 1 / HOT_HOSTS of the pages.
-BROADCAST_BYTES = 8 << 20
-HOT_HOSTS = 200
 _WRAPPER = "host string, pages long, wrapper string"
 
 
@@ -97,7 +97,7 @@ def article(page: str | None, regions: list | None) -> str:
     tree = P.parse(page)
     found = P.texts(tree, regions) if regions else []
     if not found:
-        found = P.texts(tree, (own := P.regions(P.expression(tree), 1)), own[1])
+        found = P.texts(tree, P.regions(P.expression(tree), 1))
     return "\n".join(found)
 
 
@@ -114,11 +114,12 @@ def _extracted(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], ["id", "url", "text"])
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", most_bytes: int = C.BROADCAST_BYTES) -> DataFrame:
     """Rows (id, url, text), a row for each page."""
     ways = C.cut(wrappers(pages, url_col, html_col).mapInArrow(_regions, "of string, pages long, regions string"))
     read = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
-    return _with_regions(read, ways, most_bytes).select("id", "url", "html", "regions").mapInArrow(_extracted, "id long, url string, text string")
+    size = F.octet_length("of") + F.octet_length("regions")
+    return C.meet(read, F.col("host"), ways, "of", "pages", size, most_bytes).select("id", "url", "html", "regions").mapInArrow(_extracted, "id long, url string, text string")
 
 
 def op1_html_extraction(spark, sf_dir: str) -> DataFrame:

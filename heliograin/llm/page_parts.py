@@ -1,10 +1,14 @@
 """Pages as trees of blocks, and union-free expressions over them.
 
-A node is ``[sym, optional, repeated, children]``. ``sym`` names a block
-element with its class, id and role words; a text run is a leaf named ``#`` whose
+A node of an expression is ``[sym, optional, repeated, children]``. ``sym`` names a block
+element with the telling tokens of its class, id and role; a text run is a leaf named ``#`` whose
 children are its facts: the digest that all occurrences share (None if they differ),
 occurrences, characters, and characters inside links. ``(`` names a group of
-several nodes that repeats.
+several nodes that repeats, ``*`` a place of any blocks.
+
+What a name says is read from whole tokens, cut at hyphens, underscores and
+capitals: ``post-comments`` names comments; ``has-sidebar``, ``tag-share`` and
+``category-social`` say something about a block, not what it is.
 """
 
 from __future__ import annotations
@@ -12,6 +16,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 
 # Element names and the words of class, id and role that tell what a block is for.
 RAW = {"script", "style", "noscript", "template", "svg", "iframe", "object", "textarea", "select", "math", "canvas", "audio", "video"}
@@ -23,37 +28,75 @@ VOID = {"hr"}
 DROPPED_ELEMENTS = {"aside", "button", "dialog", "fieldset", "footer", "form", "head", "menu", "nav", "title"}
 DROPPED_WORDS = set(
     "ad ads advert advertisement advertising adverts alert banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright "
-    "disclaimer disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification overlay "
+    "disclaimer disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices notification overlay "
     "pager pagination paywall popup promo promotion related reply replies respond search share sharing sidebar signup skip social sponsor "
     "sponsored subscribe subscription tags teaser toolbar topbar widget widgets".split()
 )
+#: Of an article element, only these say that it isn't one.
+DROPPED_ARTICLES = {"ad", "ads", "advert", "advertisement", "comment", "comments", "promo", "related", "replies", "reply", "sponsored", "teaser"}
+#: Inline elements with one of these as a whole token are left out of their paragraph.
+DROPPED_INLINE = {"ad", "ads", "advert", "advertisement", "advertising", "adverts", "promo", "promotion", "share", "sharing", "social", "sponsor", "sponsored"}
 MAIN_WORDS = {"article", "articlebody", "body", "content", "entry", "main", "post", "story", "text"}
-
-#: Blocks nested deeper than this hold no blocks of their own; their text counts to the last one above.
-DEEPEST = 150
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_NAMING = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_WORD = re.compile(r"[a-z]+")
+#: First parts, or any parts, of tokens that describe a block rather than name it.
+ABOUT_FIRST = {"cat", "category", "format", "is", "postname", "status", "tag", "tagged", "taxonomy", "template", "term", "theme", "type"}
+ABOUT_ANY = {"has", "no", "not", "show", "with", "without"}
+EMPTY = {"area", "base", "br", "col", "embed", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+
+#: Blocks nested deeper than this are one text to the wrapper; pages are read at any depth.
+DEEPEST = 100
+#: Children of a wrapper's node that are told apart; the lightest beyond them become places of any blocks.
+MOST_CHILDREN = 40
+
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>", re.S)
+_NAMING = re.compile(r"(?:^|[\s\"'/])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: An open element of these names ends where another of the second names begins beside it.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "thead": {"tbody"}, "tbody": {"tbody", "tfoot"}}
-_HOLDS = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "thead": {"table"}, "tbody": {"table"}}
+_HEADINGS = {"h1", "h2", "h3"}
+
+
+_KNOWN: dict = {}
+
+
+def _known(what, *key):
+    """``what`` of ``key``, remembered; a plain dictionary, as functions go to the workers by value."""
+    at = (what.__name__, *key)
+    if at not in _KNOWN:
+        if len(_KNOWN) > 200_000:
+            _KNOWN.clear()
+        _KNOWN[at] = what(*key)
+    return _KNOWN[at]
+
+
+def parts_of(token: str) -> tuple[str, ...]:
+    """The words of a token, in lower case; none of one that only describes its block."""
+    words = tuple(w.lower() for w in _PART.findall(token))
+    if len(words) > 1 and (words[0] in ABOUT_FIRST or not ABOUT_ANY.isdisjoint(words)):
+        return ()
+    return words
+
+
+def _name_of(element: str, attributes: str) -> str:
+    """The symbol of an element: its name and its tokens, without those that hold digits or only describe it."""
+    tokens = {t for m in _NAMING.findall(attributes) for t in "".join(m).split()} if attributes else ()
+    kept = sorted(t for t in tokens if len(t) <= 40 and not any(c.isdigit() for c in t) and parts_of(t))
+    return " ".join((element, *kept)) if kept else element
 
 
 def name_of(element: str, attributes: str) -> str:
-    """The symbol of an element: its name and the words of its class, id and role."""
-    words = sorted({w for m in _NAMING.findall(attributes) for w in _WORD.findall("".join(m).lower())}) if attributes else ()
-    return " ".join((element, *words)) if words else element
+    return _known(_name_of, element, attributes)
 
 
 def parse(page: str):
     """The tree of a page: (sym, children) with leaves ("#", text, link characters)."""
     root = ("", [])
     stack, run, link, linked, at, n = [root], [], 0, 0, 0, len(page)
+    is_open: Counter = Counter()
+    muted, depth = "", 0  # an inline element that is left out, and how many of its name are open in it
 
     def text(piece: str) -> None:
         nonlocal linked
-        if piece:
+        if piece and not muted:
             piece = html.unescape(piece)
             run.append(piece)
             if link:
@@ -68,8 +111,10 @@ def parse(page: str):
             run.clear()
         linked = 0
 
-    def shut(depth: int) -> None:
-        del stack[depth:]
+    def shut() -> str:
+        element = stack.pop()[0].split(" ", 1)[0]
+        is_open[element] -= 1
+        return element
 
     while at < n:
         m = _TOKEN.search(page, at)
@@ -78,55 +123,119 @@ def parse(page: str):
             break
         text(page[at : m.start()])
         at = m.end()
-        element = m[2]
+        element = m[2] or m[5]
         if element is None:
             continue
-        element = element.lower()
+        element, closing, attributes = element.lower(), m[1] or m[4], (m[3] if m[2] else m[6]) or ""
         if element in RAW:
-            if not m[1] and not m[3].endswith("/"):
+            if not closing and not attributes.endswith("/"):
                 end = re.compile(rf"</{element}\s*>", re.I).search(page, at)
                 at = end.end() if end else n
             continue
         if element not in BLOCKS:
+            if muted:
+                if element == muted:
+                    depth += -1 if closing else 1
+                    muted = muted if depth else ""
+            elif not closing and element not in EMPTY and attributes and not attributes.endswith("/") and not DROPPED_INLINE.isdisjoint(name_of(element, attributes).lower().split(" ")[1:]):
+                muted, depth = element, 1
             if element == "a":
-                link = 0 if m[1] else 1
+                link = 0 if closing else 1
             elif element == "br":
                 run.append(" ")
             continue
+        muted = ""
         flush()
-        if m[1]:
-            for d in range(len(stack) - 1, 0, -1):
-                if stack[d][0].split(" ", 1)[0] == element:
-                    shut(d)
+        if closing:
+            while is_open[element]:
+                last = shut()
+                if last == element:
                     break
             continue
-        for d in range(len(stack) - 1, 0, -1):
-            open_name = stack[d][0].split(" ", 1)[0]
-            if open_name == "p" or element in _ENDS.get(open_name, ()):
-                shut(d)
-                if open_name == "p":
-                    break
-            elif open_name in _HOLDS.get(element, ()) or element not in _HOLDS:
-                break
-        node = (name_of(element, m[3]), [])
+        while len(stack) > 1 and ((last := stack[-1][0].split(" ", 1)[0]) == "p" or element in _ENDS.get(last, ())):
+            shut()
+        node = (name_of(element, attributes), [])
         stack[-1][1].append(node)
-        if element not in VOID and not m[3].endswith("/") and len(stack) < DEEPEST:
+        if element not in VOID and not attributes.endswith("/"):
             stack.append(node)
+            is_open[element] += 1
     flush()
     return root
 
 
-def dropped(sym: str) -> bool:
+def _dropped(sym: str) -> bool:
     """Whether a block's name says that it isn't part of an article."""
-    element, *words = sym.split(" ")
-    return element in DROPPED_ELEMENTS or (element not in ("html", "body") and not DROPPED_WORDS.isdisjoint(words))
+    element, *tokens = sym.split(" ")
+    if element in ("html", "body", "main"):
+        return False
+    words = {w for t in tokens for w in parts_of(t)}
+    if element == "article":
+        return not DROPPED_ARTICLES.isdisjoint(words)
+    return element in DROPPED_ELEMENTS or not DROPPED_WORDS.isdisjoint(words)
+
+
+def _heads(sym: str) -> bool:
+    """Whether a block is a header: of an article it keeps the headings only."""
+    element, *tokens = sym.split(" ")
+    return element == "header" or element in ("div", "section") and any(parts_of(t)[-1:] == ("header",) for t in tokens)
+
+
+def _main(sym: str) -> bool:
+    element, *tokens = sym.split(" ")
+    return element == "main" or any(not MAIN_WORDS.isdisjoint(parts_of(t)) for t in tokens)
+
+
+def dropped(sym: str) -> bool:
+    return _known(_dropped, sym)
+
+
+def heads(sym: str) -> bool:
+    return _known(_heads, sym)
+
+
+def main(sym: str) -> bool:
+    return _known(_main, sym)
+
+
+def _leaf(text: str, linked: int) -> list:
+    return ["#", False, False, [zlib.crc32(text.encode("utf-8", "replace")), 1, len(text), linked]]
 
 
-def expression(node) -> list:
-    """A page's node as an expression, with adjacent repeats folded."""
+def expression(node, depth: int = 0) -> list:
+    """A page's node as an expression, with adjacent repeats folded; what lies below ``DEEPEST`` as one text."""
     if node[0] == "#":
-        return ["#", False, False, [zlib.crc32(node[1].encode("utf-8", "replace")), 1, len(node[1]), node[2]]]
-    return [node[0], False, False, fold([expression(x) for x in node[1]])]
+        return _leaf(node[1], node[2])
+    if depth < DEEPEST:
+        return [node[0], False, False, bounded(fold([expression(x, depth + 1) for x in node[1]]))]
+    found, linked, open_ = [], 0, [node]
+    while open_:
+        x = open_.pop()
+        if x[0] == "#":
+            found.append(x[1])
+            linked += x[2]
+        else:
+            open_.extend(reversed(x[1]))
+    return [node[0], False, False, [_leaf(" ".join(found), linked)] if found else []]
+
+
+def characters(node: list) -> int:
+    return node[3][2] if node[0] == "#" else sum(map(characters, node[3]))
+
+
+def bounded(items: list) -> list:
+    """At most MOST_CHILDREN children: the lightest in text become places of any blocks."""
+    if len(items) <= MOST_CHILDREN:
+        return items
+    weights = [characters(x) if x[0] != "*" else -1 for x in items]
+    # a place of any blocks may stand between two kept children
+    kept = set(sorted(range(len(items)), key=lambda k: -weights[k])[: MOST_CHILDREN // 2])
+    out: list = []
+    for k, x in enumerate(items):
+        if k in kept:
+            out.append(x)
+        elif not out or out[-1][0] != "*":
+            out.append(["*", True, True, []])
+    return out
 
 
 def fold(items: list) -> list:
@@ -139,16 +248,20 @@ def fold(items: list) -> list:
         else:
             out.append(x)
     for period in (2, 3, 4):
-        i = 0
-        while i + 2 * period <= len(out):
-            first, second = out[i : i + period], out[i + period : i + 2 * period]
-            if [x[0] for x in first] == [x[0] for x in second]:
-                both = [merged(a, b) for a, b in zip(first, second)]
-                while [x[0] for x in out[i + 2 * period : i + 3 * period]] == [x[0] for x in first]:
-                    both = [merged(a, b) for a, b in zip(both, out[i + 2 * period : i + 3 * period])]
-                    del out[i + 2 * period : i + 3 * period]
-                out[i : i + 2 * period] = [["(" + "|".join(x[0] for x in both), False, True, both]]
-            i += 1
+        made, i = [], 0
+        while i < len(out):
+            first = [x[0] for x in out[i : i + period]]
+            both, k = None, i + period
+            while len(first) == period and [x[0] for x in out[k : k + period]] == first:
+                both = [merged(a, b) for a, b in zip(both or out[i : i + period], out[k : k + period])]
+                k += period
+            if both:
+                made.append(["(" + "|".join(first), False, True, both])
+                i = k
+            else:
+                made.append(out[i])
+                i += 1
+        out = made
     return out
 
 
@@ -180,49 +293,94 @@ def aligned(a: list, b: list) -> list:
         else:
             out.append([b[j][0], True, b[j][2], b[j][3]])
             j += 1
-    return fold(out) if any(x[0] == y[0] for x, y in zip(out, out[1:])) else out
+    return bounded(fold(out) if any(x[0] == y[0] for x, y in zip(out, out[1:])) else out)
 
 
-def _weights(node: list, pages: int, at: dict) -> float:
-    """Characters of a node outside links, dropped blocks and text that all of several pages share."""
-    if node[0] == "#":
-        fact = node[3]
-        total = 0 if fact[0] is not None and pages > 1 and fact[1] > 1 else fact[2] - fact[3]
-    else:
-        total = 0 if dropped(node[0]) else sum(_weights(x, pages, at) for x in node[3])
-    at[id(node)] = total
-    return total
+class Weights:
+    """Characters outside links under each node of a wrapper, of slots only where pages differ at all.
+
+    ``all`` counts whatever names say, ``kept`` leaves out dropped blocks but the spared ones.
+    """
+
+    def __init__(self, wrapper: list, pages: int):
+        self.shared = pages > 1
+        self.all, self.kept, self.spared = {}, {}, set()
+        if self._of(wrapper, self.all, False) < 0.1 * characters(wrapper):  # pages that are copies of each other
+            self.shared = False
+            self._of(wrapper, self.all, False)
+        self.total = self._of(wrapper, self.kept, True)
+        self._overrule(wrapper)
+
+    def _of(self, node: list, at: dict, names: bool) -> float:
+        if node[0] == "#":
+            fact = node[3]
+            total = 0 if self.shared and fact[0] is not None and fact[1] > 1 else fact[2] - fact[3]
+        else:
+            gone = node[0].split(" ")[0] in DROPPED_ELEMENTS or names and dropped(node[0]) and node[0] not in self.spared
+            inner = [self._of(x, at, names) for x in node[3]]
+            total = 0 if gone else sum(inner)
+        at[id(node)] = total
+        return total
+
+    def _overrule(self, wrapper: list) -> None:
+        """Names are wrong where leaving out what they name leaves hardly any text: the heaviest named blocks are spared."""
+        while self.total < 0.2 * self.all[id(wrapper)]:
+            node, named = wrapper, None
+            while node[3] and node[0] != "#":
+                heavy = max(node[3], key=lambda x: self.all[id(x)], default=None)
+                if heavy is None or heavy[0] == "#":
+                    break
+                node = heavy
+                if dropped(node[0]) and node[0] not in self.spared:
+                    named = node[0]
+                    break
+            if named is None:
+                return
+            self.spared.add(named)
+            self.total = self._of(wrapper, self.kept, True)
 
 
 def regions(wrapper: list, pages: int) -> list:
-    """The wrapper cut down to the ways to its article: ``[sym, is main, children]``."""
-    weight: dict = {}
-    total = _weights(wrapper, pages, weight)
+    """What a wrapper tells about reading its pages: [ways, spared]. Ways lead to the article: ``[sym, is main, children]``.
+
+    ``spared`` lists names of blocks that are kept although they look like something else.
+    """
+    w = Weights(wrapper, pages)
+    weight, total = w.kept, w.total
+
+    def out(sym: str) -> bool:
+        return dropped(sym) and sym not in w.spared
 
     def named(node, test) -> bool:
-        if node[0] == "#" or dropped(node[0]):
+        if node[0] in ("#", "*") or out(node[0]):
             return False
         return test(node) or any(named(x, test) for x in node[3])
 
+    def held(node, test) -> float:
+        """The weight under the outermost nodes that pass."""
+        if node[0] in ("#", "*") or out(node[0]):
+            return 0
+        return weight[id(node)] if test(node) else sum(held(x, test) for x in node[3])
+
     def cut(node, test) -> list:
-        main = node[0][:1] != "(" and test(node)
-        return [node[0], main, [] if main else [cut(x, test) for x in node[3] if named(x, test)]]
+        is_main = node[0][:1] != "(" and test(node)
+        return [node[0], is_main, [] if is_main else [cut(x, test) for x in node[3] if named(x, test)]]
 
     def heaviest() -> int:
         node = wrapper
         while True:
-            inner = [x for x in node[3] if x[0] != "#" and x[0].split(" ")[0] not in ("p", "li", "td", "dd") and weight[id(x)] >= 0.6 * max(total, 1)]
+            inner = [x for x in node[3] if x[0] not in ("#", "*") and x[0].split(" ")[0] not in ("p", "li", "td", "dd") and weight[id(x)] >= 0.6 * max(total, 1)]
             if not inner:
                 return id(node)
             node = inner[0]
 
     is_article = lambda x: x[0].split(" ")[0] == "article"
-    is_main = lambda x: (x[0].split(" ")[0] == "main" or not MAIN_WORDS.isdisjoint(x[0].split(" ")[1:])) and weight.get(id(x), 0) >= 0.5 * total
-    for test in (is_article, is_main):
-        if named(wrapper, test):
-            return cut(wrapper, test)
+    is_main = lambda x: main(x[0]) and weight[id(x)] >= 0.5 * total
+    for test, least in ((is_article, 0.3), (is_main, 0.5)):
+        if named(wrapper, test) and held(wrapper, test) >= least * total:
+            return [cut(wrapper, test), sorted(w.spared)]
     one = heaviest()
-    return cut(wrapper, lambda x: id(x) == one)
+    return [cut(wrapper, lambda x: id(x) == one), sorted(w.spared)]
 
 
 def _flat(items: list) -> list:
@@ -230,24 +388,31 @@ def _flat(items: list) -> list:
     return [y for x in items for y in (_flat(x[2]) if x[0][:1] == "(" else [x])]
 
 
-def texts(node, region: list | None, inside: bool = False) -> list[str]:
-    """Text runs of a page's node that its wrapper's regions hold, in order."""
-    found, ways, at = [], _flat(region[2]) if region and not inside else [], 0
-    for x in node[1]:
-        if x[0] == "#":
-            if inside:
-                found.append(x[1])
-            continue
-        if dropped(x[0]):
-            continue
-        if inside:
-            if x[0].split(" ")[0] == "header":  # an article's own header keeps its headings only
-                found += [t for h in x[1] if h[0][:2] in ("h1", "h2", "h3") for t in texts(h, None, True)]
-            else:
-                found += texts(x, None, True)
+def texts(root, region: list) -> list[str]:
+    """Text runs of a page's tree that its wrapper's regions hold, in order."""
+    ways, spared = region[0], set(region[1])
+    # (node, its ways or None inside the article, whether headings only)
+    found, open_ = [], [(root, None if ways[1] else ways, False)]
+    while open_:
+        node, way, headings = open_.pop()
+        if node[0] == "#":
+            found.append(node[1])
             continue
-        hit = next((k for k in [*range(at, len(ways)), *range(at)] if ways[k][0] == x[0]), None)
-        if hit is not None:
-            at = hit
-            found += texts(x, ways[hit], ways[hit][1])
+        inner, at, after = _flat(way[2]) if way else [], 0, []
+        for x in node[1]:
+            sym = x[0]
+            if sym == "#":
+                if way is None and not headings:
+                    after.append((x, None, False))
+                continue
+            if dropped(sym) and sym not in spared:
+                continue
+            if way is None:
+                after.append((x, None, (headings or heads(sym)) and sym.split(" ")[0] not in _HEADINGS))
+                continue
+            hit = next((k for k in [*range(at, len(inner)), *range(at)] if inner[k][0] == sym), None)
+            if hit is not None:
+                at = hit
+                after.append((x, None if inner[hit][1] else inner[hit], False))
+        open_.extend(reversed(after))
     return found

@@ -423,6 +423,67 @@ def test_op1_ways_beyond_the_broadcast_size_give_the_same_texts(spark, data):
     assert sorted(map(tuple, html_extraction.extract(pages, most_bytes=0).collect())) == want
 
 
+T = "Some words of the article's own text that go on for a while, page {0}. " * 4
+# templates of pages with {0} for the page's number, and the article's text
+LABELLED = {
+    "theme classes": ("<nav><ul><li>m</ul></nav><article class='post-12 post type-post category-social tag-share'><h1>T{0}</h1><p>" + T + "</p></article><footer>f</footer>", "T{0}\n" + T),
+    "has-sidebar": ("<nav>m</nav><div class='entry content has-sidebar'><p>" + T + "</p><p>b{0}</p></div><div class='sidebar'>s</div>", T + "\nb{0}"),
+    "page wrapper": ("<div id='page' class='site has-sidebar'><header><a href=/>H</a></header><main><p>" + T + "</p></main><div id='secondary' class='widget-area'>w</div></div>", T),
+    "wrap named after its sidebar": ("<div class='content-sidebar-wrap'><div class='x'><h2>h{0}</h2><p>" + T + "</p></div></div>", "h{0}\n" + T),
+    "data attribute": ("<article><p data-class='ad'>" + T + "</p></article>", T),
+    "inline advert": ("<article><p>" + T + "<span class='ad'>Buy <span>now</span></span> end <a class='share' href=x>Share</a></p></article>", T + "end"),
+    "comments as articles": ("<article><p>" + T + "</p></article><ol class='comment-list'><li><article class='comment-body'><p>" + T + " first!</p></article></ol>", T),
+    "entry header": ("<div class='post-content'><div class='entry-header'><h1>E{0}</h1><span>by me</span></div><p>" + T + "</p></div>", "E{0}\n" + T),
+    "article header": ("<article><header><h1>A{0}</h1><p>by me, today</p></header><p>" + T + "</p></article>", "A{0}\n" + T),
+    "related posts": ("<article><p>" + T + "</p><div class='related-posts'><article class='card'>" + T + "</article></div></article>", T),
+    "cookie notice": ("<div class='cookie-consent'>" + T + "</div><div class='story'><p>" + T + "</p><ul><li>a{0}<li>b</ul></div>", T + "\na{0}\nb"),
+    "generated names": ("<div class='css-1x2y3z'><div class='css-abcdef'><a href=1>x</a><a href=2>y</a></div><div class='sc-kLmNop'><p>" + T + "</p><p>c{0}</p></div></div>", T + "\nc{0}"),
+    "table layout": ("<table><tr><td class='menu'><a href=1>m</a></td><td><p>" + T + "</p></td></tr></table>", T),
+    "nav in the article": ("<article><div class='post-navigation'><a href=1>next</a></div><blockquote>" + T + "</blockquote><form><input>q</form><aside>z</aside><pre>a  b{0}</pre></article>", T + "\na b{0}"),
+    "code comments stay": ("<article><p>" + T + "</p><pre>x <span class='hljs-comment comment'># why {0}</span></pre></article>", T + "\nx # why {0}"),
+    "unclosed blocks": ("<article><p>" + T + "<p>d{0}<ul><li>e<li>f</article><footer>g", T + "\nd{0}\ne\nf"),
+}
+
+
+@pytest.mark.parametrize("pages", [1, 6])
+def test_op1_labelled_pages(spark, pages):
+    from heliograin.llm import html_extraction
+
+    rows, want = [], {}
+    for host, (page, text) in enumerate(LABELLED.values()):
+        for k in range(pages):
+            rows.append((100 * host + k, f"http://h{host}.org/{k}", f"<html><head><title>t</title></head><body class='home has-nav'>{page.replace('{0}', str(k))}</body></html>"))
+            want[100 * host + k] = "\n".join(" ".join(x.split()) for x in text.replace("{0}", str(k)).split("\n"))
+    got = {r.id: r.text for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {list(LABELLED)[i // 100]: (got[i], want[i]) for i in want if got[i] != want[i]} == {}
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<!", "<a '", '<a x="', "<div><p>", "<div></p>", "<ul><li><div><li>", "</", "<td>", "<b class='ad'>", "&lt;<"])
+def test_op1_malformed_pages_take_linear_time(piece):
+    import time
+
+    from heliograin.llm import html_extraction
+
+    begin = time.process_time()
+    html_extraction.article(piece * (400_000 // len(piece)), None)
+    assert time.process_time() - begin < 8
+
+
+def test_op1_blocks_at_any_depth(spark):
+    from heliograin.llm import html_extraction
+
+    assert html_extraction.article("<article>" + "<div>" * 5000 + "<nav>menu</nav>deep text", None) == "deep text"
+
+
+def test_op1_wrappers_stay_small_under_generated_names():
+    rng, known = np.random.default_rng(1), None
+    for k in range(40):
+        names = ["".join(rng.choice(list("abcdefgh"), 8)) for _ in range(60)]
+        tree = page_parts.expression(page_parts.parse("".join(f"<div class='{n}'><p>{k} {n}</p></div>" for n in names)))
+        known = tree if known is None else page_parts.merged(known, tree)
+    assert len(str(known)) < 20_000
+
+
 def test_op1_expressions_fold_repeats_and_options():
     tree = lambda s: page_parts.expression(page_parts.parse(s))
     a, b = tree("<dl><dt>1<dd>2<dt>3<dd>4</dl><p>x</p>"), tree("<dl><dt>1<dd>2</dl><hr><p>y</p><p>z</p>")
