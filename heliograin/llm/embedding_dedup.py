@@ -1,14 +1,17 @@
 """Operator 3: near-duplicate vectors by sorted projection passes.
 
-In each pass all vectors are ordered by their group (label and dimension) and
-by 64 concatenated sign hashes of random projections, and every vector is
-compared with its next ``window`` neighbours. Pairs that reach a threshold a
+In each pass all vectors, less the mean of their group (label and dimension), are ordered by their
+group and by 64 concatenated sign hashes of random projections, and every vector is
+compared with its next ``window`` neighbours. Without the mean the vectors of a crowded
+label, which all point one way, would agree in most signs. Pairs that reach a threshold a
 little below the asked one are united across passes into neighbourhoods. A
 window bounds what one pass sees of a crowded place, so inside a neighbourhood
 all vectors are then compared by blocks of matrix products in double precision,
 which gives each vector's exact number of links there and the links that join
 components. A pair is thus missed only if it meets in no pass and shares no
-neighbourhood.
+neighbourhood. Passes run in rounds until a round unites hardly anything that
+those before did not (``GAIN`` of what they united): how many are run follows from the vectors, and
+from how many of them crowd a label.
 
 Equal vectors are one node with a multiplicity throughout. A neighbourhood
 larger than a chunk is dealt out in pairs of chunks, a task holds two chunks at
@@ -33,7 +36,12 @@ from pyspark.sql import functions as F
 from . import common as C
 
 THRESHOLD = 0.98
-PASSES, WINDOW = 12, 64
+#: Passes of the first round and of each later one, and neighbours that each vector meets in a pass.
+PASSES, MORE_PASSES, WINDOW = 12, 6, 64
+#: A round that adds no more than this share of all unions is the last.
+GAIN = 1e-3
+#: Groups whose sums a task holds before it sends them on.
+HELD_GROUPS = 2000
 #: How far below the threshold a pair may lie to join a neighbourhood.
 MARGIN = 0.02
 CHUNK = 1024
@@ -67,7 +75,49 @@ def _matrix(column: pa.Array, kind=np.float64) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(n, -1)
 
 
-def _projected(passes: int, seed: int):
+def _summed(batches):
+    """Sums of unit vectors by group: (label, dim, n, total)."""
+    held: dict = {}
+
+    def rows():
+        keys = list(held)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([held[k][0] for k in keys], pa.int64()), pa.array([held[k][1].tobytes() for k in keys], pa.binary())],
+            ["label", "dim", "n", "total"],
+        )
+
+    for b in batches:
+        labels, dims = np.array(b.column(0).to_pylist(), object), b.column(1).to_numpy()
+        for key in set(zip(labels.tolist(), dims.tolist())):
+            x = _matrix(b.column(2).take(pa.array(np.flatnonzero((labels == key[0]) & (dims == key[1])))))
+            n, total = held.get(key, (0, 0.0))
+            held[key] = (n + len(x), total + x.sum(axis=0))
+        if len(held) > HELD_GROUPS:
+            yield rows()
+            held = {}
+    if held:
+        yield rows()
+
+
+def _mean(t: pa.Table) -> pa.Table:
+    n = sum(t.column("n").to_pylist())
+    mean = _matrix(t.column("total").combine_chunks()).sum(axis=0) / n
+    return pa.table({"label": [t.column("label")[0]], "dim": [t.column("dim")[0]], "n": [n], "mean": [mean.tobytes()]}, schema=_MEAN)
+
+
+_MEAN = pa.schema([("label", pa.string()), ("dim", pa.int32()), ("n", pa.int64()), ("mean", pa.binary())])
+
+
+def means(nodes: DataFrame) -> DataFrame:
+    """Rows (of, n, mean): the mean unit vector of each group; ``of`` names the group."""
+    part = nodes.select("label", "dim", "unit").mapInArrow(_summed, "label string, dim int, n long, total binary")
+    made = part.groupBy("label", "dim").applyInArrow(lambda t: _mean(t), "label string, dim int, n long, mean binary")
+    return made.select(F.struct("label", "dim").alias("of"), "n", "mean")
+
+
+def _projected(first: int, passes: int, seed: int):
+    """(node, label, dim, unit, mean) to a row for each pass, with the sign hashes of the vector less the mean."""
+
     def run(batches):
         planes: dict[int, np.ndarray] = {}
         for b in batches:
@@ -75,11 +125,11 @@ def _projected(passes: int, seed: int):
             for d in np.unique(dims).tolist():
                 at = np.flatnonzero(dims == d)
                 if d not in planes:
-                    planes[d] = np.random.Generator(np.random.PCG64([seed, d])).standard_normal((d, 64 * passes))
+                    planes[d] = np.random.Generator(np.random.PCG64([seed, d, first])).standard_normal((d, 64 * passes))
                 for lo in range(0, len(at), 2048):
                     rows = b.take(pa.array(at[lo : lo + 2048]))
                     x = _matrix(rows.column(3))
-                    bits = np.packbits(x @ planes[d] > 0, axis=1).reshape(len(x), passes, 8)
+                    bits = np.packbits((x - _matrix(rows.column(4))) @ planes[d] > 0, axis=1).reshape(len(x), passes, 8)
                     keys = bits.view(">u8")[:, :, 0].astype(np.uint64) ^ np.uint64(1 << 63)
                     small = pa.array([r.tobytes() for r in x.astype(np.float32)], pa.binary())
                     for p in range(passes):
@@ -184,6 +234,37 @@ def _blocks(threshold: float):
     return run
 
 
+def neighbourhoods(nodes: DataFrame, threshold: float, passes: int = PASSES, window: int = WINDOW, seed: int = 3) -> DataFrame:
+    """Rows (node, component): the nodes that passes unite, of ``nodes`` (node, label, dim, unit)."""
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    mean = C.cut(means(nodes))
+    centred = C.meet(nodes.select("node", "label", "dim", "unit"), F.struct("label", "dim"), mean, "of", "n", F.octet_length("mean") + 64)
+    centred = centred.select("node", "label", "dim", "unit", "mean")
+    sort = ["pass", "label", "dim", "key", "node"]
+    found = around = None
+    while True:
+        first = 0 if found is None else first + passes
+        passes = passes if found is None else MORE_PASSES
+        near = (
+            centred.mapInArrow(_projected(first, passes, seed), "pass int, label string, dim int, key long, node long, unit binary")
+            .repartitionByRange(parts, *sort)
+            .sortWithinPartitions(*sort)
+            .select("pass", F.xxhash64("label").alias("place"), "dim", "node", "unit")
+            .mapInArrow(_neighbours(window, threshold - MARGIN), "a long, b long")
+        )
+        near = C.cut(near.distinct())
+        if found is None:
+            found = near
+        else:
+            sides = [around.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}")) for x in "ab"]
+            fresh = near.join(sides[0], "a", "left").join(sides[1], "b", "left")
+            fresh = C.cut(fresh.filter("coalesce(of_a, a) <> coalesce(of_b, b)").select("a", "b"))
+            if fresh.count() <= GAIN * found.count():
+                return around
+            found = found.union(fresh)
+        around = C.cut(C.components(found))
+
+
 def near_vectors(
     vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, passes: int = PASSES, window: int = WINDOW, seed: int = 3
 ) -> DataFrame:
@@ -201,16 +282,7 @@ def near_vectors(
         .agg(F.min("id").alias("rep"), F.count("*").alias("m"), F.first("label").alias("label"), F.first("dim").alias("dim"), F.first("unit").alias("unit"))
         .withColumn("node", F.monotonically_increasing_id())
     )
-    sort = ["pass", "label", "dim", "key", "node"]
-    near = (
-        nodes.select("node", "label", "dim", "unit")
-        .mapInArrow(_projected(passes, seed), "pass int, label string, dim int, key long, node long, unit binary")
-        .repartitionByRange(parts, *sort)
-        .sortWithinPartitions(*sort)
-        .select("pass", F.xxhash64("label").alias("place"), "dim", "node", "unit")
-        .mapInArrow(_neighbours(window, threshold - MARGIN), "a long, b long")
-    )
-    around = C.cut(C.components(near))
+    around = neighbourhoods(nodes, threshold, passes, window, seed)
     sizes = around.groupBy("component").agg(F.ceil(F.count("*") / CHUNK).cast("long").alias("chunks"))
     dealt = (
         nodes.select("node", "m", "unit")
@@ -229,9 +301,9 @@ def near_vectors(
     least = named.groupBy("component").agg(F.min("rep").alias("first"))
     counts = found.groupBy("node").agg(F.sum("n").alias("n"))
     told = named.join(least, "component").join(counts, "node", "left").select("digest", "first", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"))
-    return base.select("id", "digest").join(told, "digest", "left").select(
-        "id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("first", "id").alias("component")
-    )
+    linked = base.select("id", "digest").filter("digest is not null").join(told, "digest").select("id", "n_links", F.coalesce("first", "id").alias("component"))
+    alone = base.filter("digest is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
+    return linked.union(alone)
 
 
 def op3_embedding_dedup(spark, sf_dir: str) -> DataFrame:
