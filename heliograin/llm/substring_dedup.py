@@ -7,7 +7,7 @@ leftmost of equals), which is the same sub-window wherever the same words
 stand. Only windows whose stand-in occurs more than once go on to the next
 level; at the last level the stand-in is the window itself.
 
-Documents are dealt into groups of bounded bytes. A group sends each distinct
+Documents are dealt by id and text into groups of bounded bytes. A group sends each distinct
 key of a level once, with a mark if it holds it twice itself, so a passage that
 millions of documents share reaches a task at most once from each group.
 Keys are 64-bit hashes below the last level, where a clash only lets a
@@ -169,7 +169,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     groups = max(1, -(-size // GROUP_BYTES))
     lengths = levels(window, first)
     dealt = docs.select(
-        F.pmod(F.xxhash64(F.col(id_col)), F.lit(groups)).cast("int").alias("g"),
+        F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(groups)).cast("int").alias("g"),
         F.col(id_col).cast("long").alias("id"),
         F.col(text_col).cast("string").alias("body"),
     )
