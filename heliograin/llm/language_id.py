@@ -6,7 +6,7 @@ lower-cased letters and single spaces) that both hold, over the root of the
 product of their own numbers. N-grams are hashed into ``BUCKETS`` places, so a text is a
 row of presence bits and a batch of kernels is a matrix product.
 
-Training draws at most ``MOST_PER_LANGUAGE`` labelled rows of each language by
+Training draws at most ``MOST_PER_LANGUAGE`` labelled rows of each of at most ``MOST_LANGUAGES`` languages by
 hash order, takes ``LANDMARKS`` of them as Nystroem landmarks and solves kernel
 ridge regression one-versus-rest, with rows weighted so that languages count
 alike. The sample's presence bits (BUCKETS / 8 bytes a row, at most ``MOST_ROWS`` rows) are
@@ -36,6 +36,8 @@ BUCKETS = 1 << BUCKET_BITS
 LANDMARKS = 384
 MOST_PER_LANGUAGE = 500
 MOST_ROWS = 6000
+#: More labels than this are an error, as each would be left too few rows.
+MOST_LANGUAGES = MOST_ROWS // 4
 RIDGE = 1e-3
 BLOCK_BYTES = 256 << 10
 UNKNOWN = "und"
@@ -81,7 +83,9 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, most: int
     """Labels and presence bits of a bounded sample: at most ``most`` rows of a language, MOST_ROWS in all."""
     labelled = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("body")).filter("lang is not null and body is not null")
     labelled = labelled.withColumn("rank", F.xxhash64(F.lit(4), "id").bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53))
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_ROWS // 4).collect()}
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES + 1).collect()}
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages are labelled")
     if not counts:
         return [], np.zeros((0, BUCKETS // 8), np.uint8)
     most = max(4, min(most, MOST_ROWS // len(counts)))
