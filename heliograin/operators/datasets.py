@@ -46,10 +46,14 @@ def validate(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(bad, 1)).alias("bad_rows"))
 
 
-def content_digest(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row with an order-free digest of the content: sums and a xor of row hashes."""
-    h = F.xxhash64(*columns)
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.sum(h.cast("decimal(38,0)")).alias("sum"), F.bit_xor(h).alias("xor"))
+def content_digest(df: DataFrame, columns: list[str | Column]) -> DataFrame:
+    """One row with an order-free digest of the content: number, sum and xor of 60-bit heads of the rows' SHA-256 digests.
+
+    A row is its columns as text, joined by unit separators, with a mark for null. Rows are digested where they lie.
+    """
+    cell = lambda c: F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("\x00"))
+    h = F.conv(F.substring(F.sha2(F.array_join(F.array(*map(cell, columns)), "\x1f"), 256), 1, 15), 16, 10).cast("long")
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0)).cast("string").alias("sum"), F.coalesce(F.bit_xor(h), F.lit(0).cast("long")).alias("xor"))
 
 
 def fit_imputer(train: DataFrame, columns: list[str], most_missing: float = 0.5) -> dict[str, float]:

@@ -3,11 +3,13 @@
 Flow columns: src_ip, dst_ip, src_port, dst_port, protocol, bytes_out, bytes_in,
 packets_out, packets_in, start_time, end_time, syn_count, rst_count,
 error_count, avg_payload_size. Detectors are grouped aggregates, partially
-combined before their shuffle; each returns (detector, source, target, kind, confidence).
+combined before their shuffle; each returns (detector, source, target, kind, confidence, seen_at), seen_at being the start of the last flow concerned.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -63,11 +65,11 @@ def shannon_entropy(df: DataFrame, keys: list[str], category: str) -> DataFrame:
 
 
 def _result(df: DataFrame, detector: str, source: Column, target: Column, kind: Column, confidence: Column) -> DataFrame:
-    return df.select(F.lit(detector).alias("detector"), source.alias("source"), target.alias("target"), kind.alias("kind"), F.least(confidence, F.lit(1.0)).alias("confidence"))
+    return df.select(F.lit(detector).alias("detector"), source.alias("source"), target.alias("target"), kind.alias("kind"), F.least(confidence, F.lit(1.0)).alias("confidence"), "seen_at")
 
 
 def port_scans(flows: DataFrame, least_flows: int = 20, least_ports: int = 15) -> DataFrame:
-    s = flows.groupBy("src_ip").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("dst_port").alias("ports"), F.countDistinct("dst_ip").alias("hosts"))
+    s = flows.groupBy("src_ip").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("dst_port").alias("ports"), F.countDistinct("dst_ip").alias("hosts"), F.max("start_time").alias("seen_at"))
     s = s.filter((F.col("n") >= least_flows) & (F.col("ports") >= least_ports))
     kind = F.when(F.col("hosts") > F.col("ports"), "horizontal").when(F.col("hosts") > 1, "block").otherwise("vertical")
     confidence = 0.4 + F.least(F.lit(0.3), F.col("ports") / 100.0) + F.least(F.lit(0.3), F.col("n") / 200.0)
@@ -76,7 +78,7 @@ def port_scans(flows: DataFrame, least_flows: int = 20, least_ports: int = 15) -
 
 def brute_force(flows: DataFrame, ports: tuple[int, ...] = (21, 22, 23, 25, 80, 443), least: int = 5, failing: float = 0.3) -> DataFrame:
     s = flows.filter(F.col("dst_port").isin(*ports)).groupBy("src_ip", "dst_ip", "dst_port").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("rst_count").alias("rst"), F.sum("error_count").alias("err"), F.countDistinct("src_port").alias("src_ports")
+        F.count(F.lit(1)).alias("n"), F.sum("rst_count").alias("rst"), F.sum("error_count").alias("err"), F.countDistinct("src_port").alias("src_ports"), F.max("start_time").alias("seen_at")
     )
     failure = (F.col("rst") + F.col("err")) / (2.0 * F.col("n"))
     s = s.filter((F.col("n") >= least) & (failure >= failing))
@@ -88,7 +90,7 @@ def beacons(flows: DataFrame, least: int = 10, most_cv: float = 0.3) -> DataFram
     """Pairs that talk at regular intervals with even payloads."""
     g = inter_arrival_times(flows, ["src_ip", "dst_ip"], "start_time")
     cv = lambda c: F.when(F.avg(c) > 1e-12, F.stddev_pop(c) / F.avg(c)).otherwise(0.0)
-    s = g.groupBy("src_ip", "dst_ip").agg(F.count(F.lit(1)).alias("n"), cv("gap").alias("gap_cv"), cv("avg_payload_size").alias("payload_cv")).filter(F.col("n") >= least)
+    s = g.groupBy("src_ip", "dst_ip").agg(F.count(F.lit(1)).alias("n"), cv("gap").alias("gap_cv"), cv("avg_payload_size").alias("payload_cv"), F.max("start_time").alias("seen_at")).filter(F.col("n") >= least)
     regular, even, many = F.col("gap_cv") < most_cv, F.col("payload_cv") < most_cv, F.col("n") >= 2 * least
     score = sum((F.when(x, v).otherwise(0.0) for x, v in ((regular, 0.45), (even, 0.3), (many, 0.25))), F.lit(0.0))
     hits = sum((x.cast("int") for x in (regular, even, many)), F.lit(0))
@@ -99,7 +101,7 @@ def beacons(flows: DataFrame, least: int = 10, most_cv: float = 0.3) -> DataFram
 def dns_tunnels(flows: DataFrame, least: int = 10, score: float = 0.5) -> DataFrame:
     s = flows.filter("dst_port = 53").groupBy("dst_ip").agg(
         F.count(F.lit(1)).alias("n"), F.avg("bytes_out").alias("out"), F.sum("bytes_in").alias("in_"), F.sum("bytes_out").alias("out_"),
-        F.countDistinct("src_ip").alias("sources"), F.countDistinct("src_port").alias("src_ports"),
+        F.countDistinct("src_ip").alias("sources"), F.countDistinct("src_port").alias("src_ports"), F.max("start_time").alias("seen_at"),
     ).filter(F.col("n") >= least)
     ratio = F.when(F.col("out_") > 0, F.col("in_") / F.col("out_")).otherwise(0.0)
     parts = [
@@ -111,19 +113,19 @@ def dns_tunnels(flows: DataFrame, least: int = 10, score: float = 0.5) -> DataFr
 
 
 def floods(flows: DataFrame, window: str, syn: float = 0.6, rst: float = 0.5, factor: float = 3.0, history: int = 10) -> DataFrame:
-    """Windows of flooding: high SYN or RST rates, or a volume over ``factor`` times the mean of the windows before."""
-    s = window_summary(flows, [window]).join(flows.groupBy(window).agg(F.sum(F.col("bytes_out") + F.col("bytes_in")).alias("volume")), window)
+    """Windows of flooding (as targets): high SYN or RST rates, or a volume over ``factor`` times the mean of the windows before."""
+    s = window_summary(flows, [window]).join(flows.groupBy(window).agg(F.sum(F.col("bytes_out") + F.col("bytes_in")).alias("volume"), F.max("start_time").alias("seen_at")), window)
     before = F.avg("volume").over(W.partitionBy(F.floor(F.col(window) / 1000)).orderBy(window).rowsBetween(-history, -1))
     s = s.withColumn("base", before)
     kind = F.when(F.col("syn_rate") > syn, "syn_flood").when(F.col("rst_rate") > rst, "rst_flood").when(F.col("volume") > factor * F.col("base"), "volumetric")
     s = s.withColumn("kind", kind).filter("kind is not null")
-    return _result(s, "ddos", F.col(window).cast("string"), F.lit(None).cast("string"), F.col("kind"), F.lit(0.8))
+    return _result(s, "ddos", F.lit(None).cast("string"), F.col(window).cast("string"), F.col("kind"), F.lit(0.8))
 
 
-def alerts(flows: DataFrame, least_confidence: float = 0.5) -> DataFrame:
-    """All grouped detectors of the flows, by confidence."""
-    found = port_scans(flows).unionByName(brute_force(flows)).unionByName(beacons(flows)).unionByName(dns_tunnels(flows))
-    return found.filter(F.col("confidence") >= least_confidence)
+def alerts(flows: DataFrame, window: str, least_confidence: float = 0.5, most_cv: float = 0.3, factor: float = 3.0) -> DataFrame:
+    """What all detectors find in the flows, from a confidence on; ``window`` numbers the windows that floods are sought in."""
+    found = [port_scans(flows), brute_force(flows), beacons(flows, most_cv=most_cv), dns_tunnels(flows), floods(flows, window, factor=factor)]
+    return reduce(DataFrame.unionByName, found).filter(F.col("confidence") >= least_confidence)
 
 
 def correlate(found: DataFrame, time: str, span: float = 300.0) -> DataFrame:
@@ -146,7 +148,7 @@ def event_lines(found: DataFrame, kind: str = "json", vendor: str = "heliograin"
     field = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     level = F.floor(F.col("confidence") * 10).cast("string")
     if kind == "json":
-        line = F.to_json(F.struct("detector", "source", "target", "kind", "confidence", severity(F.col("confidence")).alias("severity")))
+        line = F.to_json(F.struct("detector", "source", "target", "kind", F.round("confidence", 4).alias("confidence"), severity(F.col("confidence")).alias("severity")))
     elif kind == "cef":
         line = F.concat(F.lit(f"CEF:0|{vendor}|flows|1|"), field("detector"), F.lit("|"), field("kind"), F.lit("|"), level, F.lit("|src="), field("source"), F.lit(" dst="), field("target"))
     else:

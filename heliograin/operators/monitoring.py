@@ -133,3 +133,12 @@ def payload_protocol(payload: Column) -> Column:
     for name, pattern in rules:
         out = F.when(payload.rlike(pattern), name) if out is None else out.when(payload.rlike(pattern), name)
     return out.otherwise("unknown")
+
+
+def rollbacks(df: DataFrame, keys: list[str], order: list[str], hit: str, window: int, floor: float, least: int) -> DataFrame:
+    """``df`` with coverage, the share of hits in the last ``window`` rows of a series, and rollback, 1 from the first row on
+    where coverage falls below the floor (after ``least`` rows); the windowed form of the kernel that streams use. Rows without a hit value are left out."""
+    w = W.partitionBy(*keys).orderBy(*order)
+    rows = df.filter(F.col(hit).isNotNull()).withColumns({"coverage": F.avg(hit).over(w.rowsBetween(1 - window, 0)), "_n": F.row_number().over(w)})
+    low = ((F.col("_n") >= F.lit(least)) & (F.col("coverage") < floor)).cast("double")
+    return rows.withColumn("rollback", F.max(low).over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_n")

@@ -35,9 +35,13 @@ def datasets_validate(spark, d):
     return datasets.validate(table(spark, d, "lineitem"), ["l_quantity", "l_tax"])
 
 
-@query()
+@query(
+    "WITH h AS (SELECT ('0x' || substr(sha256(concat_ws(chr(31), o_orderkey, o_custkey, o_orderstatus, round(o_totalprice * 100)::BIGINT, CASE WHEN o_custkey % 5 = 0 THEN chr(0) ELSE o_orderpriority END)), 1, 15))::BIGINT AS h FROM orders) "
+    "SELECT count(*) AS rows, sum(h)::VARCHAR AS sum, bit_xor(h) AS xor FROM h"
+)
 def datasets_content_digest(spark, d):
-    return datasets.content_digest(table(spark, d, "orders"), ["o_orderkey", "o_custkey", "o_totalprice"])
+    o = table(spark, d, "orders")
+    return datasets.content_digest(o, ["o_orderkey", "o_custkey", "o_orderstatus", F.round(F.col("o_totalprice") * 100).cast("long"), F.when(F.col("o_custkey") % 5 != 0, F.col("o_orderpriority"))])
 
 
 HOLES = "h AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE l_quantity END AS q, CASE WHEN l_partkey % 3 > 0 THEN NULL ELSE l_tax END AS x, 1.0::DOUBLE AS c FROM lineitem)"

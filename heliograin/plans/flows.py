@@ -46,15 +46,15 @@ def flows_protocols(spark, d):
 
 PORT_SCAN = (
     "port_scan AS (SELECT 'port_scan' AS detector, src_ip AS source, NULL::VARCHAR AS target, CASE WHEN hosts > ports THEN 'horizontal' WHEN hosts > 1 THEN 'block' ELSE 'vertical' END AS kind, "
-    "least(0.4 + least(0.3, ports / 100.0) + least(0.3, n / 200.0), 1.0)::DOUBLE AS confidence FROM (SELECT src_ip, count(*) AS n, count(DISTINCT dst_port) AS ports, count(DISTINCT dst_ip) AS hosts FROM flows GROUP BY ALL) WHERE n >= 20 AND ports >= {ports})"
+    "least(0.4 + least(0.3, ports / 100.0) + least(0.3, n / 200.0), 1.0)::DOUBLE AS confidence, seen_at FROM (SELECT src_ip, max(start_time) AS seen_at, count(*) AS n, count(DISTINCT dst_port) AS ports, count(DISTINCT dst_ip) AS hosts FROM flows GROUP BY ALL) WHERE n >= 20 AND ports >= {ports})"
 )
 BRUTE = (
     "brute AS (SELECT 'brute_force' AS detector, src_ip AS source, dst_ip AS target, CASE WHEN sp > floor(2 * n / 3) THEN 'distributed_ports' WHEN err > rst THEN 'credential' ELSE 'connection' END AS kind, "
-    "least(0.5 + 0.3 * ((rst + err) / (2.0 * n)) + least(0.2, n / 100.0), 1.0)::DOUBLE AS confidence FROM (SELECT src_ip, dst_ip, dst_port, count(*) AS n, sum(rst_count) AS rst, sum(error_count) AS err, count(DISTINCT src_port) AS sp FROM flows "
+    "least(0.5 + 0.3 * ((rst + err) / (2.0 * n)) + least(0.2, n / 100.0), 1.0)::DOUBLE AS confidence, seen_at FROM (SELECT src_ip, dst_ip, dst_port, max(start_time) AS seen_at, count(*) AS n, sum(rst_count) AS rst, sum(error_count) AS err, count(DISTINCT src_port) AS sp FROM flows "
     "WHERE dst_port IN (21, 22, 23, 25, 80, 443) GROUP BY ALL) WHERE n >= 5 AND (rst + err) / (2.0 * n) >= 0.3)"
 )
 DNS = (
-    "dns AS (SELECT 'dns_tunnel' AS detector, NULL::VARCHAR AS source, dst_ip AS target, 'tunnel' AS kind, least(score, 1.0)::DOUBLE AS confidence FROM (SELECT dst_ip, (CASE WHEN avg(bytes_out) > 512 THEN 0.25 ELSE 0 END + CASE WHEN sum(bytes_in) / sum(bytes_out) > 5 OR sum(bytes_in) / sum(bytes_out) < 0.2 THEN 0.2 ELSE 0 END "
+    "dns AS (SELECT 'dns_tunnel' AS detector, NULL::VARCHAR AS source, dst_ip AS target, 'tunnel' AS kind, least(score, 1.0)::DOUBLE AS confidence, seen_at FROM (SELECT dst_ip, max(start_time) AS seen_at, (CASE WHEN avg(bytes_out) > 512 THEN 0.25 ELSE 0 END + CASE WHEN sum(bytes_in) / sum(bytes_out) > 5 OR sum(bytes_in) / sum(bytes_out) < 0.2 THEN 0.2 ELSE 0 END "
     "+ CASE WHEN count(DISTINCT src_ip) <= 2 AND count(*) > 20 THEN 0.15 ELSE 0 END + CASE WHEN (sum(bytes_in) + sum(bytes_out)) / count(*) > 1000 THEN 0.2 ELSE 0 END + CASE WHEN count(DISTINCT src_port) > 5 THEN 0.2 ELSE 0 END)::DOUBLE AS score "
     "FROM flows WHERE dst_port = 53 GROUP BY ALL HAVING count(*) >= 10) WHERE score >= 0.5)"
 )
@@ -75,28 +75,38 @@ def flows_dns_tunnel(spark, d):
     return rounded(flows.dns_tunnels(view(spark, d)))
 
 
-@query(
-    f"WITH {FLOWS}, g AS (SELECT src_ip, dst_ip, avg_payload_size AS p, start_time - lag(start_time) OVER (PARTITION BY src_ip, dst_ip ORDER BY start_time) AS gap FROM flows), s AS (SELECT src_ip, dst_ip, count(*) AS n, stddev_pop(gap) / avg(gap) AS gc, stddev_pop(p) / avg(p) AS pc FROM g GROUP BY ALL HAVING count(*) >= 10), "
-    "t AS (SELECT *, CASE WHEN gc < 2.0 THEN 0.45 ELSE 0 END + CASE WHEN pc < 2.0 THEN 0.3 ELSE 0 END + CASE WHEN n >= 20 THEN 0.25 ELSE 0 END AS score FROM s) SELECT 'beacon' AS detector, src_ip AS source, dst_ip AS target, 'periodic' AS kind, round(least(score, 1.0)::DOUBLE, 4) AS confidence FROM t WHERE score >= 0.7"
+BEACON = (
+    "gaps AS (SELECT src_ip, dst_ip, start_time, avg_payload_size AS p, start_time - lag(start_time) OVER (PARTITION BY src_ip, dst_ip ORDER BY start_time) AS gap FROM flows), talks AS (SELECT src_ip, dst_ip, max(start_time) AS seen_at, count(*) AS n, stddev_pop(gap) / avg(gap) AS gc, stddev_pop(p) / avg(p) AS pc FROM gaps GROUP BY ALL HAVING count(*) >= 10), "
+    "scored AS (SELECT *, CASE WHEN gc < 2.0 THEN 0.45 ELSE 0 END + CASE WHEN pc < 2.0 THEN 0.3 ELSE 0 END + CASE WHEN n >= 20 THEN 0.25 ELSE 0 END AS score FROM talks), beacon AS (SELECT 'beacon' AS detector, src_ip AS source, dst_ip AS target, 'periodic' AS kind, least(score, 1.0)::DOUBLE AS confidence, seen_at FROM scored WHERE score >= 0.7)"
+)
+FLOOD = (
+    "spans AS (SELECT floor(start_time / 86400)::BIGINT AS span, max(start_time) AS seen_at, sum(syn_count) / sum(packets_out + packets_in) AS syn, sum(rst_count) / sum(packets_out + packets_in) AS rst, sum(bytes_out + bytes_in) AS v FROM flows GROUP BY ALL), "
+    "based AS (SELECT *, avg(v) OVER (PARTITION BY span // 1000 ORDER BY span ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS base FROM spans), kinds AS (SELECT span, seen_at, CASE WHEN syn > 0.6 THEN 'syn_flood' WHEN rst > 0.5 THEN 'rst_flood' WHEN v > 1.5 * base THEN 'volumetric' END AS kind FROM based), "
+    "flood AS (SELECT 'ddos' AS detector, NULL::VARCHAR AS source, span::VARCHAR AS target, kind, 0.8::DOUBLE AS confidence, seen_at FROM kinds WHERE kind IS NOT NULL)"
 )
+
+
+@query(f"WITH {FLOWS}, {BEACON} SELECT * REPLACE (round(confidence, 4) AS confidence) FROM beacon")
 def flows_beacons(spark, d):
     return rounded(flows.beacons(view(spark, d), most_cv=2.0))
 
 
-@query(
-    f"WITH {FLOWS}, s AS (SELECT floor(start_time / 86400)::BIGINT AS span, sum(syn_count) / sum(packets_out + packets_in) AS syn, sum(rst_count) / sum(packets_out + packets_in) AS rst, sum(bytes_out + bytes_in) AS v FROM flows GROUP BY ALL), "
-    "b AS (SELECT *, avg(v) OVER (PARTITION BY span // 1000 ORDER BY span ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS base FROM s), k AS (SELECT span, CASE WHEN syn > 0.6 THEN 'syn_flood' WHEN rst > 0.5 THEN 'rst_flood' WHEN v > 1.5 * base THEN 'volumetric' END AS kind FROM b) "
-    "SELECT 'ddos' AS detector, span::VARCHAR AS source, NULL::VARCHAR AS target, kind, 0.8::DOUBLE AS confidence FROM k WHERE kind IS NOT NULL"
-)
+def _spans(spark, d):
+    return view(spark, d).withColumn("span", F.floor(F.col("start_time") / 86400))
+
+
+@query(f"WITH {FLOWS}, {FLOOD} SELECT * FROM flood")
 def flows_floods(spark, d):
-    return flows.floods(view(spark, d).withColumn("span", F.floor(F.col("start_time") / 86400)), "span", factor=1.5)
+    return flows.floods(_spans(spark, d), "span", factor=1.5)
 
 
-ALERTS = f"WITH {FLOWS}, {PORT_SCAN.format(ports=15)}, {BRUTE}, {DNS}, alerts AS (SELECT * FROM port_scan UNION ALL SELECT * FROM brute UNION ALL SELECT * FROM dns)"
+ALERTS = (
+    f"WITH {FLOWS}, {PORT_SCAN.format(ports=15)}, {BRUTE}, {DNS}, {BEACON}, {FLOOD}, alerts AS (SELECT * FROM port_scan UNION ALL SELECT * FROM brute UNION ALL SELECT * FROM dns UNION ALL SELECT * FROM beacon UNION ALL SELECT * FROM flood)"
+)
 
 
 def _alerts(spark, d):
-    return flows.alerts(view(spark, d)).filter("detector <> 'beacon'")
+    return flows.alerts(_spans(spark, d), "span", most_cv=2.0, factor=1.5)
 
 
 @query(f"{ALERTS} SELECT detector, count(*) AS n, round(avg(confidence), 4) AS confidence FROM alerts GROUP BY ALL")
@@ -112,17 +122,26 @@ def flows_cef_lines(spark, d):
 
 
 @query(
-    f"{ALERTS}, a AS (SELECT *, (row_number() OVER (ORDER BY target, source, detector, kind, confidence) * 10)::DOUBLE AS tm FROM alerts), s AS (SELECT source AS who, floor(tm / 300)::BIGINT AS span, count(*) AS n, list(DISTINCT detector) AS d FROM a WHERE source IS NOT NULL GROUP BY ALL), "
-    "t AS (SELECT target AS who, floor(tm / 300)::BIGINT AS span, count(*) AS n, count(DISTINCT source) AS s FROM a WHERE target IS NOT NULL AND source IS NOT NULL GROUP BY ALL) "
+    f"{ALERTS} SELECT '{{' || concat_ws(',', '\"detector\":\"' || detector || '\"', '\"source\":\"' || source || '\"', '\"target\":\"' || target || '\"', '\"kind\":\"' || kind || '\"', '\"confidence\":' || round(confidence, 4)::VARCHAR, "
+    "'\"severity\":\"' || CASE WHEN confidence >= 0.95 THEN 'critical' WHEN confidence >= 0.8 THEN 'warning' ELSE 'info' END || '\"') || '}' AS line FROM alerts"
+)
+def flows_json_lines(spark, d):
+    return flows.event_lines(_alerts(spark, d), "json")
+
+
+@query(f"{ALERTS} SELECT 'LEEF:2.0|heliograin|flows|1|' || detector || '|' || chr(9) || 'sev=' || floor(confidence * 10)::INT || chr(9) || 'src=' || coalesce(source, '') || chr(9) || 'dst=' || coalesce(target, '') AS line FROM alerts")
+def flows_leef_lines(spark, d):
+    return flows.event_lines(_alerts(spark, d), "leef")
+
+
+@query(
+    f"{ALERTS}, s AS (SELECT source AS who, floor(seen_at / 2592000)::BIGINT AS span, count(*) AS n, list(DISTINCT detector) AS d FROM alerts WHERE source IS NOT NULL GROUP BY ALL), "
+    "t AS (SELECT target AS who, floor(seen_at / 2592000)::BIGINT AS span, count(*) AS n, count(DISTINCT source) AS s FROM alerts WHERE target IS NOT NULL AND source IS NOT NULL GROUP BY ALL) "
     "SELECT who, span, CASE WHEN list_contains(d, 'port_scan') AND (list_contains(d, 'brute_force') OR list_contains(d, 'beacon')) THEN 'escalation' ELSE 'multi_attack' END AS kind, n FROM s WHERE (list_contains(d, 'port_scan') AND (list_contains(d, 'brute_force') OR list_contains(d, 'beacon'))) OR (n >= 2 AND len(d) >= 2) "
     "UNION ALL SELECT who, span, 'coordinated', n FROM t WHERE s >= 3"
 )
 def flows_correlations(spark, d):
-    from pyspark.sql import Window as W
-
-    a = _alerts(spark, d)
-    order = [F.col(c).asc_nulls_last() for c in ("target", "source", "detector", "kind", "confidence")]
-    return flows.correlate(a.withColumn("at", (F.row_number().over(W.orderBy(*order)) * 10).cast("double")), "at")  # alerts are few
+    return flows.correlate(_alerts(spark, d), "seen_at", 2592000.0)
 
 
 @query(

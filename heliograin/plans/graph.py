@@ -65,7 +65,21 @@ def graph_shortest_path(spark, d):
     return spark.createDataFrame([(int(n), k) for k, n in enumerate(path)], "node long, place int")
 
 
-@query()
+def ranked(edges: str, rounds: int, damping: float = 0.85) -> str:
+    """SQL parts (node, rank) k0 .. k<rounds> of page rank over the rows (src, dst) of ``edges``, and the node and child counts they read."""
+    parts = [
+        f"pn AS (SELECT src AS node FROM {edges} UNION SELECT dst FROM {edges}), pc AS (SELECT count(*) AS n FROM pn), po AS (SELECT src, count(*) AS out FROM {edges} GROUP BY ALL)",
+        "k0 AS (SELECT node, 1::DOUBLE / n AS rank FROM pn, pc)",
+    ]
+    for k in range(rounds):
+        parts.append(
+            f"g{k} AS (SELECT dst AS node, sum(rank / out) AS got FROM {edges} JOIN po USING (src) JOIN k{k} ON node = src GROUP BY ALL), l{k} AS (SELECT coalesce(sum(rank), 0) AS loose FROM k{k} WHERE node NOT IN (SELECT src FROM po)), "
+            f"k{k + 1} AS MATERIALIZED (SELECT node, {1 - damping!r}::DOUBLE / n + {damping} * (coalesce(got, 0) + loose / n) AS rank FROM pn LEFT JOIN g{k} USING (node), l{k}, pc)"
+        )
+    return ", ".join(parts)
+
+
+@query(f"WITH {LINEAGE}, {ranked('edges', 20)} SELECT node, round(rank, 8) AS rank FROM k20")
 def graph_page_rank(spark, d):
     return rounded(graph.page_rank(_lineage(spark, d)), 8)
 

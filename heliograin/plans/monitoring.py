@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from heliograin.operators import monitoring
+from heliograin.plans.state import ORDERED, recursion
 from heliograin.plans.base import CANDLES, EVENTS, candles, events, query, rounded, table
 from heliograin.streaming import kernels
 
@@ -105,43 +106,91 @@ def monitoring_payload_protocols(spark, d):
     return table(spark, d, "events").groupBy(monitoring.payload_protocol(p).alias("protocol")).agg(F.count(F.lit(1)).alias("n"))
 
 
+BARS = f"{CANDLES}, o AS (SELECT *, row_number() OVER w AS i, greatest(high - low, coalesce(abs(high - lag(close) OVER w), 0), coalesce(abs(low - lag(close) OVER w), 0)) AS tr, lag(high) OVER w AS ph, lag(low) OVER w AS pl, lag(close) OVER w AS pc FROM candles WINDOW w AS (PARTITION BY symbol ORDER BY day))"
+
+
+def mean_of(name: str, rows: str, value: str, n: int, step: str) -> str:
+    """SQL of a running mean ``name`` (symbol, i, v) of rows (symbol, i): the plain mean of the first n values, then ``step`` of r.v and s.x."""
+    return (
+        f"{name}_x AS (SELECT symbol, i, {value} AS x, avg({value}) OVER (PARTITION BY symbol ORDER BY i ROWS {n - 1} PRECEDING) AS m FROM {rows}), "
+        f"{name} AS (SELECT symbol, i, m AS v FROM {name}_x WHERE i = {n} UNION ALL SELECT s.symbol, s.i, {step} FROM {name} r JOIN {name}_x s ON s.symbol = r.symbol AND s.i = r.i + 1)"
+    )
+
+
+def seeded_of(name: str, rows: str, value: str, n: int) -> str:
+    return mean_of(name, rows, value, n, f"r.v + 2.0::DOUBLE / {n + 1} * (s.x - r.v)")
+
+
+def wilder_of(name: str, rows: str, value: str, n: int) -> str:
+    return mean_of(name, rows, value, n, f"(r.v * {n - 1} + s.x) / {n}")
+
+
 def _bars(spark, d, kernel):
     return rounded(kernels.in_batch(candles(spark, d), "symbol", ["day"], ["high", "low", "close"], kernel))
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {BARS}, {seeded_of('fast', 'o', 'close', 12)}, {seeded_of('slow', 'o', 'close', 26)}, line AS (SELECT symbol, i - 25 AS i, fast.v - slow.v AS x FROM fast JOIN slow USING (symbol, i)), {seeded_of('sig', 'line', 'x', 9)} "
+    "SELECT o.symbol, o.day, round(line.x, 4) + 0.0 AS macd, round(sig.v, 4) + 0.0 AS signal FROM o LEFT JOIN line ON line.symbol = o.symbol AND line.i = o.i - 25 LEFT JOIN sig ON sig.symbol = o.symbol AND sig.i = o.i - 25"
+)
 def state_macd(spark, d):
     return rounded(kernels.in_batch(candles(spark, d), "symbol", ["day"], "close", kernels.macd(12, 26, 9)))
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {BARS}, {seeded_of('mid', 'o', 'close', 10)}, {wilder_of('atr', 'o', 'tr', 10)} "
+    "SELECT o.symbol, o.day, round(mid.v - 2 * atr.v, 4) AS lower, round(mid.v, 4) AS middle, round(mid.v + 2 * atr.v, 4) AS upper FROM o LEFT JOIN mid ON mid.symbol = o.symbol AND mid.i = o.i LEFT JOIN atr ON atr.symbol = o.symbol AND atr.i = o.i"
+)
 def state_keltner(spark, d):
     return _bars(spark, d, kernels.keltner(10, 2.0))
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {BARS}, {wilder_of('atr', 'o', 'tr', 10)}, b AS (SELECT o.*, (high + low) / 2 + 3 * v AS top0, (high + low) / 2 - 3 * v AS bottom0 FROM o JOIN atr USING (symbol, i)), "
+    "r AS (SELECT symbol, day, i, top0 AS top, bottom0 AS bottom, true AS up FROM b WHERE i = 10 UNION ALL SELECT b.symbol, b.day, b.i, CASE WHEN top0 < r.top OR pc > r.top THEN top0 ELSE r.top END AS top_, CASE WHEN bottom0 > r.bottom OR pc < r.bottom THEN bottom0 ELSE r.bottom END AS bottom_, "
+    "CASE WHEN r.up THEN close >= bottom_ ELSE close > top_ END FROM r JOIN b ON b.symbol = r.symbol AND b.i = r.i + 1) "
+    "SELECT symbol, day, round(CASE WHEN up THEN bottom ELSE top END, 4) AS band, CASE WHEN up THEN 1.0 ELSE -1.0 END::DOUBLE AS direction FROM r UNION ALL SELECT symbol, day, NULL, NULL FROM o WHERE i < 10"
+)
 def state_supertrend(spark, d):
     return _bars(spark, d, kernels.supertrend(10, 3.0))
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {BARS}, m AS (SELECT symbol, i - 1 AS i, tr, CASE WHEN high - ph > pl - low AND high > ph THEN high - ph ELSE 0 END AS up, CASE WHEN pl - low > high - ph AND pl > low THEN pl - low ELSE 0 END AS down FROM o WHERE i > 1), "
+    f"{wilder_of('wu', 'm', 'up', 14)}, {wilder_of('wd', 'm', 'down', 14)}, {wilder_of('wr', 'm', 'tr', 14)}, di AS (SELECT symbol, i - 13 AS i, CASE WHEN wr.v > 1e-12 THEN 100 * wu.v / wr.v ELSE 0 END AS p, CASE WHEN wr.v > 1e-12 THEN 100 * wd.v / wr.v ELSE 0 END AS n FROM wu JOIN wd USING (symbol, i) JOIN wr USING (symbol, i)), "
+    f"dx AS (SELECT *, CASE WHEN p + n > 1e-12 THEN 100 * abs(p - n) / (p + n) ELSE 0 END AS x FROM di), {wilder_of('wx', 'dx', 'x', 14)} "
+    "SELECT o.symbol, o.day, round(dx.p, 4) AS plus_di, round(dx.n, 4) AS minus_di, round(wx.v, 4) AS adx FROM o LEFT JOIN dx ON dx.symbol = o.symbol AND dx.i = o.i - 14 LEFT JOIN wx ON wx.symbol = o.symbol AND wx.i = o.i - 14"
+)
 def state_directional(spark, d):
     return _bars(spark, d, kernels.directional(14))
 
 
-@query()
+@query(
+    recursion(
+        {
+            "valid": ("false", "(o.st = r.a + 1 AND o.sq = 0) OR (o.st = r.a AND o.sq = r.b + 1)"), "verdict": ("0.0::DOUBLE", "CASE WHEN valid_ THEN 1.0 WHEN (o.st, o.sq) <= (r.a, r.b) THEN 2.0 ELSE 3.0 END::DOUBLE"),
+            "a": ("o.st", "CASE WHEN valid_ THEN o.st ELSE r.a END"), "b": ("o.sq", "CASE WHEN valid_ THEN o.sq ELSE r.b END"),
+        },
+        "verdict",
+        f"{ORDERED.replace('o AS (', 'o0 AS (')}, o AS (SELECT *, floor(value / 20) AS st, event_id % 3 AS sq FROM o0)",
+    )
+)
 def state_sequence_monitor(spark, d):
     e = events(spark, d).withColumns({"st": F.floor(F.col("value") / 20), "sq": F.col("event_id") % 3})
     return kernels.in_batch(e, "user_id", ["t", "event_id"], ["st", "sq"], kernels.sequence_monitor(), ["event_id"])
 
 
-@query()
+@query(
+    f"WITH {ORDERED}, h AS (SELECT *, avg((value < 80)::INT) OVER (PARTITION BY user_id ORDER BY i ROWS 19 PRECEDING) AS c FROM o) SELECT user_id, event_id, round(c, 4) AS coverage, max((i >= 10 AND c < 0.6)::INT) OVER (PARTITION BY user_id ORDER BY i ROWS UNBOUNDED PRECEDING)::DOUBLE AS rollback FROM h"
+)
 def state_rollback_monitor(spark, d):
     e = events(spark, d).withColumn("hit", (F.col("value") < 80).cast("double"))
-    return rounded(kernels.in_batch(e, "user_id", ["t", "event_id"], "hit", kernels.rollback_monitor(20, 0.6, 10), ["event_id"]))
+    return rounded(monitoring.rollbacks(e, ["user_id"], ["t", "event_id"], "hit", 20, 0.6, 10).select("user_id", "event_id", "coverage", "rollback"))
 
 
-@query()
+@query(
+    recursion({"off": ("0.3 * (o.value - 50)", "0.3 * (o.value - r.recipe) + 0.7 * r.off"), "recipe": ("50 - 0.3 * (o.value - 50)", "50 - off_")}, "round(off, 4) + 0.0 AS offset, round(recipe, 4) + 0.0 AS recipe")
+)
 def state_run_to_run(spark, d):
     return rounded(kernels.in_batch(events(spark, d), "user_id", ["t", "event_id"], "value", kernels.run_to_run(50.0, 1.0, 0.3), ["event_id"]))
 

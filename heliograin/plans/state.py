@@ -11,8 +11,23 @@ from heliograin.streaming import kernels
 ORDERED = f"{EVENTS}, o AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS i FROM events_t)"
 
 
-def _run(spark, d, kernel):
-    return rounded(kernels.in_batch(events(spark, d), "user_id", ["t", "event_id"], "value", kernel, ["event_id"]))
+def recursion(state: dict[str, tuple[str, str]], out: str, rows: str = ORDERED, key: tuple[str, ...] = ("user_id", "event_id"), start: int = 1, before: str = "") -> str:
+    """SQL of a kernel over rows ``o``: the state's columns at each series' row ``start`` and after each next row.
+
+    A next value reads the row as o, the state before as r and columns set before it with an underscore added.
+    ``before`` gives the outputs of rows before ``start``.
+    """
+    names = ", ".join(f"o.{k} AS {k}" for k in key)
+    first, then = (", ".join(f"{x[j]} AS {n}{'_' * j}" for n, x in state.items()) for j in (0, 1))
+    early = f" UNION ALL SELECT {', '.join(key)}, {before} FROM o WHERE i < {start}" if before else ""
+    return (
+        f"WITH RECURSIVE {rows}, r AS (SELECT {names}, o.i AS i, {first} FROM o WHERE i = {start} UNION ALL SELECT {names}, o.i AS i_, {then} FROM r JOIN o ON o.{key[0]} = r.{key[0]} AND o.i = r.i + 1) "
+        f"SELECT {', '.join(key)}, {out} FROM r{early}"
+    )
+
+
+def _run(spark, d, kernel, digits=4):
+    return rounded(kernels.in_batch(events(spark, d), "user_id", ["t", "event_id"], "value", kernel, ["event_id"]), digits)
 
 
 @query(f"WITH RECURSIVE {ORDERED}, r AS (SELECT user_id, event_id, i, value AS ema FROM o WHERE i = 1 UNION ALL SELECT o.user_id, o.event_id, o.i, r.ema + (1::DOUBLE / 7) * (o.value - r.ema) FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1) SELECT user_id, event_id, round(ema, 4) AS ema FROM r")
@@ -54,9 +69,18 @@ def state_cusum(spark, d):
     return _run(spark, d, kernels.cusum(50.0, 5.0, 60.0))
 
 
-@query()
+@query(
+    recursion(
+        {
+            "c": ("1", "r.n + 1"), "m": ("o.value", "r.mean + (o.value - r.mean) / c_"), "s": ("-0.5::DOUBLE", "r.total + o.value - m_ - 0.5"), "b": ("-0.5::DOUBLE", "least(r.low, s_)"),
+            "dev": ("0.0::DOUBLE", "s_ - b_"), "signal": ("0.0::DOUBLE", "(c_ >= 10 AND s_ - b_ > 50)::INT::DOUBLE"),
+            "n": ("1", "CASE WHEN signal_ > 0 THEN 0 ELSE c_ END"), "mean": ("o.value", "CASE WHEN signal_ > 0 THEN 0 ELSE m_ END"), "total": ("-0.5::DOUBLE", "CASE WHEN signal_ > 0 THEN 0 ELSE s_ END"), "low": ("-0.5::DOUBLE", "CASE WHEN signal_ > 0 THEN 0 ELSE b_ END"),
+        },
+        "round(dev, 7) + 0.0 AS deviation, signal",
+    )
+)
 def state_page_hinkley(spark, d):
-    return _run(spark, d, kernels.page_hinkley(0.5, 50.0, 10))
+    return _run(spark, d, kernels.page_hinkley(0.5, 50.0, 10), 7)
 
 
 @query(
@@ -67,27 +91,57 @@ def state_ewma_chart(spark, d):
     return _run(spark, d, kernels.ewma_chart(50.0, 30.0, 0.2, 3.0))
 
 
-@query()
+@query(
+    recursion(
+        {"fit": ("NULL::DOUBLE", "CASE WHEN o.i = 2 THEN NULL ELSE r.level + r.trend END"), "level": ("o.value", "CASE WHEN o.i = 2 THEN o.value ELSE 0.5 * o.value + 0.5 * fit_ END"), "trend": ("0.0::DOUBLE", "CASE WHEN o.i = 2 THEN o.value - r.level ELSE 0.3 * (level_ - r.level) + 0.7 * r.trend END")},
+        "round(level + 1e-9, 7) AS level, round(trend + 1e-9, 7) + 0.0 AS trend, round(fit + 1e-9, 7) AS fitted",
+    )
+)
 def state_holt(spark, d):
-    return _run(spark, d, kernels.holt(0.5, 0.3))
+    # halves end on a 5 at any digit: a bit more makes both sides round alike
+    h = kernels.in_batch(events(spark, d), "user_id", ["t", "event_id"], "value", kernels.holt(0.5, 0.3), ["event_id"])
+    return rounded(h.withColumns({c: F.col(c) + 1e-9 for c in ("level", "trend", "fitted")}), 7)
 
 
-@query()
+@query(
+    recursion(
+        {
+            "fit": ("NULL::DOUBLE", "r.level + r.trend + r.seasonal[(o.i - 1) % 7 + 1]"), "level": ("list_avg(o.first)", "0.4 * (o.value - r.seasonal[(o.i - 1) % 7 + 1]) + 0.6 * (r.level + r.trend)"), "trend": ("0.0::DOUBLE", "0.2 * (level_ - r.level) + 0.8 * r.trend"),
+            "seasonal": ("list_transform(o.first, lambda x: x - list_avg(o.first))", "list_transform(range(1, 8), lambda k: CASE WHEN k = (o.i - 1) % 7 + 1 THEN 0.3 * (o.value - level_) + 0.7 * r.seasonal[k] ELSE r.seasonal[k] END)"),
+        },
+        "round(level, 4) AS level, round(fit, 4) AS fitted",
+        f"{ORDERED.replace('o AS (', 'o0 AS (')}, o AS (SELECT *, list(value) OVER (PARTITION BY user_id ORDER BY i ROWS 6 PRECEDING) AS first FROM o0)",
+        start=7,
+        before="NULL, NULL",
+    )
+)
 def state_holt_winters(spark, d):
     return _run(spark, d, kernels.holt_winters(0.4, 0.2, 0.3, 7))
 
 
-@query()
+@query(
+    recursion({"p1": ("0.0::DOUBLE", "r.p + 1"), "level": ("o.value", "r.level + p1_ / (p1_ + 25) * (o.value - r.level)"), "p": ("25.0::DOUBLE", "(1 - p1_ / (p1_ + 25)) * p1_")}, "round(level, 4) AS level")
+)
 def state_kalman(spark, d):
     return _run(spark, d, kernels.kalman(1.0, 25.0))
 
 
-@query()
+@query(
+    recursion({"health": ("least(greatest(o.value / 100, 0), 1)", "0.3 * least(greatest(o.value / 100, 0), 1) + 0.7 * r.health")}, "round(health, 4) AS health")
+)
 def state_health_index(spark, d):
     return _run(spark, d, kernels.health_index(0.0, 100.0, 0.3))
 
 
-@query()
+@query(
+    recursion(
+        {
+            "t": ("o.value", "greatest(r.top, o.value)"), "whole": ("false", "r.n = 4"), "hit": ("0.0::DOUBLE", "coalesce(whole_ AND t_ > 1.5 * r.mean, false)::INT::DOUBLE"), "shown": ("NULL::DOUBLE", "CASE WHEN whole_ THEN t_ END"),
+            "top": ("o.value", "CASE WHEN whole_ THEN '-infinity'::DOUBLE ELSE t_ END"), "n": ("1", "CASE WHEN whole_ THEN 0 ELSE r.n + 1 END"), "mean": ("NULL::DOUBLE", "CASE WHEN NOT whole_ THEN r.mean WHEN r.mean IS NULL THEN t_ ELSE r.mean + 0.2 * (t_ - r.mean) END"),
+        },
+        "round(shown, 4) AS window_max, hit AS spike",
+    )
+)
 def state_spikes(spark, d):
     return _run(spark, d, kernels.spikes(5, 0.2, 1.5))
 
@@ -149,7 +203,9 @@ def state_sessions(spark, d):
     return s.select("user_id", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "n")
 
 
-@query()
+@query(
+    recursion({"a": ("0.1 + 0.02 * (0.1 - (o.value > 90)::INT)::DOUBLE", "r.a + 0.02 * (0.1 - (o.value > 90)::INT)::DOUBLE")}, "round(least(greatest(a, 0), 1), 4) + 0.0 AS alpha")
+)
 def state_adaptive_alpha(spark, d):
     e = events(spark, d).withColumn("miss", (F.col("value") > 90).cast("double"))
     return rounded(kernels.in_batch(e, "user_id", ["t", "event_id"], "miss", kernels.adaptive_alpha(0.1, 0.02), ["event_id"]))

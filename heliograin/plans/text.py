@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from heliograin.operators import text
 from heliograin.plans.base import query, rounded, table
+from heliograin.plans.graph import ranked
 
 TOKENS = r"list_filter(string_split_regex(lower({c}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
 COUNTS = "counts AS (SELECT item_id AS id, term, count(*) AS n, any_value(length) AS length FROM (SELECT item_id, unnest(w) AS term, len(w) AS length FROM (SELECT item_id, " + TOKENS.format(c="text") + " AS w FROM benchmark)) GROUP BY ALL)"
@@ -31,16 +32,16 @@ def text_token_counts(spark, d):
 
 @query(
     r"WITH w AS (SELECT lang, unnest(list_transform(list_filter(string_split_regex(text, '[ \t\n\r\f\v]+'), lambda w: w <> ''), lambda w: regexp_replace(regexp_replace(lower(w), '^[.,;:!?" + '"' + r"''()\[\]{}]+', ''), '[.,;:!?" + '"' + r"''()\[\]{}]+$', ''))) AS term FROM documents) "
-    "SELECT lang, term, count(*) AS n FROM w WHERE term <> '' GROUP BY ALL HAVING count(*) >= 20"
+    "SELECT lang, term, count(*) AS n FROM w WHERE term <> '' GROUP BY ALL"
 )
 def text_normal_token_counts(spark, d):
     t = _docs(spark, d).select("lang", F.explode(text.normal_tokens(F.col("text"))).alias("term"))
-    return t.groupBy("lang", "term").agg(F.count(F.lit(1)).alias("n")).filter("n >= 20")
+    return t.groupBy("lang", "term").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {DOC_COUNTS} SELECT term, sum(n)::BIGINT AS total, count(*) AS df FROM dcounts GROUP BY ALL HAVING sum(n) >= 10")
+@query(f"WITH {DOC_COUNTS} SELECT term, sum(n)::BIGINT AS total, count(*) AS df FROM dcounts GROUP BY ALL")
 def text_vocabulary(spark, d):
-    return text.vocabulary(text.term_counts(_docs(spark, d), "doc_id", text.alphanumeric_tokens(F.col("text"))), 10)
+    return text.vocabulary(text.term_counts(_docs(spark, d), "doc_id", text.alphanumeric_tokens(F.col("text"))))
 
 
 @query(f"WITH {COUNTS}, f AS (SELECT term, count(*) AS df FROM counts GROUP BY ALL) SELECT id, term, round(n / length * (ln(((SELECT count(*) FROM benchmark) + 1) / (df + 1)) + 1), 6) AS weight FROM counts JOIN f USING (term)")
@@ -171,11 +172,18 @@ def text_edit_distance(spark, d):
     return p.join(b, "p_partkey").select(F.col("p_partkey").alias("a"), "b", F.levenshtein("p_type", "t").alias("distance"))
 
 
-@query("SELECT o_custkey AS id, true AS maybe FROM (SELECT DISTINCT o_custkey FROM orders)")
+# places of an item's bits, as the operator's hashes of the item's digest
+BLOOM_AT = "unnest(list_transform(range(7), lambda k: ((('0x' || substr(md5(id::VARCHAR), 1, 8))::BIGINT + k * ('0x' || substr(md5(id::VARCHAR), 9, 8))::BIGINT) % 16384)::BIGINT)) AS bit"
+
+
+@query(
+    f"WITH s AS (SELECT DISTINCT o_custkey AS id FROM orders WHERE o_orderkey % 3 = 0), p AS (SELECT c_custkey AS id FROM customer), bits AS (SELECT DISTINCT bit FROM (SELECT {BLOOM_AT} FROM s)) "
+    f"SELECT id, bool_and(bits.bit IS NOT NULL) AS maybe FROM (SELECT id, {BLOOM_AT} FROM p) q LEFT JOIN bits USING (bit) GROUP BY ALL"
+)
 def text_bloom_members(spark, d):
-    o = table(spark, d, "orders").select("o_custkey").distinct()
-    bits = text.bloom_bits(o, F.col("o_custkey"), 1 << 16, 5)
-    return text.bloom_contains(o, F.col("o_custkey"), "maybe", bits, 1 << 16, 5).select(F.col("o_custkey").alias("id"), "maybe")
+    held = table(spark, d, "orders").filter("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("id"))
+    probes = table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
+    return text.bloom_contains(probes, F.col("id"), "maybe", text.bloom_filter(held, F.col("id"), 1 << 14, 7), 1 << 14, 7)
 
 
 @query(
@@ -185,7 +193,10 @@ def text_cooccurrences(spark, d):
     return text.cooccurrences(table(spark, d, "benchmark"), "item_id", text.alphanumeric_tokens(F.col("text")), 3)
 
 
-@query()
+RANK_EDGES = f"b AS (SELECT item_id, {TOKENS.format(c='text')} AS w FROM benchmark), i AS (SELECT w, unnest(range(1, len(w) + 1)) AS i FROM b), e AS (SELECT w[i] AS src, unnest(w[i + 1:i + 3]) AS dst FROM i), x AS (SELECT * FROM e WHERE src <> dst), edges AS MATERIALIZED (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM x UNION ALL SELECT dst, src FROM x))"
+
+
+@query(f"WITH {RANK_EDGES}, {ranked('edges', 15)} SELECT node, round(rank, 8) AS rank FROM k15")
 def text_rank(spark, d):
     from heliograin.operators import graph
 
@@ -201,5 +212,5 @@ def text_coherence(spark, d):
     from pyspark.sql import Window as W
 
     c = _counts(spark, d)
-    v = text.vocabulary(c).withColumn("place", F.row_number().over(W.orderBy(F.col("df").desc(), "term"))).filter("place <= 12")  # a vocabulary
+    v = text.vocabulary(c).orderBy(F.col("df").desc(), "term").limit(12).withColumn("place", F.row_number().over(W.orderBy(F.col("df").desc(), "term")))  # twelve rows
     return rounded(text.coherence(c, v.select((F.col("place") % 3).alias("topic"), "term", "place")), 6)
