@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from heliograin.operators.flows import rarity
+
 # Vibration zone bounds in mm/s by machine group and support.
 ZONES = {(1, "rigid"): (2.3, 4.5, 7.1), (1, "flexible"): (3.5, 7.1, 11.0), (2, "rigid"): (1.4, 2.8, 4.5), (2, "flexible"): (2.3, 4.5, 7.1)}
 # Control-chart constants by subgroup size: d2, d3, c4.
@@ -142,3 +146,40 @@ def rollbacks(df: DataFrame, keys: list[str], order: list[str], hit: str, window
     rows = df.filter(F.col(hit).isNotNull()).withColumns({"coverage": F.avg(hit).over(w.rowsBetween(1 - window, 0)), "_n": F.row_number().over(w)})
     low = ((F.col("_n") >= F.lit(least)) & (F.col("coverage") < floor)).cast("double")
     return rows.withColumn("rollback", F.max(low).over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_n")
+
+
+def market_scan(candles: DataFrame, symbol: str, order: list[str], price: str, strategies: list[tuple[int, int]], least_return: float = 0.0, most_drawdown: float = 1.0, least_trades: int = 1) -> DataFrame:
+    """Rows (symbol, fast, slow, total_return, max_drawdown, trades, score, proof): crossing strategies of each symbol that meet the constraints.
+
+    Returns and drawdowns are of an equity that starts at the first price. The score weighs return against drawdown;
+    the proof is the SHA-256 of the other columns, so a row can be verified.
+    """
+    found = []
+    s = W.partitionBy(symbol).orderBy(*order)
+    for fast, slow in strategies:
+        r = crossing_strategy(candles, [symbol], order, price, fast, slow)
+        r = r.withColumns({"_first": F.first(price).over(s), "_equity": F.first(price).over(s) + F.sum("pnl").over(s), "_turn": (F.col("position") != F.coalesce(F.lag("position").over(s), F.lit(0.0))).cast("int")})
+        r = r.withColumn("_peak", F.max("_equity").over(s.rowsBetween(W.unboundedPreceding, 0)))
+        found.append(
+            r.groupBy(symbol).agg(
+                F.lit(fast).alias("fast"), F.lit(slow).alias("slow"), (F.sum("pnl") / F.first("_first")).alias("total_return"),
+                F.max((F.col("_peak") - F.col("_equity")) / F.col("_peak")).alias("max_drawdown"), F.sum("_turn").alias("trades"),
+            )
+        )
+    all_of = reduce(DataFrame.unionByName, found).filter((F.col("total_return") >= least_return) & (F.col("max_drawdown") <= most_drawdown) & (F.col("trades") >= least_trades))
+    scored = all_of.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.5 + F.col("total_return") / 2 - F.col("max_drawdown") / 2)))
+    return scored.withColumn("proof", scan_proof(symbol))
+
+
+def scan_proof(symbol: str) -> Column:
+    """The digest of a scan's row; equal to its proof unless the row was changed."""
+    fixed = lambda c: F.round(F.col(c) * 1e6).cast("long").cast("string")
+    return F.sha2(F.concat_ws("|", F.col(symbol), F.col("fast").cast("string"), F.col("slow").cast("string"), fixed("total_return"), fixed("max_drawdown"), F.col("trades").cast("string"), fixed("score")), 256)
+
+
+def baseline_alarms(learn: DataFrame, calibrate: DataFrame, rows: DataFrame, key: str, seen: str, quantile: float, unseen: float = 8.0) -> DataFrame:
+    """``rows`` with score and alarm: rarity of the key (a function code, say) and of the address against a learned baseline, over
+    the calibration rows' quantile of scores. The bound is one broadcast row."""
+    bound = rarity(learn, calibrate, key, seen, unseen).agg(F.percentile("score", F.lit(quantile)).alias("_bound"))
+    scored = rarity(learn, rows, key, seen, unseen).crossJoin(F.broadcast(bound))
+    return scored.withColumn("alarm", F.col("score") > F.col("_bound") + 1e-9).drop("_bound")

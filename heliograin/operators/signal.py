@@ -98,6 +98,25 @@ def cfar(df: DataFrame, keys: list[str], order: list[str], x: str, guard: int, t
     return df.withColumn("detected", F.coalesce(full & (F.col(x) > alpha * F.when(full, noise)), F.lit(False)))
 
 
+def cfar_2d(df: DataFrame, keys: list[str], x: str, y: str, power: str, guard: int, train: int, alpha: float) -> DataFrame:
+    """``df`` with detected: a cell of a grid over alpha times the mean of the cells up to ``guard + train`` away, without those up to ``guard``.
+
+    Box sums are taken along x and then along y, each by one window over a line of the grid. Cells
+    whose boxes are not whole, as at the edges, are not detected.
+    """
+    def along(c):
+        return W.partitionBy(*keys, y if c == x else x).orderBy(c)
+
+    wide, near = guard + train, guard
+    rows = df.withColumn("_one", F.lit(1))
+    rows = rows.withColumns({f"_{n}{r}": F.sum(v).over(along(x).rangeBetween(-r, r)) for r in (wide, near) for n, v in (("s", power), ("n", "_one"))})
+    rows = rows.withColumns({f"_{n}_{r}": F.sum(f"_{n}{r}").over(along(y).rangeBetween(-r, r)) for r in (wide, near) for n in "sn"})
+    side = 2 * wide + 1
+    noise = (F.col(f"_s_{wide}") - F.col(f"_s_{near}")) / (side**2 - (2 * near + 1) ** 2)
+    out = rows.withColumn("detected", F.coalesce((F.col(f"_n_{wide}") == side**2) & (F.col(power) > alpha * noise), F.lit(False)))
+    return out.select(*df.columns, "detected")
+
+
 def ca_alpha(cells: int, false_alarm: float) -> float:
     return cells * (false_alarm ** (-1.0 / cells) - 1.0)
 

@@ -198,3 +198,32 @@ def state_run_to_run(spark, d):
 @query()
 def state_rainflow(spark, d):
     return rounded(kernels.rainflow(candles(spark, d), "symbol", ["day"], "close"))
+
+
+def _scan(fast: int, slow: int) -> str:
+    return (
+        f"(WITH m AS (SELECT symbol, day, close, CASE WHEN count(*) OVER b = {slow} THEN sign(avg(close) OVER a - avg(close) OVER b) ELSE 0 END AS pos FROM candles WINDOW a AS (PARTITION BY symbol ORDER BY day ROWS {fast - 1} PRECEDING), b AS (PARTITION BY symbol ORDER BY day ROWS {slow - 1} PRECEDING)), "
+        "p AS (SELECT *, coalesce(lag(pos) OVER w * (close - lag(close) OVER w), 0) AS pnl, (pos <> coalesce(lag(pos) OVER w, 0))::INT AS turn, first(close) OVER w AS f FROM m WINDOW w AS (PARTITION BY symbol ORDER BY day)), "
+        "e AS (SELECT *, f + sum(pnl) OVER (PARTITION BY symbol ORDER BY day) AS equity FROM p), k AS (SELECT *, max(equity) OVER (PARTITION BY symbol ORDER BY day ROWS UNBOUNDED PRECEDING) AS peak FROM e) "
+        f"SELECT symbol, {fast} AS fast, {slow} AS slow, sum(pnl) / any_value(f) AS total_return, max((peak - equity) / peak) AS max_drawdown, sum(turn)::BIGINT AS trades FROM k GROUP BY ALL)"
+    )
+
+
+@query(
+    f"WITH {CANDLES}, s AS (SELECT *, greatest(0, least(1, 0.5 + total_return / 2 - max_drawdown / 2)) AS score FROM ({_scan(5, 20)} UNION ALL {_scan(10, 30)} UNION ALL {_scan(20, 60)}) WHERE total_return >= -100 AND trades >= 3 AND max_drawdown <= 1000) "
+    "SELECT symbol, fast, slow, round(total_return, 4) AS total_return, round(max_drawdown, 4) AS max_drawdown, trades, round(score, 4) AS score, "
+    "sha256(concat_ws('|', symbol, fast, slow, round(total_return * 1e6)::BIGINT, round(max_drawdown * 1e6)::BIGINT, trades, round(score * 1e6)::BIGINT)) AS proof FROM s"
+)
+def monitoring_market_scan(spark, d):
+    return rounded(monitoring.market_scan(candles(spark, d), "symbol", ["day"], "close", [(5, 20), (10, 30), (20, 60)], -100.0, 1000.0, 3))
+
+
+@query(
+    "WITH t AS (SELECT l_linenumber AS k, l_suppkey AS a FROM lineitem WHERE l_orderkey % 4 = 0), c AS (SELECT k, count(*) AS n FROM t GROUP BY ALL), sc AS (SELECT l_orderkey, l_linenumber, l_orderkey % 4 AS part, -log2((coalesce(c.n, 0) + 1) / ((SELECT count(*) FROM t) + 1)) + CASE WHEN l_suppkey IN (SELECT a FROM t) THEN 0 ELSE 8 END AS score FROM lineitem LEFT JOIN c ON l_linenumber = c.k WHERE l_orderkey % 4 < 3), "
+    "q AS (SELECT quantile_cont(score, 0.9) AS bound FROM sc WHERE part = 1) SELECT l_linenumber AS k, count(*) AS n, count(*) FILTER (score > bound + 1e-9) AS alarms FROM sc, q WHERE part = 2 GROUP BY ALL"
+)
+def monitoring_protocol_baseline(spark, d):
+    li = table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("k"), F.col("l_suppkey").alias("a"))
+    part = lambda n: li.filter(F.col("l_orderkey") % 4 == n).drop("l_orderkey")
+    found = monitoring.baseline_alarms(part(0), part(1), part(2), "k", "a", 0.9)
+    return found.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("alarm"), 1)).alias("alarms"))

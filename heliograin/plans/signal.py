@@ -75,6 +75,25 @@ def signal_cfar_go(spark, d):
     return _detect(spark, d, "go")
 
 
+@query(_cfar("so", "least(list_avg(a), list_avg(b))"))
+def signal_cfar_so(spark, d):
+    return _detect(spark, d, "so")
+
+
+@query(_cfar("tm", "list_sum(list_sort(list_concat(a, b))[3:8]) / 6"))
+def signal_cfar_tm(spark, d):
+    return _detect(spark, d, "tm")
+
+
+@query(
+    "WITH g AS (SELECT l_suppkey % 30 AS x, l_partkey % 30 AS y, round(sum(l_quantity) * 100)::BIGINT AS p FROM lineitem GROUP BY ALL), b AS (SELECT a.x, a.y, a.p, count(*) AS n, sum(b.p) AS s, sum(b.p) FILTER (abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1) AS c FROM g a JOIN g b ON abs(a.x - b.x) <= 3 AND abs(a.y - b.y) <= 3 GROUP BY ALL) "
+    "SELECT x, y, p, n = 49 AND p > 1.1 * (s - c) / 40 AS detected FROM b"
+)
+def signal_cfar_2d(spark, d):
+    g = table(spark, d, "lineitem").groupBy((F.col("l_suppkey") % 30).alias("x"), (F.col("l_partkey") % 30).alias("y")).agg(F.round(F.sum("l_quantity") * 100).cast("long").alias("p"))
+    return signal.cfar_2d(g, [], "x", "y", "p", 1, 2, 1.1)
+
+
 @query(_cfar("os", "list_sort(list_concat(a, b))[7]"))
 def signal_cfar_os(spark, d):
     return _detect(spark, d, "os")

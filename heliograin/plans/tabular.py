@@ -141,3 +141,29 @@ def source_turbofan_lines(spark, d):
     o = table(spark, d, "orders").withColumn("cycle", F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey")))
     lines = o.select(F.concat_ws(" ", F.col("o_custkey"), F.col("cycle"), *[F.lit(str(k * 0.5)) for k in range(24)]).alias("value"))
     return files.parse_turbofan(lines).select("unit", "cycle", "rul")
+
+
+@query("SELECT o_custkey AS unit, row_number() OVER w AS cycle, least(count(*) OVER (PARTITION BY o_custkey) - row_number() OVER w, 5) AS rul FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)")
+def source_clipped_targets(spark, d):
+    return files.clip_targets(source_turbofan_lines(spark, d), "rul", 5)
+
+
+@query(
+    "SELECT p_partkey AS row, round(p_size + 0.5, 4) AS first, isnan(CASE WHEN p_partkey % 7 = 0 THEN 'NaN'::DOUBLE ELSE p_retailprice END) AS missing, (p_size % 3 = 0)::INT AS label, '19/07/2008 ' || p_size AS at FROM part"
+)
+def source_process_rows(spark, d):
+    p = table(spark, d, "part")
+    price = F.when(F.col("p_partkey") % 7 == 0, "NaN").otherwise(F.col("p_retailprice").cast("string"))
+    lines = p.select(F.col("p_partkey").alias("row"), F.concat_ws(" ", (F.col("p_size") + 0.5).cast("string"), price, F.lit("3")).alias("value"))
+    labels = p.select(F.col("p_partkey").alias("row"), F.concat(F.when(F.col("p_size") % 3 == 0, "1").otherwise("-1"), F.lit(' "19/07/2008 '), F.col("p_size").cast("string"), F.lit('"')).alias("value"))
+    found = files.parse_process_rows(lines, labels, width=3)
+    return rounded(found.select("row", F.col("features")[0].alias("first"), F.isnan(F.col("features")[1]).alias("missing"), "label", "at"))
+
+
+@query("SELECT l_orderkey AS \"group\", round(l_extendedprice, 4) AS target, round(l_discount, 4) AS a, round(l_quantity, 4) AS b, round(l_tax, 4) AS c FROM lineitem")
+def source_drive_log(spark, d):
+    li = table(spark, d, "lineitem").select("l_tax", F.col("l_extendedprice").alias("speed"), "l_quantity", F.col("l_orderkey").alias("segment_id"), "l_discount")
+    path = new_path(spark, "drive")
+    files.write_csv(li, path)
+    found = files.parse_drive_log(files.read_csv(spark, path, li.schema), "speed")
+    return rounded(found.select("group", "target", *[F.col("features")[k].alias(n) for k, n in enumerate("abc")]))

@@ -214,3 +214,14 @@ def text_coherence(spark, d):
     c = _counts(spark, d)
     v = text.vocabulary(c).orderBy(F.col("df").desc(), "term").limit(12).withColumn("place", F.row_number().over(W.orderBy(F.col("df").desc(), "term")))  # twelve rows
     return rounded(text.coherence(c, v.select((F.col("place") % 3).alias("topic"), "term", "place")), 6)
+
+
+@query(
+    r"WITH s AS (SELECT doc_id, unnest(string_split_regex(text, '[.!?\n]+')) AS sentence FROM documents), w AS (SELECT doc_id, list_filter(string_split_regex(sentence, '[ \t\n\r\f\v]+'), lambda w: w <> '') AS w FROM s), "
+    "m AS (SELECT doc_id, w, list_min(list_filter(range(1, len(w) - 2), lambda i: lower(w[i + 1]) = 'of' AND lower(w[i + 2]) = 'the')) AS i FROM w) "
+    "SELECT doc_id, array_to_string(w[:i], ' ') AS subject, array_to_string(w[i + 3:], ' ') AS object, count(*) AS n FROM m WHERE i IS NOT NULL GROUP BY ALL"
+)
+def text_relations(spark, d):
+    s = _docs(spark, d).select("doc_id", F.explode(F.split("text", r"[.!?\n]+")).alias("sentence"))
+    found = s.select("doc_id", text.tokens(F.col("sentence")).alias("w")).select("doc_id", text.relation(F.col("w"), "{SUBJ} of the {OBJ}").alias("r"))
+    return found.filter("r is not null").groupBy("doc_id", "r.subject", "r.object").agg(F.count(F.lit(1)).alias("n"))

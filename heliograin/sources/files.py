@@ -64,3 +64,8 @@ def parse_drive_log(frame: DataFrame, target: str, group: str = "segment_id") ->
         raise ValueError(f"{target} and {group} are asked for")
     channels = sorted(c for c in frame.columns if c not in (target, group))
     return frame.select(F.col(group).alias("group"), F.col(target).cast("double").alias("target"), F.array(*[F.col(c).cast("double") for c in channels]).alias("features"))
+
+
+def clip_targets(df: DataFrame, column: str, most: float) -> DataFrame:
+    """``df`` with a column's values of at most ``most``; nulls stay."""
+    return df.withColumn(column, F.when(F.col(column) > most, F.lit(most).cast(df.schema[column].dataType)).otherwise(F.col(column)))

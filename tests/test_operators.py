@@ -250,6 +250,67 @@ def test_minhash_links_query_against_brute_force(spark, tmp_path):
     assert got <= near and groups(got) == groups(near) and len(got) < len(sets)
 
 
+def test_order_statistics_of_large_and_tied_groups(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    groups = {"a": rng.integers(0, 40, 5000).astype(float), "b": rng.standard_normal(3000), "c": np.array([1.0, 5.0]), "d": np.full(2500, 7.0), None: rng.standard_normal(1500)}
+    frame = spark.createDataFrame([(k, float(x)) for k, xs in groups.items() for x in xs], "k string, x double")
+    points = [0.0, 0.003, 0.25, 0.5, 0.9, 0.999, 1.0]
+    for r in stats.quantiles(frame, ["k"], "x", points).collect():
+        assert np.allclose(r[1:], np.quantile(groups[r.k], points))
+    for r in stats.mad(frame, ["k"], "x", consistent=False).collect():
+        assert abs(r.mad - np.median(np.abs(groups[r.k] - np.median(groups[r.k])))) < 1e-12
+    for r in stats.trimmed_mean(frame, ["k"], "x", 0.1).collect():
+        v = np.sort(groups[r.k])
+        k = int(len(v) * 0.1)
+        w = np.clip(v, v[k], v[len(v) - k - 1])
+        assert abs(r.trimmed_mean - v[k : len(v) - k].mean()) < 1e-9 and abs(r.winsorized_mean - w.mean()) < 1e-9
+    assert stats.quantiles(frame, [], "x", [0.5]).collect()[0][0] == np.median(np.concatenate(list(groups.values())))
+
+
+def test_tails_against_known_values(spark):
+    from heliograin.functions import tails
+
+    one = spark.range(1)
+    value = lambda c: one.select(c).first()[0]
+    # tabulated critical values
+    for t, dof, p in ((12.706, 1, 0.05), (2.571, 5, 0.05), (2.042, 30, 0.05), (1.96, 10**7, 0.05), (3.169, 10, 0.01)):
+        assert abs(value(tails.t_tail(F.lit(t), F.lit(dof))) - p) < 5e-5
+    for x, dof, p in ((3.841, 1, 0.05), (18.307, 10, 0.05), (124.342, 100, 0.05), (6.635, 1, 0.01)):
+        assert abs(value(tails.chi_square_tail(F.lit(x), F.lit(dof))) - p) < 2e-5
+    for x, a, b, p in ((4.965, 1, 10, 0.05), (3.326, 5, 10, 0.05), (1.0, 10**5, 10**5, 0.5)):
+        assert abs(value(tails.f_tail(F.lit(x), F.lit(a), F.lit(b))) - p) < 5e-5
+    assert value(tails.t_tail(F.lit(0.0), F.lit(4), "greater")) == 0.5 and value(tails.t_tail(F.lit(-2.571), F.lit(5), "less")) < 0.0251
+    assert value(tails.kolmogorov_tail(F.lit(0.0), F.lit(10))) == 1.0 and abs(value(tails.kolmogorov_tail(F.lit(1.358 / 1000), F.lit(10**6))) - 0.05) < 2e-3
+
+
+def test_autoregression_against_the_recursion(spark):
+    import numpy as np
+
+    from heliograin.operators import fitting
+
+    x = np.random.default_rng(5).standard_normal(80).cumsum()
+    frame = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(x)] + [("b", i, 2.0) for i in range(6)] + [("c", 0, 1.0)], "k string, i int, x double")
+    got = {r.k: r for r in fitting.autoregression(frame, ["k"], ["i"], "x", 4, 3).collect()}
+    r = np.array([((x[: 80 - k] - x.mean()) * (x[k:] - x.mean())).sum() for k in range(5)])
+    phi = np.linalg.solve(np.array([[r[abs(i - j)] for j in range(4)] for i in range(4)]), r[1:])
+    last, want = list(x[-4:]), []
+    for _ in range(3):
+        want.append(x.mean() * (1 - phi.sum()) + sum(c * v for c, v in zip(phi, reversed(last[-4:]))))
+        last.append(want[-1])
+    assert np.allclose([got["a"][f"phi_{k}"] for k in range(1, 5)], phi) and np.allclose([got["a"][f"forecast_{k}"] for k in range(1, 4)], want)
+    assert got["b"].intercept == 2.0 and got["b"].phi_1 == 0.0 and got["b"].forecast_3 == 2.0 and "c" not in got
+
+
+def test_relations_by_pattern(spark):
+    one = spark.createDataFrame([("the cat Is part of a big house".split(),)], "w array<string>")
+    pair = lambda p: (lambda r: r and (r.subject, r.object))(one.select(text.relation(F.col("w"), p)).first()[0])
+    assert pair("{SUBJ} is part of {OBJ}") == ("the cat", "a big house") and pair("{OBJ} is * of {SUBJ}") == ("a big house", "the cat")
+    assert pair("{SUBJ} is") == ("the cat", "") and pair("the cat {OBJ}") == ("", "Is part of a big house") and pair("{SUBJ} runs {OBJ}") is None
+    assert pair("{SUBJ} house {OBJ}") is None and pair("no placeholder") is None
+
+
 def test_bloom_filters_never_miss(spark):
     df = spark.range(500)
     held = text.bloom_filter(df, F.col("id"), 1 << 13, 4)
