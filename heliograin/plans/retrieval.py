@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from heliograin.operators import retrieval, text
 from heliograin.plans.base import query, rounded, table
-from heliograin.plans.text import COUNTS
+from heliograin.plans.text import COUNTS, DOC_COUNTS
 
 COS = "list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[])"
 TOP = f"top AS (SELECT q.vec_id AS query, e.vec_id AS id, {COS} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS} DESC, e.vec_id)::INT AS rank FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0 QUALIFY rank <= 10)"
@@ -54,29 +54,41 @@ def retrieval_ivf_full_probe(spark, d):
 
 
 BM25 = (
-    f"{COUNTS}, f AS (SELECT term, count(*) AS df FROM counts GROUP BY ALL), s AS (SELECT count(*) AS docs, avg(length) AS mean FROM (SELECT DISTINCT id, length FROM counts)), "
-    "q AS (SELECT DISTINCT id AS query, term FROM counts WHERE id % 20 = 0), bm AS (SELECT query, id, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * length / mean))) AS score FROM q JOIN counts USING (term) JOIN f USING (term), s GROUP BY ALL)"
+    f"{COUNTS}, {DOC_COUNTS}, f AS (SELECT term, count(*) AS df FROM dcounts GROUP BY ALL), s AS (SELECT count(*) AS docs, avg(length) AS mean FROM (SELECT DISTINCT id, length FROM dcounts)), "
+    "q AS (SELECT id AS query, term, n AS m FROM counts WHERE id % 20 = 0), bm AS (SELECT query, id, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * length / mean))) AS score FROM q JOIN dcounts USING (term) JOIN f USING (term), s GROUP BY ALL), "
+    "bt AS (SELECT query, id, round(score, 6) AS score, (row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, id))::INT AS rank FROM bm QUALIFY rank <= 10)"
 )
 
 
+def _terms(spark, d):
+    """Term counts of documents, and those of the benchmark items that ask."""
+    docs = text.term_counts(table(spark, d, "documents").select("doc_id", "text"), "doc_id", text.alphanumeric_tokens(F.col("text")))
+    items = table(spark, d, "benchmark").filter("item_id % 20 = 0")
+    return docs, text.term_counts(items, "item_id", text.alphanumeric_tokens(F.col("text")))
+
+
 def _bm25(spark, d):
-    c = text.term_counts(table(spark, d, "benchmark"), "item_id", text.alphanumeric_tokens(F.col("text")))
-    s = c.select("id", "length").distinct().agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean_length"))
-    return retrieval.bm25(c, c.filter("id % 20 = 0").select(F.col("id").alias("query"), "term"), s)
+    docs, asked = _terms(spark, d)
+    s = docs.select("id", "length").distinct().agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean_length"))
+    scored = retrieval.bm25(docs, asked.select(F.col("id").alias("query"), "term"), s)
+    return retrieval.top_k(rounded(scored, 9), "query", "score", "id", 10)
 
 
-@query(f"WITH {BM25} SELECT query, id, round(score, 6) AS score FROM bm")
+@query(f"WITH {BM25} SELECT query, id, score, rank FROM bt")
 def retrieval_bm25(spark, d):
-    return rounded(_bm25(spark, d), 6)
+    return rounded(_bm25(spark, d).select("query", "id", "score", "rank"), 6)
 
 
 @query(
-    f"WITH {TOP}, {BM25.replace('counts AS', 'counts AS', 1)}, r AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, id) AS rank FROM bm WHERE query <> id QUALIFY rank <= 10), "
-    "a AS (SELECT query, id, rank FROM top UNION ALL SELECT query, id, rank FROM r) SELECT query, id, round(sum(1.0 / (60 + rank)), 8) AS score FROM a GROUP BY ALL"
+    f"WITH {BM25}, o AS (SELECT id, sqrt(sum(n * n)) AS norm FROM dcounts GROUP BY ALL), p AS (SELECT query, sqrt(sum(m * m)) AS norm FROM q GROUP BY ALL), c AS (SELECT query, id, sum(m * n) AS dot FROM q JOIN dcounts USING (term) GROUP BY ALL), "
+    "ct AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY round(dot / (o.norm * p.norm), 9) DESC, id) AS rank FROM c JOIN o USING (id) JOIN p USING (query) QUALIFY rank <= 10) "
+    "SELECT query, id, round(sum(1.0 / (60 + rank)), 8) AS score FROM (SELECT query, id, rank FROM bt UNION ALL SELECT query, id, rank FROM ct) GROUP BY ALL"
 )
 def retrieval_hybrid_fusion(spark, d):
-    b = retrieval.top_k(rounded(_bm25(spark, d), 9).filter("query <> id"), "query", "score", "id", 10).select("query", "id", "rank")
-    return rounded(retrieval.rank_fusion(_dense(spark, d).select("query", "id", "rank").union(b)), 8)
+    docs, asked = _terms(spark, d)
+    near = retrieval.top_k(rounded(text.pair_similarity(docs, asked, "cosine", within=False).withColumnRenamed("similarity", "score"), 9), "query", "score", "id", 10)
+    both = [x.select("query", "id", "rank") for x in (_bm25(spark, d), near)]
+    return rounded(retrieval.rank_fusion(both[0].union(both[1])), 8)
 
 
 @query(

@@ -81,6 +81,15 @@ def text_jaccard(spark, d):
     return rounded(_similar(spark, d, "jaccard"), 6)
 
 
+@query(
+    f"WITH {DOC_COUNTS}, o AS (SELECT id, count(*) AS terms FROM dcounts GROUP BY ALL), b AS (SELECT x.id AS query, y.id AS id, count(*) AS common FROM dcounts x JOIN dcounts y USING (term) WHERE x.id % 20 = 0 AND x.id <> y.id GROUP BY ALL), "
+    "s AS (SELECT query, b.id, common / (o.terms + q.terms - common) AS similarity FROM b JOIN o ON b.id = o.id JOIN o q ON b.query = q.id) SELECT query, id, round(similarity, 6) AS similarity FROM s WHERE similarity >= 0.5"
+)
+def text_jaccard_above(spark, d):
+    c = text.term_counts(_docs(spark, d), "doc_id", text.alphanumeric_tokens(F.col("text")))
+    return rounded(text.jaccard_above(c, c.filter("id % 20 = 0"), 0.5), 6)
+
+
 @query(_pairs("least / (o.words + q.words - least)"))
 def text_weighted_jaccard(spark, d):
     return rounded(_similar(spark, d, "weighted"), 6)
