@@ -39,11 +39,11 @@ def fitting_quantile_regression(spark, d):
     return rounded(li.agg(F.lit(a).alias("intercept"), F.lit(b).alias("slope"), loss.alias("loss")), 2)
 
 
-@query("SELECT p_partkey, round(p_size * p_retailprice / (p_size + 10) + 1e-7, 5) AS value, round(sqrt((p_retailprice * 10 / (p_size + 10) ** 2 * 0.5) ** 2 + (p_size / (p_size + 10) * 0.01 * p_retailprice) ** 2) + 1e-7, 5) AS uncertainty FROM part")
+@query("SELECT p_partkey, round(p_size * p_retailprice / (p_size + 10) + 1e-7, 5) AS value, round(sqrt((p_retailprice * 10 / (p_size + 10) ** 2 / 3) ** 2 + (p_size / (p_size + 10) * 0.01 * p_retailprice) ** 2) + 1e-7, 5) AS uncertainty FROM part")
 def fitting_uncertainty(spark, d):
     p = table(spark, d, "part")
     x, f = [F.col("p_size").cast("double"), F.col("p_retailprice")], lambda a, b: a * b / (a + 10)
-    return rounded(p.select("p_partkey", (f(*x) + 1e-7).alias("value"), (fitting.combined_uncertainty(f, x, [F.lit(0.5), 0.01 * F.col("p_retailprice")]) + 1e-7).alias("uncertainty")), 5)
+    return rounded(p.select("p_partkey", (f(*x) + 1e-7).alias("value"), (fitting.combined_uncertainty(f, x, [F.lit(1 / 3), 0.01 * F.col("p_retailprice")]) + 1e-7).alias("uncertainty")), 5)
 
 
 @query(
