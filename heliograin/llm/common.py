@@ -8,6 +8,8 @@ text, never the partition.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 
 import numpy as np
@@ -108,7 +110,7 @@ def keep_rows(docs: DataFrame, made, keep) -> DataFrame:
             mask = pa.array(keep(b.column(b.num_columns - 1)), pa.bool_())
             yield pa.RecordBatch.from_arrays(b.columns[:-1], names).filter(mask)
 
-    return docs.withColumns({"_made_for_keep_rows": made}).mapInArrow(run, kinds).toDF(*docs.columns)
+    return docs.withColumns({"_made_for_keep_rows": made}).mapInArrow(tidy(run), kinds).toDF(*docs.columns)
 
 
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -127,12 +129,12 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[ends[0] : ends[-1]], ends - ends[0]
 
 
-def blocks(offsets: np.ndarray, most: int = BLOCK_BYTES):
-    """Row ranges of about ``most`` bytes; a longer single row is a range of its own."""
+def blocks(offsets: np.ndarray, most: int = BLOCK_BYTES, rows: int = 1 << 30):
+    """Row ranges of about ``most`` bytes and ``rows`` rows at most; a longer single row is a range of its own."""
     lo, n = 0, len(offsets) - 1
     while lo < n:
         hi = int(np.searchsorted(offsets, offsets[lo] + most, "right")) - 1
-        hi = min(max(hi, lo + 1), n)
+        hi = min(max(hi, lo + 1), lo + rows, n)
         yield lo, hi
         lo = hi
 
@@ -154,6 +156,23 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def tidy(run):
+    """A batch function that hands memory back to the system when its task ends: workers are reused, and an executor's limit counts what idle ones hold."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.enable()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+            if trim is not None:
+                trim(0)
+
+    return wrapped
+
+
 def with_word_counts(rows: DataFrame, text_col: str, name: str) -> DataFrame:
     """``rows`` with the number of words of a text column (null: 0) as a long in its place, named ``name``."""
     rest = [c for c in rows.columns if c != text_col]
@@ -166,7 +185,7 @@ def with_word_counts(rows: DataFrame, text_col: str, name: str) -> DataFrame:
             n = np.concatenate(n) if n else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int64())], [*rest, name])
 
-    return rows.select(*rest, text_col).mapInArrow(run, f"{kinds}, `{name}` long")
+    return rows.select(*rest, text_col).mapInArrow(tidy(run), f"{kinds}, `{name}` long")
 
 
 def mix(h: np.ndarray) -> np.ndarray:

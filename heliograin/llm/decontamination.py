@@ -291,7 +291,7 @@ def matches(
                             ["id", "item", "similarity", "start", "end"],
                         )
 
-        return body.mapInArrow(run, "id long, item long, similarity double, start long, end long")
+        return body.mapInArrow(C.tidy(run), "id long, item long, similarity double, start long, end long")
 
     return reduce(DataFrame.union, map(scanned, benchmark_parts(benchmark, item_col, item_text_col)))
 

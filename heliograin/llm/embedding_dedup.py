@@ -110,7 +110,7 @@ _MEAN = pa.schema([("label", pa.string()), ("dim", pa.int32()), ("n", pa.int64()
 
 def means(nodes: DataFrame) -> DataFrame:
     """Rows (of, n, mean): the mean unit vector of each group; ``of`` names the group."""
-    part = nodes.select("label", "dim", "unit").mapInArrow(_summed, "label string, dim int, n long, total binary")
+    part = nodes.select("label", "dim", "unit").mapInArrow(C.tidy(_summed), "label string, dim int, n long, total binary")
     made = part.groupBy("label", "dim").applyInArrow(lambda t: _mean(t), "label string, dim int, n long, mean binary")
     return made.select(F.struct("label", "dim").alias("of"), "n", "mean")
 
@@ -246,11 +246,11 @@ def neighbourhoods(nodes: DataFrame, threshold: float, passes: int = PASSES, win
         first = 0 if found is None else first + passes
         passes = passes if found is None else MORE_PASSES
         near = (
-            centred.mapInArrow(_projected(first, passes, seed), "pass int, label string, dim int, key long, node long, unit binary")
+            centred.mapInArrow(C.tidy(_projected(first, passes, seed)), "pass int, label string, dim int, key long, node long, unit binary")
             .repartitionByRange(parts, *sort)
             .sortWithinPartitions(*sort)
             .select("pass", F.xxhash64("label").alias("place"), "dim", "node", "unit")
-            .mapInArrow(_neighbours(window, threshold - MARGIN), "a long, b long")
+            .mapInArrow(C.tidy(_neighbours(window, threshold - MARGIN)), "a long, b long")
         )
         near = C.cut(near.distinct())
         if found is None:
@@ -273,7 +273,7 @@ def near_vectors(
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = C.cut(
         vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v")).mapInArrow(
-            _units, "id long, digest binary, dim int, label string, unit binary"
+            C.tidy(_units), "id long, digest binary, dim int, label string, unit binary"
         )
     )
     nodes = C.cut(
@@ -294,7 +294,7 @@ def near_vectors(
         .repartition(parts, "component", "pair")
         .sortWithinPartitions("component", "pair", "chunk")
     )
-    found = C.cut(dealt.mapInArrow(_blocks(threshold), "node long, n long, other long"))
+    found = C.cut(dealt.mapInArrow(C.tidy(_blocks(threshold)), "node long, n long, other long"))
     links = found.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))
     groups = C.cut(C.components(links))
     named = nodes.select("node", "rep", "m", "digest").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -309,3 +309,12 @@ def near_vectors(
 def op3_embedding_dedup(spark, sf_dir: str) -> DataFrame:
     found = near_vectors(C.table(spark, sf_dir, "embeddings"))
     return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
+
+
+ORACLE = f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= {THRESHOLD}),
+reached AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY a), c AS (SELECT a, min(b) AS c FROM reached GROUP BY a)
+SELECT vec_id, COALESCE(n, 0) AS n_links, c AS component_id, c = vec_id AS kept FROM v JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id
+"""

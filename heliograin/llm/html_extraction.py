@@ -79,7 +79,7 @@ def host_of(url):
 def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Rows (host, pages, wrapper): one expression for each host, as JSON."""
     read = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).filter("html is not null")
-    part = read.mapInArrow(_inferred, _WRAPPER).withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)))
+    part = read.mapInArrow(C.tidy(_inferred), _WRAPPER).withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)))
     part = part.groupBy("host", "salt").applyInArrow(lambda t: _merged(t), _WRAPPER)
     return part.groupBy("host").applyInArrow(lambda t: _merged(t), _WRAPPER)
 
@@ -116,10 +116,10 @@ def _extracted(batches):
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", most_bytes: int = C.BROADCAST_BYTES) -> DataFrame:
     """Rows (id, url, text), a row for each page."""
-    ways = C.cut(wrappers(pages, url_col, html_col).mapInArrow(_regions, "of string, pages long, regions string"))
+    ways = C.cut(wrappers(pages, url_col, html_col).mapInArrow(C.tidy(_regions), "of string, pages long, regions string"))
     read = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
     size = F.octet_length("of") + F.octet_length("regions")
-    return C.meet(read, F.col("host"), ways, "of", "pages", size, most_bytes).select("id", "url", "html", "regions").mapInArrow(_extracted, "id long, url string, text string")
+    return C.meet(read, F.col("host"), ways, "of", "pages", size, most_bytes).select("id", "url", "html", "regions").mapInArrow(C.tidy(_extracted), "id long, url string, text string")
 
 
 def op1_html_extraction(spark, sf_dir: str) -> DataFrame:

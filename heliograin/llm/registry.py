@@ -18,6 +18,8 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_substring_dedup": substring_dedup.ORACLE,
+    "op3_embedding_dedup": embedding_dedup.ORACLE,
     "op7_license_scan": license_scan.ORACLE,
     "op8_source_mixing": source_mixing.ORACLE,
 }

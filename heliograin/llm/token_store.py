@@ -2,9 +2,12 @@
 
 Texts are range-partitioned and sorted by id, encoded, and cut into shards of a
 bounded number of tokens. A shard is one file: a header, the documents' ids and
-ends, and one compressed bit-plane for each bit of the vocabulary, with rank
-samples, so that single tokens, counts and occurrences are read without
-decoding the shard. Files go through Spark's Parquet writer (a row is a file's
+ends, and a bit-plane for each bit of the vocabulary. Planes are cut into blocks
+of ``BLOCK_BITS`` that are compressed one by one, with the number of ones
+before each block as rank samples and a directory of where blocks lie. So a token, a
+count or an occurrence is read by opening one or two blocks of each plane (``Shard``;
+``token_at``, ``count_token`` and ``occurrences`` over all shards), not the whole
+file. Files go through Spark's Parquet writer (a row is a file's
 payload), so any store that Spark can write to holds them.
 
 Defined results: a null text encodes as the empty text (its end id only);
@@ -26,92 +29,98 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common as C
 
-MAGIC = b"WVMX0001"
-SHARD_TOKENS = 4 << 20
+MAGIC = b"WVMX0002"
+SHARD_TOKENS = 2 << 20
 PARTITION_BYTES = 48 << 20
 #: Distinct words that an encoder remembers before it starts anew.
-CACHE_WORDS = 1_000_000
-_RANK = 512
+CACHE_WORDS = 150_000
+#: Bits of a plane that are compressed together.
+BLOCK_BITS = 1 << 16
 
 
-class WaveletMatrix:
-    """Bit-planes of a sequence of ids, most significant first, each partitioned stably by the one before."""
+def planes_of(ids: np.ndarray, bits: int) -> tuple[list[np.ndarray], list[int]]:
+    """Bit-planes of a sequence of ids, most significant first, each partitioned stably by the one before, and the zeros of each."""
+    planes, zeros, now = [], [], ids
+    for level in reversed(range(bits)):
+        one = (now & now.dtype.type(1 << level)) != 0
+        planes.append(np.packbits(one, bitorder="little"))
+        low = now[~one]
+        zeros.append(len(low))
+        now = np.concatenate([low, now[one]])
+    return planes, zeros
 
-    def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int]):
-        self.n, self.planes, self.zeros, self._ranks = n, planes, zeros, {}
 
-    @classmethod
-    def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
-        planes, zeros = [], []
-        now = ids
-        for level in reversed(range(bits)):
-            one = (now & now.dtype.type(1 << level)) != 0
-            planes.append(np.packbits(one, bitorder="little"))
-            low = now[~one]
-            zeros.append(len(low))
-            now = np.concatenate([low, now[one]])
-        return cls(len(ids), planes, zeros)
+def pack(doc_ids: np.ndarray, ends: np.ndarray, ids: np.ndarray, bits: int) -> bytes:
+    """A shard's file: magic, counts, sizes of the parts, the parts, then the compressed blocks of all planes.
 
-    def decode(self) -> np.ndarray:
-        """All ids: the partitions undone from the last plane up."""
-        bits = len(self.planes)
-        kind = np.dtype(np.uint16 if bits <= 16 else np.uint32)
-        now = np.zeros(self.n, kind)
-        for k in reversed(range(bits)):
-            one = np.unpackbits(self.planes[k], count=self.n, bitorder="little").astype(bool)
-            before = np.empty(self.n, kind)
-            before[~one] = now[: self.zeros[k]]
-            before[one] = now[self.zeros[k] :] | kind.type(1 << (bits - 1 - k))
-            now = before
-        return now
+    Parts, each compressed: documents' ids, their ends, zeros of each plane, ones before each block, and where each block begins.
+    """
+    (planes, zeros), z = planes_of(ids, bits), zstandard.ZstdCompressor(level=1)
+    step, ones, blocks = BLOCK_BITS // 8, [], []
+    for plane in planes:
+        cut = [plane[k : k + step] for k in range(0, len(plane), step)]
+        counts = [int(np.bitwise_count(x).sum(dtype=np.int64)) for x in cut]
+        ones.append(np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]))
+        blocks += [z.compress(x.tobytes()) for x in cut]
+    begins = np.cumsum([0, *map(len, blocks)])
+    parts = [z.compress(np.asarray(x, "<i8").tobytes()) for x in (doc_ids, ends, zeros, np.concatenate(ones) if ones else [], begins)]
+    return MAGIC + struct.pack("<QQI5Q", len(doc_ids), len(ids), bits, *map(len, parts)) + b"".join(parts) + b"".join(blocks)
+
+
+class Shard:
+    """One file: its documents, and rank, select, access and occurrences over compressed planes."""
+
+    def __init__(self, payload: bytes):
+        if payload[:8] != MAGIC:
+            raise ValueError("not a shard of this format")
+        head = struct.calcsize("<QQI5Q")
+        _, self.n, self.bits, *sizes = struct.unpack_from("<QQI5Q", payload, 8)
+        self.z, parts, at = zstandard.ZstdDecompressor(), [], 8 + head
+        for size in sizes:
+            parts.append(np.frombuffer(self.z.decompress(payload[at : at + size]), "<i8"))
+            at += size
+        self.doc_ids, self.ends, self.zeros, ones, self.begins = parts
+        self.payload, self.base = payload, at
+        self.blocks = -(-self.n // BLOCK_BITS)
+        self.ones = ones.reshape(self.bits, -1) if self.bits else ones
+        self.opened = 0
+
+    def _block(self, k: int, j: int) -> np.ndarray:
+        """The bits of one block of plane k."""
+        at = k * self.blocks + j
+        self.opened += 1
+        raw = self.z.decompress(self.payload[self.base + self.begins[at] : self.base + self.begins[at + 1]])
+        return np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little")
 
     def _rank1(self, k: int, i: int) -> int:
-        """Ones before position i in plane k."""
-        if k not in self._ranks:
-            counts = np.bitwise_count(self.planes[k])
-            starts = np.arange(0, max(len(counts), 1), _RANK // 8)
-            sums = np.add.reduceat(counts.astype(np.int64), starts) if len(counts) else np.zeros(1, np.int64)
-            self._ranks[k] = np.concatenate([[0], np.cumsum(sums)])
-        block = i // _RANK
-        lo = block * _RANK // 8
-        found = int(self._ranks[k][block]) + int(np.bitwise_count(self.planes[k][lo : i // 8]).sum())
-        return found + (int(self.planes[k][i // 8]) & ((1 << (i % 8)) - 1)).bit_count() if i % 8 else found
-
-    def _select(self, k: int, bit: int, j: int) -> int:
-        """Position of the j-th (from 0) such bit in plane k, by bisecting ranks."""
-        lo, hi = 0, self.n
-        while lo < hi:
-            mid = (lo + hi) // 2
-            ones = self._rank1(k, mid + 1)
-            if (ones if bit else mid + 1 - ones) > j:
-                hi = mid
-            else:
-                lo = mid + 1
-        return lo
+        """Ones before position i of plane k."""
+        j, rest = divmod(i, BLOCK_BITS)
+        return int(self.ones[k, j]) + (int(self._block(k, j)[:rest].sum(dtype=np.int64)) if rest else 0)
 
     def access(self, i: int) -> int:
         if not 0 <= i < self.n:
             raise IndexError(i)
         value = 0
-        for k, plane in enumerate(self.planes):
-            one = plane[i // 8] >> (i % 8) & 1
-            value = value << 1 | int(one)
-            r = self._rank1(k, i)
-            i = self.zeros[k] + r if one else i - r
+        for k in range(self.bits):
+            j, rest = divmod(i, BLOCK_BITS)
+            block = self._block(k, j)
+            one, r = int(block[rest]), int(self.ones[k, j]) + int(block[:rest].sum(dtype=np.int64))
+            value = value << 1 | one
+            i = int(self.zeros[k]) + r if one else i - r
         return value
 
     def _range(self, c: int, upto: int) -> tuple[int, int]:
-        lo, hi, bits = 0, upto, len(self.planes)
-        if c >> bits:
+        """Where the occurrences of c before a position lie after the last plane."""
+        lo, hi = 0, upto
+        if c < 0 or c >> self.bits:
             return 0, 0
-        for k in range(bits):
+        for k in range(self.bits):
             a, b = self._rank1(k, lo), self._rank1(k, hi)
-            lo, hi = (self.zeros[k] + a, self.zeros[k] + b) if c >> (bits - 1 - k) & 1 else (lo - a, hi - b)
+            lo, hi = (int(self.zeros[k]) + a, int(self.zeros[k]) + b) if c >> (self.bits - 1 - k) & 1 else (lo - a, hi - b)
         return lo, hi
 
     def rank(self, c: int, upto: int) -> int:
@@ -122,42 +131,48 @@ class WaveletMatrix:
     def count(self, c: int) -> int:
         return self.rank(c, self.n)
 
+    def _selected(self, k: int, bit: int, which: np.ndarray) -> np.ndarray:
+        """Positions in plane k of the ``which``-th (from 0, ascending) ones or zeros."""
+        before = self.ones[k] if bit else np.minimum(np.arange(self.blocks + 1) * BLOCK_BITS, self.n) - self.ones[k]
+        home = np.searchsorted(before, which, "right") - 1
+        found = np.empty(len(which), np.int64)
+        for j in np.unique(home).tolist():
+            mine = home == j
+            block = self._block(k, j)[: self.n - j * BLOCK_BITS]
+            found[mine] = np.flatnonzero(block == bit)[which[mine] - before[j]] + j * BLOCK_BITS
+        return found
+
+    def occurrences(self, c: int) -> np.ndarray:
+        """Positions of all occurrences of c, ascending."""
+        lo, hi = self._range(c, self.n)
+        at = np.arange(lo, hi)
+        for k in reversed(range(self.bits)) if hi > lo else ():
+            one = c >> (self.bits - 1 - k) & 1
+            at = self._selected(k, one, at - int(self.zeros[k]) if one else at)
+        return at
+
     def select(self, c: int, j: int) -> int:
         """Position of the j-th (from 0) occurrence of c."""
         lo, hi = self._range(c, self.n)
         if not 0 <= j < hi - lo:
             raise IndexError(j)
-        at, bits = lo + j, len(self.planes)
-        for k in reversed(range(bits)):
-            one = c >> (bits - 1 - k) & 1
-            at = self._select(k, one, at - self.zeros[k] if one else at)
-        return at
-
-    def occurrences(self, c: int) -> list[int]:
-        return [self.select(c, j) for j in range(self.count(c))]
-
+        at = np.array([lo + j])
+        for k in reversed(range(self.bits)):
+            one = c >> (self.bits - 1 - k) & 1
+            at = self._selected(k, one, at - int(self.zeros[k]) if one else at)
+        return int(at[0])
 
-def pack(doc_ids: np.ndarray, ends: np.ndarray, ids: np.ndarray, bits: int) -> bytes:
-    """A shard's file: magic, counts, then the compressed parts, each behind its size."""
-    wm, z = WaveletMatrix.build(ids, bits), zstandard.ZstdCompressor(level=1)
-    parts = [z.compress(x) for x in (doc_ids.astype("<i8").tobytes(), ends.astype("<i8").tobytes(), np.array(wm.zeros, "<i8").tobytes())]
-    parts += [z.compress(p.tobytes()) for p in wm.planes]
-    head = MAGIC + struct.pack("<QQI", len(doc_ids), len(ids), bits)
-    return head + b"".join(struct.pack("<Q", len(p)) + p for p in parts)
-
-
-def unpack(payload: bytes) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
-    """The documents' ids, their ends and the matrix of one file."""
-    if payload[:8] != MAGIC:
-        raise ValueError("not a shard of this format")
-    _, n, bits = struct.unpack_from("<QQI", payload, 8)
-    at, parts, z = 28, [], zstandard.ZstdDecompressor()
-    for _ in range(3 + bits):
-        (size,) = struct.unpack_from("<Q", payload, at)
-        parts.append(z.decompress(payload[at + 8 : at + 8 + size]))
-        at += 8 + size
-    planes = [np.frombuffer(p, np.uint8) for p in parts[3:]]
-    return np.frombuffer(parts[0], "<i8"), np.frombuffer(parts[1], "<i8"), WaveletMatrix(n, planes, np.frombuffer(parts[2], "<i8").tolist())
+    def decode(self) -> np.ndarray:
+        """All ids: the partitions undone from the last plane up."""
+        kind = np.dtype(np.uint16 if self.bits <= 16 else np.uint32)
+        now = np.zeros(self.n, kind)
+        for k in reversed(range(self.bits)):
+            one = np.concatenate([self._block(k, j) for j in range(self.blocks)] or [np.empty(0, np.uint8)])[: self.n].astype(bool)
+            before = np.empty(self.n, kind)
+            before[~one] = now[: int(self.zeros[k])]
+            before[one] = now[int(self.zeros[k]) :] | kind.type(1 << (self.bits - 1 - k))
+            now = before
+        return now
 
 
 # The rules under which words can be cut into pieces before the library's model.
@@ -299,36 +314,84 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
         docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
         .repartitionByRange(parts, "id")
         .sortWithinPartitions("id", "body")
-        .mapInArrow(run, "first long, part int, n_tokens long, payload binary")
+        .mapInArrow(C.tidy(run), "first long, part int, n_tokens long, payload binary")
         .write.option("maxRecordsPerFile", 1)
         .option("compression", "none")
         .parquet(path)
     )
 
 
+_SHARDS = "first long, part int, n_tokens long, payload binary"
+
+
+def _with_starts(spark: SparkSession, path: str) -> DataFrame:
+    """The shards under ``path`` with ``before``, the ids of all shards before each."""
+    shards = spark.read.schema(_SHARDS).parquet(path)
+    starts = C.running(shards.select(F.col("first").alias("_first"), F.col("part").alias("_part_of"), F.col("n_tokens").alias("_n")), [F.col("_first"), F.col("_part_of")], n=F.col("_n"))
+    # a row of 40 bytes for each shard of up to SHARD_TOKENS ids
+    starts = C.cut(starts.select("_first", "_part_of", F.col("before_n").alias("before")))
+    starts = F.broadcast(starts) if starts.count() * 40 <= C.BROADCAST_BYTES else starts
+    return shards.join(starts, (F.col("first") == F.col("_first")) & (F.col("part") == F.col("_part_of"))).select("before", "payload")
+
+
+def count_token(spark: SparkSession, path: str, token: int) -> DataFrame:
+    """One row (n): how often a token id stands in the shards under ``path``, read from rank samples."""
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([Shard(x.as_buffer().to_pybytes()).count(token) for x in b.column(0)], pa.int64())], ["n"])
+
+    shards = spark.read.schema(_SHARDS).parquet(path).select("payload")
+    return shards.mapInArrow(C.tidy(run), "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+
+
+def occurrences(spark: SparkSession, path: str, token: int) -> DataFrame:
+    """Rows (id, position, at): the documents that hold a token id, where among the document's ids, and where among all."""
+
+    def run(batches):
+        for b in batches:
+            for before, payload in zip(b.column(0).to_pylist(), b.column(1)):
+                shard = Shard(payload.as_buffer().to_pybytes())
+                at = shard.occurrences(token)
+                doc = np.searchsorted(shard.ends, at, "right")
+                starts = np.concatenate([[0], shard.ends[:-1]])
+                yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids[doc]), pa.array(at - starts[doc]), pa.array(at + before)], ["id", "position", "at"])
+
+    return _with_starts(spark, path).mapInArrow(C.tidy(run), "id long, position long, at long")
+
+
+def token_at(spark: SparkSession, path: str, positions: list[int]) -> DataFrame:
+    """Rows (at, token): the ids at places among all, each read from one block of each plane."""
+    wanted = sorted(set(positions))
+
+    def run(batches):
+        for b in batches:
+            for before, payload in zip(b.column(0).to_pylist(), b.column(1)):
+                shard = Shard(payload.as_buffer().to_pybytes())
+                here = [x for x in wanted if before <= x < before + shard.n]
+                yield pa.RecordBatch.from_arrays([pa.array(here, pa.int64()), pa.array([shard.access(x - before) for x in here], pa.int64())], ["at", "token"])
+
+    return _with_starts(spark, path).mapInArrow(C.tidy(run), "at long, token long")
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Rows (id, start, n_tokens, ids_crc32), a row for each document of the shards under ``path``.
 
     ``start`` counts the ids of all documents before it; the crc is over the
     ids as little-endian unsigned 32-bit integers.
     """
-    shards = spark.read.schema("first long, part int, n_tokens long, payload binary").parquet(path)
-    before = shards.select("first", "part", F.coalesce(F.sum("n_tokens").over(W.orderBy("first", "part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
 
     def run(batches):
         for b in batches:
-            for first, part, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3)):
-                doc_ids, ends, wm = unpack(payload.as_buffer().to_pybytes())
-                ids, starts = wm.decode().astype("<u4"), np.concatenate([[0], ends[:-1]])
-                crc = [zlib.crc32(ids[a:z]) for a, z in zip(starts, ends)]
-                n = len(doc_ids)
+            for before, payload in zip(b.column(0).to_pylist(), b.column(1)):
+                shard = Shard(payload.as_buffer().to_pybytes())
+                ids, starts = shard.decode().astype("<u4"), np.concatenate([[0], shard.ends[:-1]])
+                crc = [zlib.crc32(ids[a:z]) for a, z in zip(starts, shard.ends)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, first)), pa.array(np.full(n, part, np.int32)), pa.array(doc_ids), pa.array(starts), pa.array(ends - starts), pa.array(crc, pa.int64())],
-                    ["first", "part", "id", "at", "n_tokens", "ids_crc32"],
+                    [pa.array(shard.doc_ids), pa.array(starts + before), pa.array(shard.ends - starts), pa.array(crc, pa.int64())], ["id", "start", "n_tokens", "ids_crc32"]
                 )
 
-    read = shards.select("first", "part", "n_tokens", "payload").mapInArrow(run, "first long, part int, id long, at long, n_tokens long, ids_crc32 long")
-    return read.join(before, ["first", "part"]).select("id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    return _with_starts(spark, path).mapInArrow(C.tidy(run), "id long, start long, n_tokens long, ids_crc32 long")
 
 
 def shard_path(spark: SparkSession) -> str:

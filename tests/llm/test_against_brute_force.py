@@ -47,6 +47,13 @@ def test_op2_overlapping_repeats_within_a_text(spark):
     assert got == {1: (40, [(1, 41)]), 2: (40, [(20, 60)]), 3: (40, [(0, 40)])}
 
 
+def test_op2_rows_of_one_id_are_dealt_by_text(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "GROUP_BYTES", 2000)
+    rows = [(None, " ".join(f"w{i}x{k}" for k in range(60))) for i in range(20)] + [(None, " ".join(f"w3x{k}" for k in range(60)))]
+    got = [r.n_removed for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got) == [0] * 19 + [60, 60]
+
+
 def test_op3_cosines(spark, data):
     rows = common.table(spark, data, "embeddings").collect()
     x = np.array([r.embedding for r in rows], float)
@@ -69,6 +76,28 @@ def test_op3_crowded_neighbourhoods_are_counted_whole(spark):
     assert {r.id: r.n_links for r in got} == dict(enumerate(near.tolist())) and near.max() > 100
 
 
+@pytest.mark.parametrize("crowding", [0.0, 0.8, 0.9])
+def test_op3_planted_pairs_among_alike_vectors(spark, crowding):
+    """Pairs just above the threshold, in labels of several sizes and dimensions whose vectors have a mean cosine of ``crowding``."""
+    rng, vectors, labels, pairs = np.random.default_rng(2), [], [], 0
+    unit = lambda v: v / np.linalg.norm(v)
+    for label, (n, d) in enumerate([(4000, 64), (300, 64), (300, 48), (5, 64)]):
+        middle = unit(rng.standard_normal(d))
+        for _ in range(n):
+            side = rng.standard_normal(d)
+            v = np.sqrt(crowding) * middle + np.sqrt(1 - crowding) * unit(side - side @ middle * middle)
+            vectors.append(v)
+            labels.append(label % 3)
+            if len(vectors) % 10 == 0:
+                side = rng.standard_normal(d)
+                vectors.append(0.981 * v + np.sqrt(1 - 0.981**2) * unit(side - side @ v * v))
+                labels.append(label % 3)
+                pairs += 2
+    frame = spark.createDataFrame([(i, v.tolist(), x) for i, (v, x) in enumerate(zip(vectors, labels))], "vec_id long, embedding array<double>, label int")
+    got = {r.id: r.n_links for r in embedding_dedup.near_vectors(frame, window=16).collect()}
+    assert sum(got.values()) >= 0.97 * pairs and max(got.values()) <= 2
+
+
 def test_op4_held_out_accuracy(spark, data):
     lang = {r.doc_id: r.lang for r in common.table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "lang").collect()}
     got = run(spark, "/root/testdata/sf0.01", "op4_language_id")
@@ -77,6 +106,26 @@ def test_op4_held_out_accuracy(spark, data):
     assert np.mean([r.lang_pred == lang[r.doc_id] for r in held]) > 0.98
 
 
+def test_op4_weights_are_those_of_plain_kernel_ridge_regression():
+    """With every row a landmark and languages of equal size, scores agree with kernel ridge regression on the kernel matrix."""
+    rng = np.random.default_rng(4)
+    names = ["a"] * 30 + ["b"] * 30
+    bits = np.packbits(rng.random((60, language_id.BUCKETS)) < np.where(np.array(names) == "a", 0.02, 0.03)[:, None] * rng.random(language_id.BUCKETS), axis=1)
+    langs, weights = language_id.fit(names, bits, landmarks=60, ridge=1e-2)
+    on = np.unpackbits(bits, axis=1).astype(float)
+    phi = on / np.sqrt(on.sum(axis=1, keepdims=True))
+    kernel, goal = phi @ phi.T, np.array([[n == x for x in langs] for n in names], float)
+    alpha = np.linalg.solve(kernel + 1e-2 * 30 * np.eye(60), goal)
+    assert np.abs(language_id.score(on, weights) - kernel @ alpha).max() < 1e-3
+
+
+def test_op4_too_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 2)
+    frame = spark.createDataFrame([(i, f"text {i}", f"l{i % 3}") for i in range(30)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError):
+        language_id.train(frame)
+
+
 def test_op4_kernel_by_hand():
     texts = [b" ab ab ", b" abc "]
     data, off = np.frombuffer(b"".join(texts), np.uint8), np.array([0, 7, 12])
@@ -267,9 +316,52 @@ def test_near_texts_recall_by_similarity():
 
 def test_op7_templates(spark):
     text = "Some words.\n LICENSED under the apache license -- Version 2.0\nReleased under the MIT licence, maybe not\nReleased under the MIT License."
-    frame = spark.createDataFrame([(1, text), (2, "Licensed under CC BY-NC 4.0."), (3, "license"), (4, None)], "doc_id long, text string")
-    got = sorted((r.id, r.unit, r.license, round(r.dice, 3)) for r in license_scan.matches(frame).collect())
-    assert got == [(1, 2, "Apache-2.0", 1.0), (1, 4, "MIT", 1.0), (2, 1, "CC-BY-NC-4.0", 1.0)]
+    frame = spark.createDataFrame([(1, text), (2, "Licensed under CC BY-NC 4.0."), (3, "license"), (4, None), (5, "x y")], "doc_id long, text string")
+    got = sorted((r.id, r.start, r.end, r.license, round(r.dice, 3)) for r in license_scan.matches(frame).collect())
+    assert got == [(1, 2, 10, "Apache-2.0", 1.0), (1, 17, 22, "MIT", 1.0), (2, 0, 7, "CC-BY-NC-4.0", 1.0)]
+
+
+def plain_windows(text, made, threshold=0.8):
+    """Templates that some window of the text reaches, by trying all windows of their sizes."""
+    w, found = license_scan.words_of(text), set()
+    grams = [f"{a} {b}" for a, b in zip(w, w[1:])]
+    for t in made:
+        for s in range(-t["n"] + 1, len(grams)):
+            own = set(grams[max(s, 0) : max(s + t["n"], 0)])
+            if 2 * len(own & set(t["grams"])) >= threshold * (len(own) + len(t["grams"])):
+                found.add(t["license"])
+                break
+    return found
+
+
+def test_op7_wrapped_embedded_and_whole_licences(spark):
+    rng, prose = np.random.default_rng(7), [f"word{k}" for k in range(200)]
+    text = lambda n: " ".join(rng.choice(prose, n))
+    made, rows, names = license_scan.prepared(license_scan.TEMPLATES, 0.8), [], []
+    for name, template in license_scan.TEMPLATES:
+        w = template.split()
+        wrapped = "\n".join(" * " + " ".join(w[k : k + 9]) for k in range(0, len(w), 9))
+        changed = [x for k, x in enumerate(w) if k % 31 != 7]
+        for body in (f"{text(40)}\n{wrapped}\n{text(30)}", f"{text(40)} {template} {text(30)}", template.upper(), f"{text(5)} {' '.join(changed)}"):
+            rows.append((len(rows), body))
+            names.append(name)
+    rows += [(len(rows) + k, text(60)) for k in range(5)]
+    got = defaultdict(set)
+    for r in license_scan.matches(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r.id].add(r.license)
+    for i, body in rows:
+        every = plain_windows(body, made)
+        assert got[i] <= every and bool(got[i]) == bool(every)
+        if i < len(names) and i % 4 < 3:
+            assert names[i] in got[i]
+
+
+def test_op7_templates_as_a_table(spark):
+    table = spark.createDataFrame([("X", "do what you want with these files"), ("Y", None)], "license string, text string")
+    docs = spark.createDataFrame([(1, "please, do what you\nwant with these files today")], "doc_id long, text string")
+    assert [(r.license, r.start, r.end) for r in license_scan.matches(docs, templates=table).collect()] == [("X", 1, 8)]
+    with pytest.raises(ValueError):
+        license_scan.matches(docs, templates=table.filter("false"))
 
 
 def test_op8_targets(spark):
@@ -393,14 +485,34 @@ def test_op10_words_encode_as_whole_texts(text):
     assert encoder.encode([text.encode()], 2)[0].tolist() == [*encoder.tokenizer.encode(text, add_special_tokens=False).ids, 2]
 
 
-def test_op10_wavelet_matrix_queries():
-    ids = np.random.default_rng(10).integers(0, 50, 3000).astype(np.uint16)
-    doc_ids, ends, wm = token_store.unpack(token_store.pack(np.array([4, 9]), np.array([1000, 3000]), ids, 6))
-    assert wm.decode().tolist() == ids.tolist() and ends.tolist() == [1000, 3000] and doc_ids.tolist() == [4, 9]
-    assert [wm.access(i) for i in range(0, 3000, 113)] == ids[::113].tolist()
-    for c in (0, 17, 49, 55):
+@pytest.mark.parametrize("n", [0, 1, 3000, 200_000])
+def test_op10_shard_queries(n):
+    ids = np.random.default_rng(10).integers(0, 50, n).astype(np.uint16)
+    shard = token_store.Shard(token_store.pack(np.array([4, 9]), np.array([n // 3, n]), ids, 6))
+    assert shard.decode().tolist() == ids.tolist() and shard.ends.tolist() == [n // 3, n] and shard.doc_ids.tolist() == [4, 9]
+    shard.opened = 0
+    assert [shard.access(i) for i in range(0, n, max(n // 20, 1))] == ids[:: max(n // 20, 1)].tolist() and shard.opened <= 6 * 21 + 12
+    for c in (0, 17, 49, 55, 64):
         at = np.flatnonzero(ids == c)
-        assert wm.count(c) == len(at) and wm.occurrences(c)[:20] == at[:20].tolist() and wm.rank(c, 1500) == (at < 1500).sum()
+        assert shard.count(c) == len(at) and shard.occurrences(c).tolist() == at.tolist() and shard.rank(c, n // 2) == (at < n // 2).sum()
+        assert [shard.select(c, j) for j in range(min(3, len(at)))] == at[:3].tolist()
+
+
+def test_op10_tokens_across_shards(spark, data, docs):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path, name = token_store.shard_path(spark), public_tokenizers.path("word_bpe_49k.json")
+    token_store.write_shards(common.table(spark, data, "documents"), path, name, shard_tokens=5000)
+    tokenizer = Tokenizer.from_file(name)
+    every = [(i, k, t) for i, text, *_ in sorted(docs) for k, t in enumerate([*tokenizer.encode(text or "", add_special_tokens=False).ids, 2])]
+    common_token = Counter(t for *_, t in every).most_common(2)[1][0]
+    for token in (common_token, 2, 49_000):
+        want = [(i, k, at) for at, (i, k, t) in enumerate(every) if t == token]
+        assert token_store.count_token(spark, path, token).collect()[0].n == len(want)
+        assert sorted((r.id, r.position, r.at) for r in token_store.occurrences(spark, path, token).collect()) == sorted(want)
+    places = list(range(0, len(every), 997))
+    assert {r["at"]: r.token for r in token_store.token_at(spark, path, places).collect()} == {k: every[k][2] for k in places}
 
 
 PAGE = "<html><head><title>t</title></head><body><header><h1>Site</h1></header><div class='menu'>m</div>{0}<div class='comments'><p>c</p></div><footer>f</footer></body></html>"
