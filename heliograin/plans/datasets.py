@@ -140,7 +140,20 @@ def datasets_paired_differences(spark, d):
     return r.select("l_returnflag", "n", F.round("mean", 4).alias("mean"), F.round("effect_size", 6).alias("effect_size"))
 
 
-@query()
+def _poisson(u: str) -> str:
+    """SQL of the Poisson(1) weight of a uniform number: how many of the cumulative probabilities it reaches."""
+    upto, term, parts = 0.0, 0.36787944117144233, []
+    for k in range(8):
+        upto += term
+        parts.append(f"({u} >= {upto!r}::DOUBLE)::INT")
+        term /= k + 1
+    return " + ".join(parts)
+
+
+@query(
+    f"WITH u AS (SELECT p_retailprice - p_size * 30.0 AS d, k, {CHANCE.format(seed=0, c="p_partkey || ':' || k")} AS u FROM part, (SELECT unnest(range(1, 101)) AS k)), w AS (SELECT k, d, {_poisson('u')} AS w FROM u), m AS (SELECT k, sum(w * d) / sum(w) AS m FROM w GROUP BY k) "
+    "SELECT round(quantile_cont(m, 0.025), 4) AS low, round(quantile_cont(m, 0.975), 4) AS high FROM m"
+)
 def datasets_paired_bootstrap(spark, d):
     s = table(spark, d, "part").withColumn("other", F.col("p_size") * 30.0)
     return rounded(datasets.paired_bootstrap(s, "p_retailprice", "other", "p_partkey", 100, 0.025, 0.975))

@@ -34,9 +34,17 @@ def monitoring_hotelling(spark, d):
     return rounded(t.groupBy("l_returnflag").agg(F.max("t2").alias("worst"), F.count(F.when(F.col("out"), 1)).alias("n_out")))
 
 
-@query()
+# of three columns the residual of two components lies along the eigenvector of the least eigenvalue, which has a closed form
+@query(
+    "WITH x AS (SELECT l_returnflag, l_quantity / 50 AS x, l_discount * 5 AS y, l_tax * 5 AS z FROM lineitem), s AS (SELECT avg(x) AS mx, avg(y) AS my, avg(z) AS mz, var_samp(x) AS a, var_samp(y) AS b, var_samp(z) AS c, covar_samp(x, y) AS d, covar_samp(x, z) AS e, covar_samp(y, z) AS f FROM x), "
+    "q AS (SELECT *, (a + b + c) / 3 AS q FROM s), p AS (SELECT *, sqrt(((a - q) ** 2 + (b - q) ** 2 + (c - q) ** 2 + 2 * (d * d + e * e + f * f)) / 6) AS p FROM q), "
+    "r AS (SELECT *, ((a - q) * ((b - q) * (c - q) - f * f) - d * (d * (c - q) - f * e) + e * (d * f - (b - q) * e)) / (2 * p ** 3) AS r FROM p), l AS (SELECT *, q + 2 * p * cos(acos(r) / 3 + 2 * pi() / 3) AS l FROM r), "
+    "v AS (SELECT *, d * f - e * (b - l) AS vx, e * d - (a - l) * f AS vy, (a - l) * (b - l) - d * d AS vz FROM l), t AS (SELECT l_returnflag, ((x - mx) * vx + (y - my) * vy + (z - mz) * vz) ** 2 / (vx * vx + vy * vy + vz * vz) AS spe FROM x, v) "
+    "SELECT l_returnflag, round(max(spe), 8) AS worst, round(avg(spe), 8) AS mean FROM t GROUP BY ALL"
+)
 def monitoring_principal_components(spark, d):
-    li, columns = table(spark, d, "lineitem"), ["l_quantity", "l_discount", "l_tax"]
+    li, columns = table(spark, d, "lineitem"), ["x", "y", "z"]
+    li = li.select("l_returnflag", (F.col("l_quantity") / 50).alias("x"), (F.col("l_discount") * 5).alias("y"), (F.col("l_tax") * 5).alias("z"))
     spe = monitoring.residual_error(li, columns, monitoring.principal_components(li, columns, 2))
     return rounded(spe.groupBy("l_returnflag").agg(F.max("spe").alias("worst"), F.avg("spe").alias("mean")), 8)
 

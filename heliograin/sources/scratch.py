@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one under /tmp only where none is named (tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir; one under /tmp only where none is named and all runs on this machine (tests)."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     if named is None:
         held = sc._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = f"/tmp/checkpoints/{uuid.uuid4().hex}"
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(named)
