@@ -485,6 +485,18 @@ def test_op10_words_encode_as_whole_texts(text):
     assert encoder.encode([text.encode()], 2)[0].tolist() == [*encoder.tokenizer.encode(text, add_special_tokens=False).ids, 2]
 
 
+def test_op10_encoder_that_forgets_words_gives_the_same_ids(monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(token_store, "CACHE_WORDS", 50)
+    encoder = token_store.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        text = " ".join(f"word{x}ing" for x in rng.zipf(1.3, 60) % 500)
+        assert encoder.encode([text.encode()], 2)[0].tolist() == [*encoder.tokenizer.encode(text, add_special_tokens=False).ids, 2]
+    assert len(encoder.known) < 200
+
+
 @pytest.mark.parametrize("n", [0, 1, 3000, 200_000])
 def test_op10_shard_queries(n):
     ids = np.random.default_rng(10).integers(0, 50, n).astype(np.uint16)

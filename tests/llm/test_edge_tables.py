@@ -67,3 +67,27 @@ def test_simhash_and_tokens_of_edges(spark, folders):
     assert {prints[k].fingerprint for k in (0, 1, 2)} == {"0" * 16} and prints[2].component_id == 0 and prints[7].component_id == 6
     tokens = sorted((r.start, r.n_tokens) for r in registry.QUERIES["op10_token_store"](spark, folders[0]).collect())
     assert [a for a, _ in tokens] == [sum(n for _, n in tokens[:k]) for k in range(len(tokens))]
+
+
+def test_pipeline_stages_on_edge_and_empty_tables(spark, folders):
+    import corpus_pipeline
+    from heliograin.llm import common
+
+    for folder in folders:
+        docs = common.table(spark, folder, "documents")
+        for name, stage in corpus_pipeline.STAGES:
+            got = stage(spark, docs, folder)
+            found = got.collect()
+            if name != "token_store":
+                assert got.columns == docs.columns
+            assert len(found) <= 3 * docs.count() and (found == []) >= (docs.count() == 0)
+    assert corpus_pipeline.run(spark, folders[0]).count() > 0
+
+
+def test_stages_keep_rows_without_an_id(spark):
+    from heliograin.llm import simhash_dedup, source_mixing
+
+    rows = [(None, f"some text of its own number {i} and so on", "s") for i in range(6)] + [(None, "some text of its own number 0 and so on", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert sorted(r.text for r in simhash_dedup.keep_first(docs).collect()) == sorted({t for _, t, _ in rows})
+    assert source_mixing.mix(docs).count() == 7
