@@ -39,7 +39,8 @@ MOST_ROWS = 6000
 #: More labels than this are an error, as each would be left too few rows.
 MOST_LANGUAGES = MOST_ROWS // 4
 RIDGE = 1e-3
-BLOCK_BYTES = 256 << 10
+#: Bytes and rows that are scored together: BUCKETS numbers a row.
+BLOCK_BYTES, BLOCK_ROWS = 256 << 10, 256
 UNKNOWN = "und"
 
 
@@ -74,7 +75,7 @@ def presence(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def _bits(batches):
     for b in batches:
         data, off = C.flat(b.column(2))
-        for lo, hi in C.blocks(off, BLOCK_BYTES):
+        for lo, hi in C.blocks(off, BLOCK_BYTES, BLOCK_ROWS):
             rows = np.packbits(presence(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]), axis=1)
             yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], b.column(1)[lo:hi], pa.array([r.tobytes() for r in rows], pa.binary())], ["lang", "rank", "bits"])
 
@@ -92,7 +93,7 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, most: int
     # twice the share that is needed on average, then the first ones by rank
     entries = [F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, (2 * most + 20) / n))]
     drawn = labelled.filter(F.col("rank") < F.element_at(F.create_map(*entries), F.col("lang")))
-    rows = drawn.select("lang", "rank", letters(F.col("body")).alias("body")).filter("body <> ''").mapInArrow(_bits, "lang string, rank double, bits binary").collect()
+    rows = drawn.select("lang", "rank", letters(F.col("body")).alias("body")).filter("body <> ''").mapInArrow(C.tidy(_bits), "lang string, rank double, bits binary").collect()
     rows.sort(key=lambda r: (r["lang"], r["rank"], r["bits"]))
     taken, names, bits = dict.fromkeys(counts, 0), [], []
     for r in rows:
@@ -137,7 +138,7 @@ def _predictor(langs: list[str], weights: np.ndarray):
             best = np.full(len(off) - 1, -1)
             top = np.zeros(len(off) - 1)
             if langs:
-                for lo, hi in C.blocks(off, BLOCK_BYTES):
+                for lo, hi in C.blocks(off, BLOCK_BYTES, BLOCK_ROWS):
                     s = score(presence(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]), weights)
                     best[lo:hi] = s.argmax(axis=1)
                     top[lo:hi] = np.clip(s.max(axis=1), 0, 1)
@@ -160,7 +161,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, lang_pred, score), a row for each row of ``docs``."""
-    return docs.select(F.col(id_col).cast("long").alias("id"), letters(F.col(text_col)).alias("body")).mapInArrow(_predictor(*model), "id long, lang_pred string, score double")
+    return docs.select(F.col(id_col).cast("long").alias("id"), letters(F.col(text_col)).alias("body")).mapInArrow(C.tidy(_predictor(*model)), "id long, lang_pred string, score double")
 
 
 def accept(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", least: float = 0.05) -> DataFrame:
@@ -169,7 +170,7 @@ def accept(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str =
     def keep(texts):
         data, off = C.flat(texts)
         good = np.zeros(len(off) - 1, bool)
-        for lo, hi in C.blocks(off, BLOCK_BYTES) if model[0] else ():
+        for lo, hi in C.blocks(off, BLOCK_BYTES, BLOCK_ROWS) if model[0] else ():
             good[lo:hi] = score(presence(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]), model[1]).max(axis=1) >= least
         return good & (np.diff(off) > 0)
 

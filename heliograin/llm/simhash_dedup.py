@@ -45,7 +45,9 @@ from . import common as C
 
 BITS = 64
 #: Rows that a task compares at once; larger groups of equal pieces are dealt out in pairs of chunks.
-CHUNK = 1 << 18
+CHUNK = 1 << 17
+#: Bytes of texts that are hashed together.
+BLOCK_BYTES = 512 << 10
 #: Seconds to deal one row and to compare one pair: their ratio chooses the cut.
 DEAL, COMPARE = 2e-6, 1e-8
 #: The fingerprints of texts: segments, and bits of a segment at least and at most.
@@ -101,12 +103,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for b in batches:
             data, off = C.flat(b.column(1))
             raw, made = data.tobytes(), [np.empty(0, np.uint64)]
-            for lo, hi in C.blocks(off):
+            for lo, hi in C.blocks(off, BLOCK_BYTES):
                 found = [np.array(shingle_hashes(raw[off[i] : off[i + 1]], shingle), np.uint64) for i in range(lo, hi)]
                 made.append(majorities(np.concatenate(found), np.cumsum([0, *map(len, found)])))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(made).view(np.int64))], ["id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body")).mapInArrow(run, "id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body")).mapInArrow(C.tidy(run), "id long, fp long")
 
 
 def cuts(n: int, radius: int, bits: int = BITS) -> tuple[list[int], list[tuple[int, int]]]:
@@ -237,11 +239,11 @@ def links(prints: DataFrame, widths: list[int], routes: list[tuple[int, int]], r
                 yield pa.RecordBatch.from_arrays([pa.array((r << 32) + pieces[:, i].astype(np.int64)), b.column(0), kept], ["key", "node", "print"])
 
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 2
-    rows = prints.select("node", "print").mapInArrow(dealt, "key long, node long, print binary")
+    rows = prints.select("node", "print").mapInArrow(C.tidy(dealt), "key long, node long, print binary")
     # at most rows / CHUNK groups are large
     large = C.cut(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > CHUNK))
     small = rows.join(F.broadcast(large), "key", "left_anti").repartition(parts, "key").sortWithinPartitions("key")
-    near = small.mapInArrow(_linker(widths, routes, radius, False), "a long, b long")
+    near = small.mapInArrow(C.tidy(_linker(widths, routes, radius, False)), "a long, b long")
     if not large.isEmpty():
         # each member goes to every pair of chunks that its own chunk is part of
         shared = (
@@ -253,7 +255,7 @@ def links(prints: DataFrame, widths: list[int], routes: list[tuple[int, int]], r
             .repartition(parts, "key", "pair")
             .sortWithinPartitions("key", "pair")
         )
-        near = near.union(shared.mapInArrow(_linker(widths, routes, radius, True), "a long, b long"))
+        near = near.union(shared.mapInArrow(C.tidy(_linker(widths, routes, radius, True)), "a long, b long"))
     return near.distinct()
 
 
@@ -280,7 +282,7 @@ def _shingles(texts, shingle: int = SHINGLE):
     """Of each block of rows: word hashes and first words, and each row's distinct shingle hashes."""
     data, off = C.flat(texts)
     data = _LOWER[data]
-    for lo, hi in C.blocks(off):
+    for lo, hi in C.blocks(off, BLOCK_BYTES):
         part = data[off[lo] : off[hi]]
         starts, ends, first = C.words(part, off[lo : hi + 1] - off[lo])
         h = _A.words(part, starts, ends)
@@ -408,7 +410,7 @@ def verified(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         large = sets.join(sizes.filter("chunks > 1"), "component")
         hubs = large.filter("node = hub").select("component", F.col("set").alias("hub_set")).dropDuplicates(["component"])
         met = large.select("component", "node", "set").join(hubs, "component")
-        met = C.cut(met.mapInArrow(_starred(threshold), "component long, node long, set binary, linked boolean"))
+        met = C.cut(met.mapInArrow(C.tidy(_starred(threshold)), "component long, node long, set binary, linked boolean"))
         star = met.filter("linked").join(sizes, "component").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
         split = met.groupBy("component").agg(*[F.ceil(F.greatest(F.count_if(F.col("linked") == on) / SET_CHUNK, F.sum(F.when(F.col("linked") == on, F.octet_length("set"))) / SET_BYTES)).cast("long").alias(k) for on, k in ((True, "near"), (False, "far"))])
         # chunks 0 .. far - 1 hold the others, the rest those alike to the hub; a pair has one of the others at least
@@ -421,15 +423,10 @@ def verified(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         # a block's own number tells it from those of neighbourhoods compared whole
         whole = whole.union(dealt)
     blocks = whole.repartition(parts, "component", "pair").sortWithinPartitions("component", "pair", "chunk")
-    found = blocks.mapInArrow(_compared(threshold), "a long, b long")
+    found = blocks.mapInArrow(C.tidy(_compared(threshold)), "a long, b long")
     return found if star is None else found.union(star)
 
 
-def _small(table: DataFrame, row_bytes: int) -> DataFrame:
-    """The table, broadcast if its rows are known to be within the bound."""
-    return F.broadcast(table) if table.count() * row_bytes <= C.BROADCAST_BYTES else table
-
-
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row of each group of near-duplicate texts, with the columns of ``docs``.
 
@@ -439,7 +436,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), text.alias("body"))
     kind = named.schema["id"].dataType.simpleString()
     widths, routes = text_cut(docs.count())
-    rows = named.mapInArrow(_sketched(SEGMENTS, 2 * widths[0]), f"id {kind}, hash long, seq binary, n int, print binary")
+    rows = named.mapInArrow(C.tidy(_sketched(SEGMENTS, 2 * widths[0])), f"id {kind}, hash long, seq binary, n int, print binary")
     # rows of one word sequence are one node, stood for by its first row
     rows = rows.groupBy("seq", "id", "hash").agg(F.count("*").alias("copies"), F.first("n").alias("n"), F.first("print").alias("print"))
     first = F.struct(F.col("id").isNull().alias("none"), "id", "hash", "copies")
@@ -454,12 +451,12 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.binary())], ["component", "node", "set"])
 
     same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))
-    sets = named.join(_small(members, 64), same).select("component", "node", "body").mapInArrow(set_of, "component long, node long, set binary")
+    sets = named.join(members, same).select("component", "node", "body").mapInArrow(C.tidy(set_of), "component long, node long, set binary")
     groups = C.components(verified(C.cut(sets), threshold))
     told = nodes.select("node", "rep").join(groups, "node", "left").groupBy(F.coalesce("component", "node").alias("group")).agg(F.min("rep").alias("rep"))
     kept = C.cut(told.select(F.col("rep.id").alias("_id"), F.col("rep.hash").alias("_hash"), F.col("rep.copies").alias("_copies")))
     same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash"))
-    met = docs.join(_small(kept, 48), same)
+    met = docs.join(kept, same)
     out = met.filter("_copies = 1").select(docs.columns)
     if not kept.filter("_copies > 1").isEmpty():
         row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])

@@ -36,8 +36,8 @@ from . import common as C
 MAGIC = b"WVMX0002"
 SHARD_TOKENS = 2 << 20
 PARTITION_BYTES = 48 << 20
-#: Distinct words that an encoder remembers before it starts anew.
-CACHE_WORDS = 150_000
+#: Distinct words that an encoder remembers before it forgets the rarer ones.
+CACHE_WORDS = 400_000
 #: Bits of a plane that are compressed together.
 BLOCK_BITS = 1 << 16
 
@@ -221,11 +221,20 @@ class WordEncoder:
         self.pieces_of = regex.compile(_RULES["pieces"]).findall if known else None
         self.bits = max(1, (self.tokenizer.get_vocab_size(with_added_tokens=True) - 1).bit_length())
         self.kind = np.uint16 if self.bits <= 16 else np.uint32
-        self._clear()
-
-    def _clear(self) -> None:
         self.known, self.pieces = _Numbers(), {}
-        self.sizes, self.pool = np.zeros(0, np.int64), np.zeros(0, self.kind)
+        self.sizes, self.pool, self.uses = np.zeros(0, np.int64), np.zeros(0, self.kind), np.zeros(0, np.int64)
+
+    def _shrink(self) -> None:
+        """Forget rare words, and all but the most frequent half of a full memory."""
+        order = np.argsort(-self.uses, kind="stable")[: CACHE_WORDS // 2]
+        kept = np.sort(order[self.uses[order] > 2])
+        names, self.known = list(self.known), _Numbers()
+        self.known.update((names[k], i) for i, k in enumerate(kept.tolist()))
+        begins, n = np.cumsum(self.sizes) - self.sizes, self.sizes[kept]
+        self.pool = self.pool[np.repeat(begins[kept] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        self.sizes, self.uses = n, self.uses[kept] // 2
+        if len(self.pieces) > CACHE_WORDS:
+            self.pieces = {}
 
     def _piece(self, piece: str) -> list[int]:
         name = piece if piece.isascii() else self.bytes_of.pre_tokenize_str(piece)[0][0]
@@ -258,12 +267,13 @@ class WordEncoder:
     def encode(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in turn, each closed by ``end``, and where each text's ids end."""
         if len(self.known) > CACHE_WORDS:
-            self._clear()
+            self._shrink()
         split = [t.split() for t in texts]
         n_words = np.cumsum([0, *map(len, split)])
         which = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, n_words[-1])
         if self.known.fresh:
             self._learn()
+        self.uses = np.bincount(which, minlength=len(self.sizes)) + np.pad(self.uses, (0, len(self.sizes) - len(self.uses)))
         begins = np.cumsum(self.sizes) - self.sizes
         n = self.sizes[which]
         upto = np.concatenate([[0], np.cumsum(n)])
@@ -300,9 +310,10 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
 
         for b in batches:
             data, off = C.flat(b.column(1))
-            raw, names = data.tobytes(), b.column(0).to_numpy()
+            names = b.column(0).to_numpy()
             for lo, hi in C.blocks(off):
-                ids, ends = encoder.encode([raw[off[i] : off[i + 1]] for i in range(lo, hi)], end_id)
+                raw, at = data[off[lo] : off[hi]].tobytes(), off[lo : hi + 1] - off[lo]
+                ids, ends = encoder.encode([raw[a:z] for a, z in zip(at, at[1:])], end_id)
                 if held and tokens + len(ids) > shard_tokens:
                     yield shard()
                 held.append((names[lo:hi], ids, ends))
