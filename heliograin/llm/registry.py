@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, embedding_dedup, html_extraction, kd_sharding, language_id, license_scan, simhash_dedup, source_mixing, substring_dedup, token_store
+from . import decontamination, embedding_dedup, html_extraction, kd_sharding, language_id, license_scan, simhash_dedup, source_mixing, spelling_variants, substring_dedup, token_store
 
 QUERIES = {
     "op1_html_extraction": html_extraction.op1_html_extraction,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_source_mixing": source_mixing.op8_source_mixing,
     "op9_kd_sharding": kd_sharding.op9_kd_sharding,
     "op10_token_store": token_store.op10_token_store,
+    "op11_spelling_variants": spelling_variants.op11_spelling_variants,
 }
 
 ORACLE_SQL: dict[str, str] = {
