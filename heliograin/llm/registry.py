@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, embedding_dedup, html_extraction, kd_sharding, language_id, license_scan, quality_classifier, simhash_dedup, source_mixing, spelling_variants, substring_dedup, token_store
+from . import conversation_repair, decontamination, embedding_dedup, html_extraction, kd_sharding, language_id, license_scan, quality_classifier, simhash_dedup, source_mixing, spelling_variants, substring_dedup, token_store
 
 QUERIES = {
     "op1_html_extraction": html_extraction.op1_html_extraction,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_token_store": token_store.op10_token_store,
     "op11_spelling_variants": spelling_variants.op11_spelling_variants,
     "op12_quality_classifier": quality_classifier.op12_quality_classifier,
+    "op13_conversation_repair": conversation_repair.op13_conversation_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
