@@ -15,6 +15,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -199,9 +200,17 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class Hasher:
-    """Polynomial hashes modulo 2**64 of byte ranges and of word windows, by prefix sums."""
+    """Hashes of byte ranges and of word windows, by prefix sums.
+
+    Polynomials modulo 2**64 with an odd base, which only sequences of some
+    hundreds of symbols can defeat whatever the base (those of Thue and Morse); longer words and
+    sequences are hashed whole by XXH64 instead.
+    """
+
+    LONG = 128
 
     def __init__(self, seed: int):
+        self.seed = seed
         rng = np.random.Generator(np.random.PCG64(seed))
         self.byte = rng.integers(0, 1 << 64, 256, dtype=np.uint64)
         self.base = [int(x) | 1 for x in rng.integers(0, 1 << 62, 2)]
@@ -224,7 +233,18 @@ class Hasher:
         return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
     def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return self._ranges(0, self.byte[data], starts, ends)
+        h = self._ranges(0, self.byte[data], starts, ends)
+        for k in np.flatnonzero(ends - starts > self.LONG).tolist():
+            h[k] = xxhash.xxh64_intdigest(data[starts[k] : ends[k]], self.seed)
+        return h
+
+    def sequences(self, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Hash of each row's words, whose first ones ``first`` (n + 1 entries) tells."""
+        n = np.diff(first)
+        h = self.windows(hashes, first[:-1], n)
+        for k in np.flatnonzero(n > self.LONG).tolist():
+            h[k] = xxhash.xxh64_intdigest(hashes[first[k] : first[k + 1]], self.seed)
+        return h
 
     def windows(self, hashes: np.ndarray, at: np.ndarray, length) -> np.ndarray:
         """Hash of ``length`` (a number or one per window) words from each of ``at``."""

@@ -47,6 +47,8 @@ STEP, LONGEST = 1.2, 32_000
 PART_BYTES = 4 << 20
 BLOCK_BYTES = 1 << 20
 SPAN = 1 << 18
+#: Candidate pairs and ranges that are held at once.
+PAIRS = 1 << 21
 _H = C.Hasher(5)
 _BASE = 0x9E3779B97F4A7C15
 
@@ -166,6 +168,10 @@ class Index:
 
     @staticmethod
     def _class(fps, item, offset, radius):
+        # neighbouring windows of an item that have one fingerprint are one entry, with its first and last offset
+        first = np.flatnonzero(np.r_[True, (fps[1:] != fps[:-1]) | (item[1:] != item[:-1]) | (offset[1:] != offset[:-1] + 1)])
+        last = np.r_[first[1:], len(fps)] - 1
+        fps, item, offset = fps[first], item[first], (offset[first], offset[last])
         variants = np.array([0, *[1 << k for k in range(BLOCK_BITS)]] if radius == RADIUS else [0], np.uint16)
         blocks, parts = [], fps.astype("<u8").view(np.uint16).reshape(-1, BLOCKS)
         for b in range(BLOCKS):
@@ -176,67 +182,118 @@ class Index:
         return fps, item, offset, blocks, radius
 
 
-def candidates(found: np.ndarray, valid: np.ndarray, index) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (window, entry) of a class within the radius."""
+def candidates(found: np.ndarray, index):
+    """Pairs (window, entry) of a class within the radius, in parts of about PAIRS; a pair may come once for each block."""
     fps, _, _, blocks, radius = index
     parts = found.astype("<u8").view(np.uint16).reshape(-1, BLOCKS)
-    hit = np.zeros(len(found), bool)
-    for b, (there, _, _) in enumerate(blocks):
-        hit |= there[parts[:, b]]
-    at = np.flatnonzero(hit & valid)
-    windows, entries = [], []
-    for b, (_, upto, order) in enumerate(blocks):
+    for b, (there, upto, order) in enumerate(blocks):
+        at = np.flatnonzero(there[parts[:, b]])
         key = parts[at, b].astype(np.int64)
         n = upto[key + 1] - upto[key]
-        w = np.repeat(at, n)
-        e = order[np.repeat(upto[key] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-        near = np.bitwise_count(found[w] ^ fps[e]) <= radius
-        windows.append(w[near])
-        entries.append(e[near])
-    pairs = np.unique(np.stack([np.concatenate(windows), np.concatenate(entries)]), axis=1)
-    return pairs[0], pairs[1]
+        sums = np.r_[0, np.cumsum(n)]
+        for lo, hi in C.blocks(sums, PAIRS):
+            m = n[lo:hi]
+            w = np.repeat(at[lo:hi], m)
+            e = order[np.repeat(upto[key[lo:hi]] - (sums[lo:hi] - sums[lo]), m) + np.arange(m.sum())]
+            near = np.bitwise_count(found[w] ^ fps[e]) <= radius
+            if near.any():
+                yield w[near], e[near]
+
+
+def united(row, item, lo, hi):
+    """Ranges of starts of each row and item, overlapping and adjoining ones united."""
+    order = np.lexsort((lo, item, row))
+    row, item, lo, hi = row[order], item[order], lo[order], hi[order]
+    apart = np.r_[True, (row[1:] != row[:-1]) | (item[1:] != item[:-1])]
+    lift = np.cumsum(apart) * (int(hi.max()) - int(lo.min()) + 3)
+    most = np.maximum.accumulate(hi + lift)
+    first = np.flatnonzero(np.r_[True, lo[1:] + lift[1:] > most[:-1] + 1])
+    return row[first], item[first], lo[first], (most - lift)[np.r_[first[1:], len(row)] - 1]
+
+
+def best_start(h: np.ndarray, f: int, e: int, n: int, counts: Counter, lo: int, hi: int):
+    """(similarity, start, end) of the most similar, then first, window of an item's n words that starts from lo to hi, inside words f to e."""
+    top = (0.0, 0, 0)
+    if n < SHINGLE:
+        for s in range(max(lo, f - n + 1), min(hi, e - 1) + 1):
+            a, z = max(s, f), min(s + n, e)
+            top = max(top, (similarity(counts, shingles(h[a:z])), a, z), key=lambda x: (x[0], -x[1]))
+        return top
+    base, end = max(lo, f), min(hi + n, e)
+    if end - base < SHINGLE:
+        return top
+    g = np.zeros(end - base - SHINGLE + 1, np.uint64)
+    for k in range(SHINGLE):
+        g = g * np.uint64(_BASE) + h[base + k : base + k + len(g)]
+    g, total = C.mix(g).tolist(), counts.total()
+    have: dict[int, int] = {}
+    both, x, y = 0, base, base
+    for s in range(max(lo, f - n + 1), min(hi, e - 1) + 1):
+        a, z = max(s, f), min(s + n, e) - SHINGLE + 1
+        while y < z:  # comes in
+            k = g[y - base]
+            y += 1
+            if k in counts:
+                have[k] = c = have.get(k, 0) + 1
+                both += c <= counts[k]
+        while x < min(a, y):  # goes out
+            k = g[x - base]
+            x += 1
+            if k in counts:
+                c = have[k]
+                have[k] = c - 1
+                both -= c <= counts[k]
+        if both and z > a:
+            value = both / (total + z - a - both)
+            if value > top[0]:
+                top = (value, a, z + SHINGLE - 1)
+    return top
 
 
 def scan(h: np.ndarray, first: np.ndarray, index: Index, threshold: float):
-    """(row, item, similarity, start, end) of the best window of each row and item it matches."""
+    """(row, item, similarity, start, end) of the best window of each row and item it matches.
+
+    Windows that stand side by side with one fingerprint are tried as one, and what
+    they say about an item's start are ranges, along which the shingle counts slide: a text or an item that
+    repeats itself costs no more than its length.
+    """
     best: dict[tuple[int, object], tuple[float, int, int]] = {}
     if not len(h) or not index.classes:
         return best
-    ends = np.repeat(first[1:], np.diff(first))
-    longest, tried = max(index.classes), set()
-
-    def compare(r: int, i: int, s: int) -> bool:
-        """Whether an item matches the window that starts at word s of row r, which lies within the row."""
-        tried.add((r, i, s))
-        a, z = max(s, int(first[r])), min(s + len(index.items[i]), int(first[r + 1]))
-        value = similarity(index.counts[i], shingles(h[a:z])) if a < z else 0.0
-        if value >= threshold:
-            was = best.get((r, index.names[i]))
-            now = (value, a - int(first[r]), z - int(first[r]))
-            if was is None or (-now[0], now[1]) < (-was[0], was[1]):
-                best[r, index.names[i]] = now
-        return value >= threshold
-
+    row_of = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    longest, ranges, held = max(index.classes), [], 0
+    moved = np.array(index.moved, np.int64)
     for lo in range(0, len(h), SPAN):
         sums = Sums(h[lo : lo + SPAN + longest - 1])
         for size, indexes in index.classes.items():
             fps = sums.fingerprints(size)[:SPAN]
             if not len(fps):
                 continue
-            fits = np.arange(lo, lo + len(fps)) + size <= ends[lo : lo + len(fps)]
+            at = np.arange(lo, lo + len(fps))
+            at = at[at + size <= first[1:][row_of[lo : lo + len(fps)]]]
+            if not len(at):
+                continue
+            print_ = fps[at - lo]
+            begin = np.flatnonzero(np.r_[True, (print_[1:] != print_[:-1]) | (at[1:] != at[:-1] + 1) | (row_of[at[1:]] != row_of[at[:-1]])])
+            final = at[np.r_[begin[1:], len(at)] - 1]
             for kept in indexes:
-                windows, entries = candidates(fps, fits, kept)
-                if not len(windows):
-                    continue
-                item, start = kept[1][entries], windows + lo - kept[2][entries]
-                row = np.searchsorted(first, windows + lo, "right") - 1
-                for r, i, s in np.unique(np.stack([row, item, start], axis=1), axis=0).tolist():
-                    if (r, i, s) in tried or compare(r, i, s):
-                        continue
-                    # words put in or left out before the window move the item's start
-                    for at in range(s - index.moved[i], s + index.moved[i] + 1):
-                        if (r, i, at) not in tried:
-                            compare(r, i, at)
+                for w, e in candidates(print_[begin], kept):
+                    item = kept[1][e]
+                    ranges.append(united(row_of[at[begin[w]]], item, at[begin[w]] - kept[2][1][e] - moved[item], final[w] - kept[2][0][e] + moved[item]))
+                    held += len(ranges[-1][0])
+                    if held > PAIRS:
+                        ranges = [united(*map(np.concatenate, zip(*ranges)))]
+                        held = len(ranges[0][0])
+    if not ranges:
+        return best
+    # words put in or left out before a window move the item's start: the ranges are wider by what may be
+    for r, i, a, z in zip(*(x.tolist() for x in united(*map(np.concatenate, zip(*ranges))))):
+        value, s, e = best_start(h, int(first[r]), int(first[r + 1]), len(index.items[i]), index.counts[i], a, z)
+        if value >= threshold:
+            now = (value, s - int(first[r]), e - int(first[r]))
+            was = best.get((r, index.names[i]))
+            if was is None or (-now[0], now[1]) < (-was[0], was[1]):
+                best[r, index.names[i]] = now
     return best
 
 

@@ -199,10 +199,25 @@ def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tem
 
     windows = read.select("id", "b", column(F.array_distinct(tried), "tried")).select("id", column(F.transform("tried", scored), "found"))
     windows = windows.select("id", column(F.filter("found", lambda x: x["dice"] >= threshold), "found")).filter(F.size("found") > 0)
-    # of overlapping windows the greatest by (dice, order, back)
+    return unbeaten(windows, max((t["n"] for t in made), default=0) + 1)
+
+
+def unbeaten(windows: DataFrame, longest: int) -> DataFrame:
+    """Rows (id, license, dice, start, end): the windows of rows (id, found) that no overlapping one of the same row is greater than, by (dice, order, back).
+
+    A text is cut into cells of the longest window's words. A window lies in two at
+    most, and windows that overlap share one, so each is compared only inside its cells.
+    """
+    # texts may share an id: the row's number tells them apart, and is written as it mustn't change
+    rows = C.cut(windows.withColumn("row", F.monotonically_increasing_id()).select("id", "row", F.explode("found").alias("x")))
+    cell = lambda at: F.floor(at / longest)
+    cells = rows.select("row", "x", F.explode(F.sequence(cell(-F.col("x.back")), cell(F.col("x.end") - 1))).alias("cell"))
     better = lambda y, x: (F.struct(y["dice"], y["order"], y["back"]) > F.struct(x["dice"], x["order"], x["back"])) & (-y["back"] < x["end"]) & (-x["back"] < y["end"])
-    best = F.filter("found", lambda x: ~F.exists("found", lambda y: better(y, x)))
-    return windows.select("id", F.explode(best).alias("x")).select("id", "x.license", "x.dice", (-F.col("x.back")).alias("start"), "x.end")
+    inside = cells.groupBy("row", "cell").agg(F.collect_list("x").alias("all"))
+    beaten = inside.select("row", F.explode(F.filter("all", lambda x: F.exists("all", lambda y: better(y, x)))).alias("x"))
+    named = lambda rows: rows.select("row", F.col("x.dice").alias("dice"), F.col("x.order").alias("order"), F.col("x.back").alias("back"))
+    kept = rows.select("id", "row", "x.*").join(named(beaten).distinct(), ["row", "dice", "order", "back"], "left_anti")
+    return kept.select("id", "license", "dice", (-F.col("back")).alias("start"), "end")
 
 
 def op7_license_scan(spark, sf_dir: str) -> DataFrame:

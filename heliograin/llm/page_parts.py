@@ -19,13 +19,14 @@ import zlib
 from collections import Counter
 
 # Element names and the words of class, id and role that tell what a block is for.
-RAW = {"script", "style", "noscript", "template", "svg", "iframe", "object", "textarea", "select", "math", "canvas", "audio", "video"}
+RAW = {"script", "style", "template", "iframe", "textarea"}
 BLOCKS = set(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
-    "h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split()
+    "h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul "
+    "audio canvas noscript select svg video".split()
 )
 VOID = {"hr"}
-DROPPED_ELEMENTS = {"aside", "button", "dialog", "fieldset", "footer", "form", "head", "menu", "nav", "title"}
+DROPPED_ELEMENTS = {"aside", "audio", "button", "canvas", "dialog", "fieldset", "footer", "form", "head", "menu", "nav", "noscript", "select", "svg", "title", "video"}
 DROPPED_WORDS = set(
     "ad ads advert advertisement advertising adverts alert banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright "
     "disclaimer disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices notification overlay "
@@ -36,15 +37,21 @@ DROPPED_WORDS = set(
 DROPPED_ARTICLES = {"ad", "ads", "advert", "advertisement", "comment", "comments", "promo", "related", "replies", "reply", "sponsored", "teaser"}
 #: Inline elements with one of these as a whole token are left out of their paragraph.
 DROPPED_INLINE = {"ad", "ads", "advert", "advertisement", "advertising", "adverts", "promo", "promotion", "share", "sharing", "social", "sponsor", "sponsored"}
+#: Words beside those of DROPPED_WORDS in the name of a block inside an article that don't make it a part of the text.
+NEUTRAL_WORDS = set(
+    "after area articles bar before block bottom bottombar box btn button buttons card cards center column container content end entry feed form frame "
+    "group head header holder icons inline inner item items label large layout left links list main media message module more news "
+    "outer page panel post posts region right row section shell site slot small stories story strip thread title top unit user view well wrap wrapper zone".split()
+)
 MAIN_WORDS = {"article", "articlebody", "body", "content", "entry", "main", "post", "story", "text"}
 #: First parts, or any parts, of tokens that describe a block rather than name it.
 ABOUT_FIRST = {"cat", "category", "format", "is", "postname", "status", "tag", "tagged", "taxonomy", "template", "term", "theme", "type"}
 ABOUT_ANY = {"has", "no", "not", "show", "with", "without"}
 EMPTY = {"area", "base", "br", "col", "embed", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 
-#: Blocks nested deeper than this are one text to the wrapper; pages are read at any depth.
+#: Blocks nested deeper than this are one text and a place of any blocks to the wrapper; pages are read at any depth.
 DEEPEST = 100
-#: Children of a wrapper's node that are told apart; the lightest beyond them become places of any blocks.
+#: Children of a wrapper's node that are told apart; the lightest beyond them become places of any blocks, which each page's own blocks say how to read.
 MOST_CHILDREN = 40
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>", re.S)
@@ -185,6 +192,18 @@ def _main(sym: str) -> bool:
     return element == "main" or any(not MAIN_WORDS.isdisjoint(parts_of(t)) for t in tokens)
 
 
+def _dropped_inside(sym: str) -> bool:
+    """Whether a block inside an article isn't part of it: of its name's tokens one says nothing else than that."""
+    element, *tokens = sym.split(" ")
+    if element in DROPPED_ELEMENTS or element == "article":
+        return _dropped(sym)
+    return any(words and not words.isdisjoint(DROPPED_WORDS) and words <= DROPPED_WORDS | NEUTRAL_WORDS for words in map(set, map(parts_of, tokens)))
+
+
+def dropped_inside(sym: str) -> bool:
+    return _known(_dropped_inside, sym)
+
+
 def dropped(sym: str) -> bool:
     return _known(_dropped, sym)
 
@@ -215,7 +234,7 @@ def expression(node, depth: int = 0) -> list:
             linked += x[2]
         else:
             open_.extend(reversed(x[1]))
-    return [node[0], False, False, [_leaf(" ".join(found), linked)] if found else []]
+    return [node[0], False, False, [*([_leaf(" ".join(found), linked)] if found else []), ["*", True, True, []]]]
 
 
 def characters(node: list) -> int:
@@ -343,6 +362,7 @@ class Weights:
 def regions(wrapper: list, pages: int) -> list:
     """What a wrapper tells about reading its pages: [ways, spared]. Ways lead to the article: ``[sym, is main, children]``.
 
+    A place of any blocks is a way ``["*", False, kind]``: below it a page's own blocks of that kind (article, main) are the article's.
     ``spared`` lists names of blocks that are kept although they look like something else.
     """
     w = Weights(wrapper, pages)
@@ -362,9 +382,15 @@ def regions(wrapper: list, pages: int) -> list:
             return 0
         return weight[id(node)] if test(node) else sum(held(x, test) for x in node[3])
 
-    def cut(node, test) -> list:
+    def starred(node) -> bool:
+        """Whether a place of any blocks lies below."""
+        return node[0] == "*" or node[0] != "#" and not out(node[0]) and any(map(starred, node[3]))
+
+    def cut(node, test, kind: str) -> list:
+        if node[0] == "*":
+            return ["*", False, kind]
         is_main = node[0][:1] != "(" and test(node)
-        return [node[0], is_main, [] if is_main else [cut(x, test) for x in node[3] if named(x, test)]]
+        return [node[0], is_main, [] if is_main else [cut(x, test, kind) for x in node[3] if named(x, test) or kind and starred(x)]]
 
     def heaviest() -> int:
         node = wrapper
@@ -376,11 +402,15 @@ def regions(wrapper: list, pages: int) -> list:
 
     is_article = lambda x: x[0].split(" ")[0] == "article"
     is_main = lambda x: main(x[0]) and weight[id(x)] >= 0.5 * total
-    for test, least in ((is_article, 0.3), (is_main, 0.5)):
+    for test, least, kind in ((is_article, 0.3, "article"), (is_main, 0.5, "main")):
         if named(wrapper, test) and held(wrapper, test) >= least * total:
-            return [cut(wrapper, test), sorted(w.spared)]
+            return [cut(wrapper, test, kind), sorted(w.spared)]
     one = heaviest()
-    return [cut(wrapper, lambda x: id(x) == one), sorted(w.spared)]
+    return [cut(wrapper, lambda x: id(x) == one, ""), sorted(w.spared)]
+
+
+def _of_kind(sym: str, kind: str) -> bool:
+    return sym.split(" ")[0] == "article" if kind == "article" else main(sym)
 
 
 def _flat(items: list) -> list:
@@ -398,14 +428,16 @@ def texts(root, region: list) -> list[str]:
         if node[0] == "#":
             found.append(node[1])
             continue
-        inner, at, after = _flat(way[2]) if way else [], 0, []
+        star = way if way and way[0] == "*" else None
+        inner, at, after = _flat(way[2]) if way and not star else [], 0, []
+        star = star or next((x for x in inner if x[0] == "*"), None)
         for x in node[1]:
             sym = x[0]
             if sym == "#":
                 if way is None and not headings:
                     after.append((x, None, False))
                 continue
-            if dropped(sym) and sym not in spared:
+            if (dropped_inside if way is None else dropped)(sym) and sym not in spared:
                 continue
             if way is None:
                 after.append((x, None, (headings or heads(sym)) and sym.split(" ")[0] not in _HEADINGS))
@@ -414,5 +446,7 @@ def texts(root, region: list) -> list[str]:
             if hit is not None:
                 at = hit
                 after.append((x, None if inner[hit][1] else inner[hit], False))
+            elif star is not None:
+                after.append((x, None if _of_kind(sym, star[2]) else star, False))
         open_.extend(reversed(after))
     return found

@@ -304,7 +304,7 @@ def _sketched(segments: int, length: int):
             seqs, counts, prints = [], [], []
             for _, _, (part, starts, ends, first), sets in _shingles(b.column(2)):
                 n = np.diff(first)
-                pair = [f.windows(f.words(part, starts, ends), first[:-1], n) for f in (_A, _B)]
+                pair = [f.sequences(f.words(part, starts, ends), first) for f in (_A, _B)]
                 seqs += [x.tobytes() if k else b"" for x, k in zip(np.stack(pair, axis=1), n)]
                 at = np.cumsum([0, *map(len, sets)])
                 h = np.concatenate(sets) if sets else np.empty(0, np.uint64)

@@ -88,6 +88,7 @@ class _Group:
             own[order] = np.cumsum(new) - 1
             return ranked[new], own
         if not len(self.at):
+            self.places = self.of_place = np.empty(0, np.int64)
             return np.empty(0, np.uint64), np.empty(0, np.int64)
         h = _A.windows(self.a, np.arange(len(self.a) - length + 1), length)
         stand = _leftmost_least(h, self.window - length + 1)[self.at]

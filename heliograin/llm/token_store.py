@@ -11,7 +11,7 @@ file. Files go through Spark's Parquet writer (a row is a file's
 payload), so any store that Spark can write to holds them.
 
 Defined results: a null text encodes as the empty text (its end id only);
-repeated ids are kept, ordered by text; an empty table gives no shard and an
+documents without an id come first and read back without one; repeated ids are kept, ordered by text; an empty table gives no shard and an
 empty result; further columns are ignored whatever their names.
 """
 
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-MAGIC = b"WVMX0002"
+MAGIC = b"WVMX0003"
 SHARD_TOKENS = 2 << 20
 PARTITION_BYTES = 48 << 20
 #: Distinct words that an encoder remembers before it forgets the rarer ones.
@@ -54,10 +54,10 @@ def planes_of(ids: np.ndarray, bits: int) -> tuple[list[np.ndarray], list[int]]:
     return planes, zeros
 
 
-def pack(doc_ids: np.ndarray, ends: np.ndarray, ids: np.ndarray, bits: int) -> bytes:
+def pack(doc_ids: np.ndarray, ends: np.ndarray, ids: np.ndarray, bits: int, unnamed: int = 0) -> bytes:
     """A shard's file: magic, counts, sizes of the parts, the parts, then the compressed blocks of all planes.
 
-    Parts, each compressed: documents' ids, their ends, zeros of each plane, ones before each block, and where each block begins.
+    The first ``unnamed`` documents have no id. Parts, each compressed: documents' ids, their ends, zeros of each plane, ones before each block, and where each block begins.
     """
     (planes, zeros), z = planes_of(ids, bits), zstandard.ZstdCompressor(level=1)
     step, ones, blocks = BLOCK_BITS // 8, [], []
@@ -68,7 +68,7 @@ def pack(doc_ids: np.ndarray, ends: np.ndarray, ids: np.ndarray, bits: int) -> b
         blocks += [z.compress(x.tobytes()) for x in cut]
     begins = np.cumsum([0, *map(len, blocks)])
     parts = [z.compress(np.asarray(x, "<i8").tobytes()) for x in (doc_ids, ends, zeros, np.concatenate(ones) if ones else [], begins)]
-    return MAGIC + struct.pack("<QQI5Q", len(doc_ids), len(ids), bits, *map(len, parts)) + b"".join(parts) + b"".join(blocks)
+    return MAGIC + struct.pack("<QQQI5Q", len(doc_ids), unnamed, len(ids), bits, *map(len, parts)) + b"".join(parts) + b"".join(blocks)
 
 
 class Shard:
@@ -77,8 +77,8 @@ class Shard:
     def __init__(self, payload: bytes):
         if payload[:8] != MAGIC:
             raise ValueError("not a shard of this format")
-        head = struct.calcsize("<QQI5Q")
-        _, self.n, self.bits, *sizes = struct.unpack_from("<QQI5Q", payload, 8)
+        head = struct.calcsize("<QQQI5Q")
+        _, self.unnamed, self.n, self.bits, *sizes = struct.unpack_from("<QQQI5Q", payload, 8)
         self.z, parts, at = zstandard.ZstdDecompressor(), [], 8 + head
         for size in sizes:
             parts.append(np.frombuffer(self.z.decompress(payload[at : at + size]), "<i8"))
@@ -89,6 +89,10 @@ class Shard:
         self.ones = ones.reshape(self.bits, -1) if self.bits else ones
         self.opened = 0
 
+    def names(self) -> pa.Array:
+        """The documents' ids, null where there is none."""
+        return pa.array(self.doc_ids, mask=np.arange(len(self.doc_ids)) < self.unnamed)
+
     def _block(self, k: int, j: int) -> np.ndarray:
         """The bits of one block of plane k."""
         at = k * self.blocks + j
@@ -285,7 +289,7 @@ class WordEncoder:
 def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = SHARD_TOKENS) -> None:
     """Write the ids of all texts, in ascending order of id, as shard files under ``path``.
 
-    Rows: first (smallest id of the shard), part (order among shards that begin
+    Rows: first (smallest id of the shard, null if it begins with a document without one), part (order among shards that begin
     with an equal id), n_tokens, payload (the file).
     """
     size = C.text_bytes(docs, text_col)
@@ -301,8 +305,9 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
             for h in held:
                 ends.append(h[2] + (ends[-1][-1] if len(ends) > 1 else 0))
             doc_ids = np.concatenate([h[0] for h in held])
+            unnamed = sum(h[3] for h in held)
             out = pa.RecordBatch.from_arrays(
-                [pa.array([int(doc_ids[0])], pa.int64()), pa.array([part], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([pack(doc_ids, np.concatenate(ends[1:]), ids, encoder.bits)], pa.binary())],
+                [pa.array([None if unnamed else int(doc_ids[0])], pa.int64()), pa.array([part], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([pack(doc_ids, np.concatenate(ends[1:]), ids, encoder.bits, unnamed)], pa.binary())],
                 ["first", "part", "n_tokens", "payload"],
             )
             held, tokens, part = [], 0, part + 1
@@ -310,21 +315,22 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
 
         for b in batches:
             data, off = C.flat(b.column(1))
-            names = b.column(0).to_numpy()
+            none = b.column(0).is_null().to_numpy(zero_copy_only=False)
+            names = b.column(0).fill_null(0).to_numpy()
             for lo, hi in C.blocks(off):
                 raw, at = data[off[lo] : off[hi]].tobytes(), off[lo : hi + 1] - off[lo]
                 ids, ends = encoder.encode([raw[a:z] for a, z in zip(at, at[1:])], end_id)
                 if held and tokens + len(ids) > shard_tokens:
                     yield shard()
-                held.append((names[lo:hi], ids, ends))
+                held.append((names[lo:hi], ids, ends, int(none[lo:hi].sum())))
                 tokens += len(ids)
         if held:
             yield shard()
 
     (
         docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
-        .repartitionByRange(parts, "id")
-        .sortWithinPartitions("id", "body")
+        .repartitionByRange(parts, F.col("id").asc_nulls_first())
+        .sortWithinPartitions(F.col("id").asc_nulls_first(), "body")
         .mapInArrow(C.tidy(run), "first long, part int, n_tokens long, payload binary")
         .write.option("maxRecordsPerFile", 1)
         .option("compression", "none")
@@ -338,11 +344,11 @@ _SHARDS = "first long, part int, n_tokens long, payload binary"
 def _with_starts(spark: SparkSession, path: str) -> DataFrame:
     """The shards under ``path`` with ``before``, the ids of all shards before each."""
     shards = spark.read.schema(_SHARDS).parquet(path)
-    starts = C.running(shards.select(F.col("first").alias("_first"), F.col("part").alias("_part_of"), F.col("n_tokens").alias("_n")), [F.col("_first"), F.col("_part_of")], n=F.col("_n"))
+    starts = C.running(shards.select(F.col("first").alias("_first"), F.col("part").alias("_part_of"), F.col("n_tokens").alias("_n")), [F.col("_first").asc_nulls_first(), F.col("_part_of")], n=F.col("_n"))
     # a row of 40 bytes for each shard of up to SHARD_TOKENS ids
     starts = C.cut(starts.select("_first", "_part_of", F.col("before_n").alias("before")))
     starts = F.broadcast(starts) if starts.count() * 40 <= C.BROADCAST_BYTES else starts
-    return shards.join(starts, (F.col("first") == F.col("_first")) & (F.col("part") == F.col("_part_of"))).select("before", "payload")
+    return shards.join(starts, F.col("first").eqNullSafe(F.col("_first")) & (F.col("part") == F.col("_part_of"))).select("before", "payload")
 
 
 def count_token(spark: SparkSession, path: str, token: int) -> DataFrame:
@@ -366,7 +372,7 @@ def occurrences(spark: SparkSession, path: str, token: int) -> DataFrame:
                 at = shard.occurrences(token)
                 doc = np.searchsorted(shard.ends, at, "right")
                 starts = np.concatenate([[0], shard.ends[:-1]])
-                yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids[doc]), pa.array(at - starts[doc]), pa.array(at + before)], ["id", "position", "at"])
+                yield pa.RecordBatch.from_arrays([shard.names().take(pa.array(doc)), pa.array(at - starts[doc]), pa.array(at + before)], ["id", "position", "at"])
 
     return _with_starts(spark, path).mapInArrow(C.tidy(run), "id long, position long, at long")
 
@@ -399,7 +405,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                 ids, starts = shard.decode().astype("<u4"), np.concatenate([[0], shard.ends[:-1]])
                 crc = [zlib.crc32(ids[a:z]) for a, z in zip(starts, shard.ends)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard.doc_ids), pa.array(starts + before), pa.array(shard.ends - starts), pa.array(crc, pa.int64())], ["id", "start", "n_tokens", "ids_crc32"]
+                    [shard.names(), pa.array(starts + before), pa.array(shard.ends - starts), pa.array(crc, pa.int64())], ["id", "start", "n_tokens", "ids_crc32"]
                 )
 
     return _with_starts(spark, path).mapInArrow(C.tidy(run), "id long, start long, n_tokens long, ids_crc32 long")
