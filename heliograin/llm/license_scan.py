@@ -129,6 +129,10 @@ TEMPLATES = [
 ]
 
 
+#: Keeps starts before the text's first word above zero.
+LIFT = 1 << 20
+
+
 def words_of(text: str) -> list[str]:
     return re.sub(r"[\W_]+", " ", text.lower()).split()
 
@@ -187,15 +191,17 @@ def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tem
     told = F.filter(F.transform("b", lambda g, i: F.when(g.isin(list(places)), F.struct(g.alias("g"), i.alias("i")))), lambda h: h.isNotNull())
     read = read.select("id", "b", column(told, "told")).filter(F.size("told") > 0)
     of, table = literal(places, "map<string,array<struct<k:int,o:int>>>"), literal(made, "array<struct<license:string,n:int,grams:array<string>>>")
-    tried = F.flatten(F.transform("told", lambda h: F.transform(F.element_at(of, h["g"]), lambda x: F.struct(x["k"].alias("k"), (h["i"] - x["o"]).alias("s")))))
+    # template and start in one number, as distinct structs would be compared pair by pair
+    tried = F.flatten(F.transform("told", lambda h: F.transform(F.element_at(of, h["g"]), lambda x: F.shiftleft(x["k"].cast("long"), 32) + (h["i"] - x["o"] + LIFT))))
 
     def scored(c):
-        t = F.get(table, c["k"])
-        first, last = F.greatest(c["s"], F.lit(0)), F.least(c["s"] + t["n"], F.size("b"))
+        k, start = F.shiftright(c, 32).cast("int"), (c.bitwiseAND(F.lit((1 << 32) - 1)) - LIFT).cast("int")
+        t = F.get(table, k)
+        first, last = F.greatest(start, F.lit(0)), F.least(start + t["n"], F.size("b"))
         own = F.array_distinct(F.slice("b", first + 1, F.greatest(last - first, F.lit(0))))
         count, n = F.size(own), F.size(t["grams"])
         dice = F.when((count >= n * ratio) & (count * ratio <= n), F.lit(2.0) * F.size(F.array_intersect(own, t["grams"])) / (count + n))
-        return F.struct(F.coalesce(dice, F.lit(0.0)).alias("dice"), (-c["k"]).alias("order"), (-first).alias("back"), (last + 1).alias("end"), t["license"].alias("license"))
+        return F.struct(F.coalesce(dice, F.lit(0.0)).alias("dice"), (-k).alias("order"), (-first).alias("back"), (last + 1).alias("end"), t["license"].alias("license"))
 
     windows = read.select("id", "b", column(F.array_distinct(tried), "tried")).select("id", column(F.transform("tried", scored), "found"))
     windows = windows.select("id", column(F.filter("found", lambda x: x["dice"] >= threshold), "found")).filter(F.size("found") > 0)
