@@ -8,12 +8,13 @@ series is read in order by one task; many series run side by side.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -367,10 +368,33 @@ def rainflow(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame
     return held.select(key, "_x").mapInArrow(run, f"`{key}` {kind.simpleString()}, range double, mean double, count double")
 
 
-def in_batch(df: DataFrame, key: str, order: list[str], value: str | list[str], kernel: Kernel, keep: list[str] | None = None) -> DataFrame:
+def _ordered(df: DataFrame, key: str, order: list[str], values: list[str], keep: list[str], start: DataFrame | None) -> DataFrame:
+    """Rows (key, kept, saved state, values), a series' rows together and in order; a saved state stands on a row of its own before them."""
+    kind = df.schema[key].dataType.simpleString()
+    rows = df.dropna(subset=values).select(F.col(key), *keep, F.lit(None).cast("string").alias("_state"), *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)], *[F.col(v).cast("double").alias(f"_x{i}") for i, v in enumerate(values)])
+    rows = rows.withColumn("_saved", F.lit(1))
+    if start is not None:
+        saved = start.select(F.col(key).cast(kind).alias(key), F.col("state").alias("_state"), F.lit(0).alias("_saved"))
+        rows = rows.unionByName(saved, allowMissingColumns=True)
+    held = rows.repartition(F.col(key)).sortWithinPartitions(key, "_saved", *[f"_o{i}" for i in range(len(order))])
+    return held.select(key, *keep, "_state", *[f"_x{i}" for i in range(len(values))])
+
+
+def to_text(state: tuple) -> str:
+    """A state as JSON, which a table can hold and any later version can read."""
+    return json.dumps(state)
+
+
+def from_text(text: str) -> tuple:
+    tuples = lambda x: tuple(map(tuples, x)) if isinstance(x, list) else x
+    return tuples(json.loads(text))
+
+
+def in_batch(df: DataFrame, key: str, order: list[str], value: str | list[str], kernel: Kernel, keep: list[str] | None = None, start: DataFrame | None = None) -> DataFrame:
     """Rows (key, kept columns, outputs): the kernel over each key's rows in order; rows with a null value are left out.
 
-    A list of values reaches the kernel as a tuple.
+    A list of values reaches the kernel as a tuple. ``start`` is a table (key, state) of saved
+    states, one for each key at most, from which the keys in it go on.
     """
     keep = order if keep is None else keep
     several, values = not isinstance(value, str), [value] if isinstance(value, str) else list(value)
@@ -383,24 +407,60 @@ def in_batch(df: DataFrame, key: str, order: list[str], value: str | list[str],
         now, state = object(), kernel.start
         for b in batches:
             out: list[tuple] = []
+            saved = b.column(b.num_columns - len(values) - 1)
             inputs = [c.to_pylist() for c in b.columns[-len(values) :]]
-            for k, x in zip(b.column(0).to_pylist(), zip(*inputs) if several else inputs[0]):
+            for k, old, x in zip(b.column(0).to_pylist(), saved.to_pylist(), zip(*inputs) if several else inputs[0]):
                 if k != now:
                     now, state = k, kernel.start
+                if old is not None:
+                    state = from_text(old)
+                    continue
                 state, made = kernel.step(state, x)
                 out.append(made)
             cols = [pa.array(c, pa.float64()) for c in zip(*out)] if out else [pa.array([], pa.float64())] * len(kernel.names)
-            yield pa.RecordBatch.from_arrays([*b.columns[: -len(values)], *cols], [*b.schema.names[: -len(values)], *kernel.names])
+            rest = b.select(b.schema.names[: -len(values) - 1]).filter(saved.is_null())
+            yield pa.RecordBatch.from_arrays([*rest.columns, *cols], [*rest.schema.names, *kernel.names])
 
-    rows = df.dropna(subset=values).select(key, *keep, *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)], *[F.col(v).cast("double").alias(f"_x{i}") for i, v in enumerate(values)])
-    held = rows.repartition(F.col(key)).sortWithinPartitions(key, *[f"_o{i}" for i in range(len(order))])
-    return held.select(key, *keep, *[f"_x{i}" for i in range(len(values))]).mapInArrow(run, plain)
+    return _ordered(df, key, order, values, keep, start).mapInArrow(run, plain)
+
+
+def states_after(df: DataFrame, key: str, order: list[str], value: str | list[str], kernel: Kernel, start: DataFrame | None = None) -> DataFrame:
+    """Rows (key, state): each key's state behind its last row, as JSON; keys that only ``start`` has keep theirs."""
+    several, values = not isinstance(value, str), [value] if isinstance(value, str) else list(value)
+    kind = df.schema[key].dataType
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_type
 
+        now, state, ended = None, None, []
+        some = False
 
-def in_stream(df: DataFrame, key: str, order: str, value: str, kernel: Kernel) -> DataFrame:
-    """The same kernel over a stream: rows (key, order, outputs); a micro-batch's rows of a key are taken in order of ``order``."""
-    import pickle
+        def packed():
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in ended], to_arrow_type(kind)), pa.array([s for _, s in ended], pa.string())], [key, "state"])
 
+        for b in batches:
+            inputs = [c.to_pylist() for c in b.columns[2:]]
+            for k, old, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), zip(*inputs) if several else inputs[0]):
+                if not some or k != now:
+                    if some:
+                        ended.append((now, to_text(state)))
+                    now, state, some = k, kernel.start, True
+                state = kernel.step(state, x)[0] if old is None else from_text(old)
+            yield packed()
+            ended = []
+        if some:
+            ended.append((now, to_text(state)))
+            yield packed()
+
+    return _ordered(df, key, order, values, [], start).mapInArrow(run, f"`{key}` {kind.simpleString()}, state string")
+
+
+def in_stream(df: DataFrame, key: str, order: str, value: str, kernel: Kernel, start: DataFrame | None = None) -> DataFrame:
+    """The same kernel over a stream: rows (key, order, outputs); a micro-batch's rows of a key are taken in order of ``order``.
+
+    The state store's checkpoint resumes a stopped query. A new query takes over from a batch
+    table ``start`` (key, state): a key's first rows bring its saved state along by a stream-static join.
+    """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     schema = df.select(key, order).schema
@@ -408,14 +468,27 @@ def in_stream(df: DataFrame, key: str, order: str, value: str, kernel: Kernel) -
         schema = schema.add(name, "double")
 
     def run(_key, frames, state):
-        held = pickle.loads(state.get[0]) if state.exists else kernel.start
-        rows = pd.concat(list(frames)).dropna(subset=[value]).sort_values(order, kind="stable")
+        rows = pd.concat(list(frames))
+        rows = rows[rows[value].notna()].sort_values(order, kind="stable")
+        saved = rows["_state"].iloc[0] if len(rows) else None
+        held = from_text(state.get[0]) if state.exists else from_text(saved) if isinstance(saved, str) else kernel.start
         out = []
         for x in rows[value].astype(float):
             held, made = kernel.step(held, x)
             out.append(made)
-        state.update((pickle.dumps(held),))
+        if len(rows):
+            state.update((to_text(held),))
         made = pd.DataFrame(out, columns=list(kernel.names), dtype=float)
         yield pd.concat([rows[[key, order]].reset_index(drop=True), made], axis=1)
 
-    return df.select(key, order, value).groupBy(key).applyInPandasWithState(run, schema, "state binary", "append", GroupStateTimeout.NoTimeout)
+    rows = df.select(key, order, value)
+    if start is None:
+        rows = rows.withColumn("_state", F.lit(None).cast("string"))
+    else:
+        rows = rows.join(start.select(F.col(key).alias("_of"), F.col("state").alias("_state")), F.col(key).eqNullSafe(F.col("_of")), "left").drop("_of")
+    return rows.groupBy(key).applyInPandasWithState(run, schema, "state string", "append", GroupStateTimeout.NoTimeout)
+
+
+def saved_states(spark: SparkSession, checkpoint: str, key: str) -> DataFrame:
+    """Rows (key, state) of a stopped ``in_stream`` query, read from its checkpoint; a table for ``start``."""
+    return spark.read.format("statestore").load(checkpoint).select(F.col(f"key.{key}").alias(key), F.col("value.groupState.state").alias("state"))
