@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from heliograin.operators.frame import numbered
+
 # Well-known ports.
 PORTS = {"ftp": 21, "ssh": 22, "telnet": 23, "smtp": 25, "dns": 53, "http": 80, "https": 443}
 
@@ -112,11 +114,18 @@ def dns_tunnels(flows: DataFrame, least: int = 10, score: float = 0.5) -> DataFr
     return _result(s, "dns_tunnel", F.lit(None).cast("string"), F.col("dst_ip"), F.lit("tunnel"), F.col("score"))
 
 
+#: Windows whose history one task reads.
+FLOOD_BLOCK = 1000
+
+
 def floods(flows: DataFrame, window: str, syn: float = 0.6, rst: float = 0.5, factor: float = 3.0, history: int = 10) -> DataFrame:
     """Windows of flooding (as targets): high SYN or RST rates, or a volume over ``factor`` times the mean of the windows before."""
     s = window_summary(flows, [window]).join(flows.groupBy(window).agg(F.sum(F.col("bytes_out") + F.col("bytes_in")).alias("volume"), F.max("start_time").alias("seen_at")), window)
-    before = F.avg("volume").over(W.partitionBy(F.floor(F.col(window) / 1000)).orderBy(window).rowsBetween(-history, -1))
-    s = s.withColumn("base", before)
+    # blocks of windows in their order; the last ones of a block stand in the next one too, as what comes before it
+    s, block = numbered(s, [F.col(window)], "_rank"), F.floor(F.col("_rank") / FLOOD_BLOCK)
+    ahead = F.floor((F.col("_rank") + history) / FLOOD_BLOCK)
+    s = s.withColumn("_block", F.explode(F.sequence(block, ahead)))
+    s = s.withColumn("base", F.avg("volume").over(W.partitionBy("_block").orderBy("_rank").rowsBetween(-history, -1))).filter(F.col("_block") == block)
     kind = F.when(F.col("syn_rate") > syn, "syn_flood").when(F.col("rst_rate") > rst, "rst_flood").when(F.col("volume") > factor * F.col("base"), "volumetric")
     s = s.withColumn("kind", kind).filter("kind is not null")
     return _result(s, "ddos", F.lit(None).cast("string"), F.col(window).cast("string"), F.col("kind"), F.lit(0.8))

@@ -5,8 +5,11 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from heliograin.sources.scratch import cut
+
 _AGGREGATES = {"sum": F.sum, "mean": F.avg, "count": F.count, "min": F.min, "max": F.max}
 
 
@@ -94,3 +97,18 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], time: str, value
 
 def total(columns: list[Column]) -> Column:
     return reduce(lambda x, y: x + y, columns)
+
+
+def numbered(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+    """``df`` with gapless numbers from 0 in ``order``, which has to tell rows apart.
+
+    Rows are range-partitioned and written once; numbers run inside partitions and start
+    from the counts of those before (one row for each partition), so no task sorts all rows.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    counts = placed.groupBy(F.col("_part").alias("_of")).agg(F.count(F.lit(1)).alias("_n"))
+    starts = counts.select("_of", F.coalesce(F.sum("_n").over(W.orderBy("_of").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(W.partitionBy("_part").orderBy(*order)) - 1
+    made = placed.withColumn(name, inside).join(F.broadcast(starts), F.col("_part") == F.col("_of"))
+    return made.withColumn(name, (F.col(name) + F.col("_before")).cast("long")).drop("_part", "_of", "_before")

@@ -7,6 +7,8 @@ executor costs one round.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,16 +41,45 @@ def roots_and_tips(edges: DataFrame) -> DataFrame:
     return d.filter("parents = 0 or children = 0").select("node", F.when(F.col("parents") == 0, "root").otherwise("tip").alias("kind"))
 
 
+class _Seen:
+    """Rows found round by round, each round written once; every so often neighbouring rounds are written together, so that few files stay and a row is rewritten a logarithmic number of times."""
+
+    def __init__(self, first: DataFrame):
+        self.levels = [(1, first)]
+
+    def all(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, [rows for _, rows in self.levels])
+
+    def add(self, rows: DataFrame) -> None:
+        self.levels.append((1, rows))
+        while len(self.levels) > 1 and self.levels[-1][0] >= self.levels[-2][0]:
+            (n, a), (m, b) = self.levels.pop(), self.levels.pop()
+            self.levels.append((n + m, cut(a.unionByName(b)) if n + m >= 8 else a.unionByName(b)))
+
+
 def reachable(edges: DataFrame, starts: DataFrame, most_rounds: int = 1000) -> DataFrame:
     """Rows (start, node, hops): all nodes reachable from each start, itself at 0 hops (breadth first)."""
-    seen = cut(starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("hops")).distinct())
-    frontier = seen
+    frontier = cut(starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("hops")).distinct())
+    seen = _Seen(frontier)
     for hops in range(1, most_rounds + 1):
         step = frontier.join(edges, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
-        frontier = cut(step.join(seen, ["start", "node"], "left_anti").withColumn("hops", F.lit(hops)))
+        frontier = cut(step.join(seen.all(), ["start", "node"], "left_anti").withColumn("hops", F.lit(hops)))
+        if frontier.isEmpty():
+            return seen.all()
+        seen.add(frontier)
+    raise RuntimeError(f"nodes are more than {most_rounds} hops away")
+
+
+def reached(edges: DataFrame, starts: DataFrame, most_rounds: int = 1000) -> DataFrame:
+    """Rows (node): what any of the starts leads to, themselves included; grows with nodes and not with pairs."""
+    frontier = cut(starts.select("node").distinct())
+    seen = _Seen(frontier)
+    for _ in range(most_rounds):
+        step = edges.join(frontier, F.col("node") == F.col("src"), "left_semi").select(F.col("dst").alias("node")).distinct()
+        frontier = cut(step.join(seen.all(), "node", "left_anti"))
         if frontier.isEmpty():
-            return seen
-        seen = cut(seen.unionByName(frontier))
+            return seen.all()
+        seen.add(frontier)
     raise RuntimeError(f"nodes are more than {most_rounds} hops away")
 
 
@@ -91,7 +122,7 @@ def topological_levels(edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
 
 def unreachable(objects: DataFrame, edges: DataFrame, named: DataFrame) -> DataFrame:
     """Objects that no named root leads to (mark and sweep)."""
-    return objects.join(reachable(edges, named).select("node").distinct(), "node", "left_anti")
+    return objects.join(reached(edges, named), "node", "left_anti")
 
 
 def page_rank(edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:

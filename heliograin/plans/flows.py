@@ -81,7 +81,7 @@ BEACON = (
 )
 FLOOD = (
     "spans AS (SELECT floor(start_time / 86400)::BIGINT AS span, max(start_time) AS seen_at, sum(syn_count) / sum(packets_out + packets_in) AS syn, sum(rst_count) / sum(packets_out + packets_in) AS rst, sum(bytes_out + bytes_in) AS v FROM flows GROUP BY ALL), "
-    "based AS (SELECT *, avg(v) OVER (PARTITION BY span // 1000 ORDER BY span ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS base FROM spans), kinds AS (SELECT span, seen_at, CASE WHEN syn > 0.6 THEN 'syn_flood' WHEN rst > 0.5 THEN 'rst_flood' WHEN v > 1.5 * base THEN 'volumetric' END AS kind FROM based), "
+    "based AS (SELECT *, avg(v) OVER (ORDER BY span ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS base FROM spans), kinds AS (SELECT span, seen_at, CASE WHEN syn > 0.6 THEN 'syn_flood' WHEN rst > 0.5 THEN 'rst_flood' WHEN v > 1.5 * base THEN 'volumetric' END AS kind FROM based), "
     "flood AS (SELECT 'ddos' AS detector, NULL::VARCHAR AS source, span::VARCHAR AS target, kind, 0.8::DOUBLE AS confidence, seen_at FROM kinds WHERE kind IS NOT NULL)"
 )
 

@@ -59,7 +59,7 @@ def graph_unreachable(spark, d):
     return graph.unreachable(table(spark, d, "customer").select(F.col("c_custkey").alias("node")), _tree(spark, d), spark.createDataFrame([(5,)], "node long"))
 
 
-@query("SELECT unnest([0, 1, 3, 11, 35])::BIGINT AS node, unnest(range(5))::INT AS place")
+@query(f"WITH RECURSIVE {TREE}, walk(node, path) AS (SELECT 0::BIGINT, [0::BIGINT] UNION ALL SELECT e.dst, list_append(path, e.dst) FROM walk JOIN edges e ON e.src = walk.node), found AS (SELECT path FROM walk WHERE node = 35 ORDER BY len(path) LIMIT 1) SELECT unnest(path) AS node, unnest(range(len(path)))::INT AS place FROM found")
 def graph_shortest_path(spark, d):
     path = graph.shortest_path(_tree(spark, d), 0, 35)
     return spark.createDataFrame([(int(n), k) for k, n in enumerate(path)], "node long, place int")

@@ -50,10 +50,8 @@ def tabular_with_column(spark, d):
 
 @query("SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey)::INT AS place FROM supplier")
 def tabular_sort_double(spark, d):
-    from pyspark.sql import Window as W
-
-    s = frame.sort_by_double(table(spark, d, "supplier"), "s_acctbal", "s_suppkey", descending=True)
-    return s.select("s_suppkey", F.row_number().over(W.orderBy(*frame.double_order("s_acctbal", True), "s_suppkey")).alias("place"))  # the supplier table is a dimension
+    s = frame.numbered(table(spark, d, "supplier"), [*frame.double_order("s_acctbal", True), F.col("s_suppkey")])
+    return s.select("s_suppkey", (F.col("rank") + 1).cast("int").alias("place"))
 
 
 @query("SELECT a.key, a.name, a.v, b.name AS name_right, b.w FROM (SELECT n_regionkey AS key, n_name AS name, n_nationkey AS v FROM nation) a JOIN (SELECT r_regionkey AS key, r_name AS name, r_regionkey * 10 AS w FROM region) b USING (key)")
