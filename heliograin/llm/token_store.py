@@ -188,6 +188,12 @@ _RULES = {
 _PLAIN = re.compile("[!-~\u00c0-\u012f\u0131-\u024f]+")
 
 
+_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
+# The byte-level alphabet by its rule: printable bytes stand for themselves, the others for the code points from 256 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LEVEL = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+
+
 class _Numbers(dict):
     """Numbers words as they are first asked for."""
 
@@ -213,11 +219,10 @@ class WordEncoder:
 
     def __init__(self, path: str):
         import regex
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.bytes_of = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         with open(path, encoding="utf-8") as f:
             rules = json.load(f)
         split = (rules.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
@@ -241,7 +246,7 @@ class WordEncoder:
             self.pieces = {}
 
     def _piece(self, piece: str) -> list[int]:
-        name = piece if piece.isascii() else self.bytes_of.pre_tokenize_str(piece)[0][0]
+        name = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTE_LEVEL)
         self.pieces[piece] = ids = [t.id for t in self.model.tokenize(name)]
         return ids
 
@@ -251,11 +256,24 @@ class WordEncoder:
         rest, seen = [], self.pieces
         for i, raw in enumerate(fresh):
             word = raw.decode()
-            if self.pieces_of is None or "<|" in word or not _PLAIN.fullmatch(word):
+            if self.pieces_of is None or "<|" in word:
+                rest.append((i, word))
+                continue
+            # letters and then marks, as most words are, are two pieces at most
+            low = word.lower()
+            core = low.rstrip(_MARKS)
+            if core.isalpha() and (word.isascii() or _PLAIN.fullmatch(word)):
+                ids = seen[core] if core in seen else self._piece(core)
+                if len(core) < len(low):
+                    tail = low[len(core) :]
+                    ids = ids + (seen[tail] if tail in seen else self._piece(tail))
+                made[i] = ids
+                continue
+            if not _PLAIN.fullmatch(word):
                 rest.append((i, word))
                 continue
-            ids: list[int] = []
-            for piece in self.pieces_of(word.lower()):
+            ids = []
+            for piece in self.pieces_of(low):
                 ids += seen[piece] if piece in seen else self._piece(piece)
             made[i] = ids
         for lo in range(0, len(rest), 2000):
