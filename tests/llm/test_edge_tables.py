@@ -21,6 +21,8 @@ def folders(spark, tmp_path_factory):
         "documents": (rows(), DOCS),
         "benchmark": ([(1, None, "q"), (2, "", "q"), (3, "Ab cd. " * 4, "q"), (3, "one", "q"), (4, "zz yy xx", "q")], "item_id long, text string, item string"),
         "pages": ([(1, None, None, "t"), (2, "http://a.b/c", "", "t"), (3, "::", "<p>x <i>y</i>&nbsp;z<br>w<p>", "t"), (3, "http://a.b/c", "<article>" + "<div>" * 400 + "deep &lt; <script>no</script>", "t")], "page_id long, url string, html string, text string"),
+        "labels": ([(3, 1, 0, "x"), (6, 0, 0, "x"), (None, 1, 1, "x"), (7, None, 0, "x")], "doc_id long, quality int, toxic int, text string"),
+        "conversations": ([(1, None, None, None, "k"), (1, 2, "user", LONG, "k"), (1, 2, "user", LONG, "k"), (None, 1, "", "x", "k")], "conv_id long, turn long, role string, text string, kind string"),
         "embeddings": (
             [(1, None, 1, "d"), (2, [], 1, "d"), (3, [0.0, 0.0], 1, "d"), (4, [1.0, None], 1, "d"), (5, [float("nan"), 1.0], 1, "d"), (6, [1.0, 1.0], None, "d")]
             + [(7, [1.0, 1.0], 1, "d"), (8, [2.0, 2.0], 1, "d"), (9, [1.0, 1.01, 0.0], 1, "d"), (10, [1.0, 1.0], 2, "d"), (7, [1.0, 1.0], 1, "d")],
@@ -36,8 +38,8 @@ def folders(spark, tmp_path_factory):
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_edge_rows_and_empty_tables(spark, folders, name):
     got = registry.QUERIES[name](spark, folders[0]).collect()
-    one_for_each = {"op1": 4, "op3": 11}.get(name.split("_")[0], len(rows()))
-    if name.split("_")[0] not in ("op5", "op7"):
+    one_for_each = {"op1": 4, "op3": 11, "op13": 2}.get(name.split("_")[0], len(rows()))
+    if name.split("_")[0] not in ("op5", "op7", "op11"):
         assert len(got) == one_for_each
     assert registry.QUERIES[name](spark, folders[1]).count() == 0
 
