@@ -34,13 +34,13 @@ def source_object_refs(spark, d):
 
 
 @query(
-    f"WITH RECURSIVE {DIGESTS}, {REFS}, links AS (SELECT a.digest AS src, b.digest AS dst FROM d a JOIN d b ON a.doc_id = b.doc_id // 2 AND a.doc_id <> b.doc_id), up AS (SELECT digest FROM refs UNION SELECT dst FROM up JOIN links ON src = digest) "
+    f"WITH RECURSIVE {DIGESTS}, {REFS}, links AS (SELECT a.digest AS src, b.digest AS dst FROM d a JOIN d b ON b.doc_id = 2 * a.doc_id AND a.doc_id <> b.doc_id), up AS (SELECT digest FROM refs UNION SELECT dst FROM up JOIN links ON src = digest) "
     "SELECT DISTINCT digest AS node FROM d WHERE digest NOT IN (SELECT digest FROM up)"
 )
 def source_objects_unreferenced(spark, d):
     docs = table(spark, d, "documents").filter("text is not null").select("doc_id", F.sha2("text", 256).alias("dst"))
     above = docs.select(F.col("doc_id").alias("_above"), F.col("dst").alias("src"))
-    links = docs.join(above, (F.floor(F.col("doc_id") / 2) == F.col("_above")) & (F.col("doc_id") != F.col("_above"))).select("src", "dst")
+    links = docs.join(above, (F.col("doc_id") == 2 * F.col("_above")) & (F.col("doc_id") != F.col("_above"))).select("src", "dst")
     return objects.unreferenced(spark, _store(spark, d), links.filter("src is not null"))
 
 
