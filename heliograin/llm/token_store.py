@@ -23,6 +23,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -245,14 +246,18 @@ class WordEncoder:
         if len(self.pieces) > CACHE_WORDS:
             self.pieces = {}
 
-    def _piece(self, piece: str) -> list[int]:
+    def _packed(self, ids) -> bytes:
+        return array(np.dtype(self.kind).char, ids).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        """The piece's ids as bytes: a list of numbers takes some four times the memory."""
         name = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTE_LEVEL)
-        self.pieces[piece] = ids = [t.id for t in self.model.tokenize(name)]
+        self.pieces[piece] = ids = self._packed(t.id for t in self.model.tokenize(name))
         return ids
 
     def _learn(self) -> None:
         fresh, self.known.fresh = self.known.fresh, []
-        made: list[list[int] | None] = [None] * len(fresh)
+        made = [b""] * len(fresh)
         rest, seen = [], self.pieces
         for i, raw in enumerate(fresh):
             word = raw.decode()
@@ -272,19 +277,17 @@ class WordEncoder:
             if not _PLAIN.fullmatch(word):
                 rest.append((i, word))
                 continue
-            ids = []
-            for piece in self.pieces_of(low):
-                ids += seen[piece] if piece in seen else self._piece(piece)
-            made[i] = ids
+            made[i] = b"".join([seen[piece] if piece in seen else self._piece(piece) for piece in self.pieces_of(low)])
         for lo in range(0, len(rest), 2000):
             some = rest[lo : lo + 2000]
             got = self.tokenizer.encode([w for _, w in some], is_pretokenized=True, add_special_tokens=False)
-            for i, _ in some:
-                made[i] = []
+            each = [[] for _ in some]
             for k, token in zip(got.word_ids, got.ids):
-                made[some[k][0]].append(token)
-        self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, made), np.int64, len(made))])
-        self.pool = np.concatenate([self.pool, np.array([t for ids in made for t in ids], self.kind)])
+                each[k].append(token)
+            for (i, _), ids in zip(some, each):
+                made[i] = self._packed(ids)
+        self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, made), np.int64, len(made)) // np.dtype(self.kind).itemsize])
+        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(made), self.kind)])
 
     def encode(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in turn, each closed by ``end``, and where each text's ids end."""
