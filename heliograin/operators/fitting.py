@@ -1,4 +1,4 @@
-"""Models fitted from few sums, and what follows from them: autoregression, quantile regression, propagated uncertainty.
+"""Models fitted from few sums, and what follows from them: autoregression, quantile and robust regression, propagated uncertainty.
 
 Data are reduced to a row of sums for each series or for each round; only such rows are solved.
 """
@@ -6,12 +6,15 @@ Data are reduced to a row of sums for each series or for each round; only such r
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from heliograin.functions.stats import order_statistics
+
 
 def autoregression(df: DataFrame, keys: list[str], order: list[str], value: str, p: int, steps: int = 1) -> DataFrame:
     """Rows (keys, n, intercept, phi_1 .. phi_p, forecast_1 .. forecast_steps): AR(p) by Yule-Walker and the Levinson-Durbin recursion.
@@ -100,3 +103,118 @@ def run_length_one_sided(shift: Column, k: float, h: float) -> Column:
 def run_length(shift: Column, k: float, h: float) -> Column:
     """Average run length of a two-sided CUSUM under a shift."""
     return 1 / (1 / run_length_one_sided(shift, k, h) + 1 / run_length_one_sided(-shift, k, h))
+
+
+#: Tuning of Tukey's biweight: half breakdown for the scale, with its target; 95 % efficiency for the line. Fixed values.
+SCALE_TUNING, SCALE_TARGET, LINE_TUNING = 1.5476, 0.5, 4.685
+
+
+@dataclass(frozen=True)
+class RobustLine:
+    coefficients: list[float]
+    trimmed: list[float]
+    scale: float
+    bound: float
+    retained: int
+    rejected: int
+    steps: int
+    converged: bool
+    singular: int
+
+
+def high_breakdown(df: DataFrame, xs: list[str], y: str, coverage: float = 0.75, starts: int = 20, screens: int = 3, most_steps: int = 50, most_rounds: int = 50, tolerance: float = 1e-9, seed: int = 0, refine: bool = True) -> RobustLine:
+    """Least trimmed squares from many starts, then (``refine``) the efficient line that redescends around it; coefficients with the intercept first.
+
+    Starts are exact fits of rows drawn by hash, ``len(xs) + 1`` rows each; all of them take ``screens`` concentration
+    steps together, each one sketch of residual bounds and one aggregate of normal equations. The best one goes on with exact order
+    statistics until it stays. A step keeps the share ``coverage`` of all rows with the least squared residuals, and all
+    that tie with the last of them. Rows with null or non-finite values are left out; the result is the best one seen, not a proven optimum.
+    """
+    if not 0.5 <= coverage <= 1:
+        raise ValueError("coverage lies between 0.5 and 1")
+    if starts < 1:
+        raise ValueError("at least one start")
+    names = [f"x{k}" for k in range(len(xs) + 1)]
+    rows = df.select(F.lit(1.0).alias("x0"), *[F.col(c).cast("double").alias(n) for c, n in zip(xs, names[1:])], F.col(y).cast("double").alias("y")).dropna()
+    rows = rows.filter(" and ".join(f"abs({n}) < double('infinity')" for n in [*names, "y"]))
+    p, n = len(names), rows.count()
+    if n < p + 1:
+        raise ValueError(f"{n} rows of {p + 1} at least")
+    residual = lambda b: F.col("y") - sum((F.col(x) * float(v) for x, v in zip(names, b)), F.lit(0.0))
+    drawn = rows.distinct().orderBy(F.xxhash64(F.lit(seed), *names, "y"), *names, "y").limit(starts * p).collect()
+    lines, singular = [], 0
+    for k in range(0, len(drawn) - p + 1, p):
+        x = np.array([[r[c] for c in names] for r in drawn[k : k + p]])
+        if np.linalg.matrix_rank(x) < p:
+            singular += 1
+        else:
+            lines.append(np.linalg.solve(x, np.array([r["y"] for r in drawn[k : k + p]])))
+    if not lines:
+        raise ValueError("every start is singular")
+
+    def solved(weights: list[Column]) -> list[np.ndarray | None]:
+        """The weighted least squares of each weight: one aggregate."""
+        sums = rows.agg(*[F.sum(w * F.col(a) * F.col(b)).alias(f"{k}{a}{b}") for k, w in enumerate(weights) for i, a in enumerate(names) for b in [*names[i:], "y"]]).first()
+        found = []
+        for k in range(len(weights)):
+            left = np.array([[sums[f"{k}{a}{b}" if i <= j else f"{k}{b}{a}"] for j, b in enumerate(names)] for i, a in enumerate(names)], float)
+            sound = np.isfinite(left).all() and np.linalg.matrix_rank(left) == p
+            found.append(np.linalg.solve(left, np.array([sums[f"{k}{a}y"] for a in names])) if sound else None)
+        return found
+
+    def bounds(lines) -> list[float]:
+        return list(rows.agg(*[F.percentile_approx(F.abs(residual(b)), coverage, 10_000).alias(str(k)) for k, b in enumerate(lines)]).first())
+
+    for _ in range(screens):
+        found = solved([(F.abs(residual(b)) <= t).cast("double") for b, t in zip(lines, bounds(lines))])
+        singular += sum(b is None for b in found)
+        lines = [b for b in found if b is not None] or lines[:1]
+    left = rows.agg(*[F.sum(F.when(F.abs(residual(b)) <= t, residual(b) ** 2)).alias(str(k)) for k, (b, t) in enumerate(zip(lines, bounds(lines)))]).first()
+    line = lines[int(np.argmin(list(left)))]
+
+    def last_kept(b) -> float:
+        rank = lambda m: F.greatest(F.ceil(m * coverage), F.lit(p + 1))
+        return order_statistics(rows.select(F.abs(residual(b)).alias("r")), [], "r", {"t": (coverage, rank)}).first()["t"]
+
+    still, steps = False, 0
+    while not still and steps < most_steps:
+        (new,) = solved([(F.abs(residual(line)) <= last_kept(line)).cast("double")])
+        if new is None:
+            break
+        still = bool(np.abs(new - line).max() <= tolerance * max(1.0, np.abs(line).max()))
+        line, steps = new, steps + 1
+    bound, trimmed = last_kept(line), line
+    retained = rows.filter(F.abs(residual(line)) <= bound).count()
+    scale = _scale(rows.select(residual(line).alias("r")), bound)
+    if refine and scale > 0:
+        still, steps = False, 0
+        while not still and steps < most_rounds:
+            u = residual(line) / (LINE_TUNING * scale)
+            (new,) = solved([F.when(F.abs(u) < 1, (1 - u * u) * (1 - u * u)).otherwise(0.0)])
+            if new is None:
+                break
+            still = bool(np.abs(new - line).max() <= tolerance * max(1.0, np.abs(line).max()))
+            line, steps = new, steps + 1
+    return RobustLine(line.tolist(), trimmed.tolist(), scale, bound, retained, n - retained, steps, still, singular)
+
+
+def _scale(rows: DataFrame, guess: float, points: int = 24) -> float:
+    """The scale at which the mean biweight loss of residuals r meets its target; 0 if half of them are 0. Each pass tries many scales in one aggregate."""
+
+    def losses(scales) -> list[float]:
+        u = [F.least(F.abs(F.col("r")) / (SCALE_TUNING * float(s)), F.lit(1.0)) for s in scales]
+        return list(rows.agg(*[F.avg(1 - (1 - v * v) * (1 - v * v) * (1 - v * v)).alias(str(k)) for k, v in enumerate(u)]).first())
+
+    off = rows.agg(F.avg((F.col("r") != 0).cast("double"))).first()[0]
+    if off <= SCALE_TARGET:
+        return 0.0
+    low, high = max(guess, 1e-300) * 1e-12, max(guess, 1e-300) * 1e6
+    while True:
+        tried = np.geomspace(low, high, points)
+        over = np.array(losses(tried)) > SCALE_TARGET
+        at = int(over.sum())  # the loss falls as the scale grows
+        if at in (0, points):
+            return float(tried[0] if at == 0 else tried[-1])
+        low, high = tried[at - 1], tried[at]
+        if high / low - 1 < 1e-10:
+            return float((low + high) / 2)
