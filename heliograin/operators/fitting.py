@@ -126,8 +126,8 @@ def high_breakdown(df: DataFrame, xs: list[str], y: str, coverage: float = 0.75,
     """Least trimmed squares from many starts, then (``refine``) the efficient line that redescends around it; coefficients with the intercept first.
 
     Starts are exact fits of rows drawn by hash, ``len(xs) + 1`` rows each; all of them take ``screens`` concentration
-    steps together, each one sketch of residual bounds and one aggregate of normal equations. The best one goes on with exact order
-    statistics until it stays. A step keeps the share ``coverage`` of all rows with the least squared residuals, and all
+    steps together, each one sketch of residual bounds and one aggregate of normal equations. The best one goes on, at last with exact order
+    statistics, until it stays. A step keeps the share ``coverage`` of all rows with the least squared residuals, and all
     that tie with the last of them. Rows with null or non-finite values are left out; the result is the best one seen, not a proven optimum.
     """
     if not 0.5 <= coverage <= 1:
@@ -176,12 +176,15 @@ def high_breakdown(df: DataFrame, xs: list[str], y: str, coverage: float = 0.75,
         rank = lambda m: F.greatest(F.ceil(m * coverage), F.lit(p + 1))
         return order_statistics(rows.select(F.abs(residual(b)).alias("r")), [], "r", {"t": (coverage, rank)}).first()["t"]
 
-    still, steps = False, 0
+    still, steps, coarse = False, 0, True
     while not still and steps < most_steps:
-        (new,) = solved([(F.abs(residual(line)) <= last_kept(line)).cast("double")])
+        # a sketch's bounds bring the line near, exact ones settle it
+        (new,) = solved([(F.abs(residual(line)) <= (bounds([line])[0] if coarse else last_kept(line))).cast("double")])
         if new is None:
             break
-        still = bool(np.abs(new - line).max() <= tolerance * max(1.0, np.abs(line).max()))
+        moved = np.abs(new - line).max() / max(1.0, np.abs(line).max())
+        still = bool(not coarse and moved <= tolerance)
+        coarse = coarse and moved > 1e-3
         line, steps = new, steps + 1
     bound, trimmed = last_kept(line), line
     retained = rows.filter(F.abs(residual(line)) <= bound).count()

@@ -57,7 +57,7 @@ def fitting_run_length(spark, d):
 @query()
 def fitting_high_breakdown(spark, d):
     """The price by quantity that most line items follow, however far the rest lie, and how many it leaves out."""
-    found = fitting.high_breakdown(table(spark, d, "lineitem"), ["l_quantity"], "l_extendedprice", starts=10)
+    found = fitting.high_breakdown(table(spark, d, "lineitem"), ["l_quantity"], "l_extendedprice", starts=6, screens=2, tolerance=1e-5)
     a, b = found.coefficients
     rows = spark.createDataFrame([(a, b, found.scale, found.retained, found.rejected, found.converged)], "intercept double, slope double, scale double, retained long, rejected long, converged boolean")
     return rounded(rows, 2)
