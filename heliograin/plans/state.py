@@ -61,8 +61,8 @@ def state_rsi(spark, d):
 
 
 @query(
-    f"WITH RECURSIVE {ORDERED}, r AS (SELECT user_id, event_id, i, greatest(0, value - 55) AS hi, greatest(0, 45 - value) AS lo, CASE WHEN greatest(0, value - 55) > 60 THEN 1.0 WHEN greatest(0, 45 - value) > 60 THEN -1.0 ELSE 0.0 END::DOUBLE AS signal FROM o WHERE i = 1 "
-    "UNION ALL SELECT user_id, event_id, i, hi, lo, CASE WHEN hi > 60 THEN 1.0 WHEN lo > 60 THEN -1.0 ELSE 0.0 END::DOUBLE FROM (SELECT o.user_id, o.event_id, o.i, greatest(0, CASE WHEN r.signal > 0 THEN 0 ELSE r.hi END + o.value - 55) AS hi, greatest(0, CASE WHEN r.signal < 0 THEN 0 ELSE r.lo END + 45 - o.value) AS lo FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1)) "
+    f"WITH RECURSIVE {ORDERED}, r AS (SELECT user_id, event_id, i, greatest(0, value - 50 - 5) AS hi, greatest(0, 50 - value - 5) AS lo, CASE WHEN greatest(0, value - 50 - 5) > 60 THEN 1.0 WHEN greatest(0, 50 - value - 5) > 60 THEN -1.0 ELSE 0.0 END::DOUBLE AS signal FROM o WHERE i = 1 "
+    "UNION ALL SELECT user_id, event_id, i, hi, lo, CASE WHEN hi > 60 THEN 1.0 WHEN lo > 60 THEN -1.0 ELSE 0.0 END::DOUBLE FROM (SELECT o.user_id, o.event_id, o.i, greatest(0, CASE WHEN r.signal > 0 THEN 0 ELSE r.hi END + o.value - 50 - 5) AS hi, greatest(0, CASE WHEN r.signal < 0 THEN 0 ELSE r.lo END + 50 - o.value - 5) AS lo FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1)) "
     "SELECT user_id, event_id, round(hi, 4) AS high, round(lo, 4) AS low, signal FROM r"
 )
 def state_cusum(spark, d):
