@@ -95,9 +95,11 @@ def combined_uncertainty(f: Callable[..., Column], x: list[Column], u: list[Colu
 
 
 def run_length_one_sided(shift: Column, k: float, h: float) -> Column:
-    """Average run length of an upper CUSUM by Siegmund's approximation, in standard deviations."""
+    """Average run length of an upper CUSUM by Siegmund's approximation, in standard deviations; near a shift of k by its series, as the quotient cancels there."""
     b, delta = h + 1.166, shift - k
-    return F.when(F.abs(delta) < 1e-9, b * b).otherwise((F.exp(-2 * delta * b) + 2 * delta * b - 1) / (2 * delta * delta))
+    x = 2 * delta * b
+    near = 1 - x / 3 * (1 - x / 4 * (1 - x / 5 * (1 - x / 6 * (1 - x / 7 * (1 - x / 8)))))
+    return F.when(F.abs(x) < 0.1, b * b * near).otherwise((F.exp(-x) + x - 1) / (2 * delta * delta))
 
 
 def run_length(shift: Column, k: float, h: float) -> Column:

@@ -46,10 +46,14 @@ def fitting_uncertainty(spark, d):
     return rounded(p.select("p_partkey", (f(*x) + 1e-7).alias("value"), (fitting.combined_uncertainty(f, x, [F.lit(1 / 3), 0.01 * F.col("p_retailprice")]) + 1e-7).alias("uncertainty")), 5)
 
 
-@query(
-    "WITH s AS (SELECT s_suppkey, s_acctbal / 5000 AS s FROM supplier), o AS (SELECT *, (exp(-2 * (s - 0.5) * 5.166) + 2 * (s - 0.5) * 5.166 - 1) / (2 * (s - 0.5) ** 2) AS up, (exp(-2 * (-s - 0.5) * 5.166) + 2 * (-s - 0.5) * 5.166 - 1) / (2 * (-s - 0.5) ** 2) AS down FROM s) "
-    "SELECT s_suppkey, round(1 / (1 / up + 1 / down), 4) AS run_length FROM o"
-)
+def _one_sided(d: str) -> str:
+    """SQL of the one-sided run length under a shift of k + ``d``."""
+    x = f"(2 * ({d}) * 5.166::DOUBLE)"
+    near = " * (1 - ".join(["1", *[f"{x} / {k}" for k in range(3, 9)]]).replace("1 * (1 - ", "(1 - ", 1) + ")" * 6
+    return f"CASE WHEN abs({x}) < 0.1 THEN 5.166::DOUBLE * 5.166::DOUBLE * {near} ELSE (exp(-{x}) + {x} - 1) / (2 * ({d}) * ({d})) END"
+
+
+@query(f"WITH s AS (SELECT s_suppkey, s_acctbal / 5000 AS s FROM supplier) SELECT s_suppkey, round(1 / (1 / ({_one_sided('s - 0.5')}) + 1 / ({_one_sided('-s - 0.5')})), 4) AS run_length FROM s")
 def fitting_run_length(spark, d):
     return rounded(table(spark, d, "supplier").select("s_suppkey", fitting.run_length(F.col("s_acctbal") / 5000, 0.5, 4.0).alias("run_length")))
 
