@@ -122,7 +122,7 @@ def flows_cef_lines(spark, d):
 
 
 @query(
-    f"{ALERTS} SELECT '{{' || concat_ws(',', '\"detector\":\"' || detector || '\"', '\"source\":\"' || source || '\"', '\"target\":\"' || target || '\"', '\"kind\":\"' || kind || '\"', '\"confidence\":' || round(confidence, 4)::VARCHAR, "
+    f"{ALERTS} SELECT '{{' || concat_ws(',', '\"detector\":\"' || detector || '\"', '\"source\":\"' || source || '\"', '\"target\":\"' || target || '\"', '\"kind\":\"' || kind || '\"', '\"confidence\":' || round(confidence::DECIMAL(18, 9), 4)::DOUBLE::VARCHAR, "
     "'\"severity\":\"' || CASE WHEN confidence >= 0.95 THEN 'critical' WHEN confidence >= 0.8 THEN 'warning' ELSE 'info' END || '\"') || '}' AS line FROM alerts"
 )
 def flows_json_lines(spark, d):
