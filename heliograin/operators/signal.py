@@ -145,14 +145,27 @@ def heart_rate_variability(beats: DataFrame, keys: list[str], time: str) -> Data
     )
 
 
+#: Ships of a cell that meet their neighbours in one part.
+SHIPS = 256
+
+
 def closest_approach(ships: DataFrame, time: str, id_col: str, x: str, y: str, vx: str, vy: str, cell: float) -> DataFrame:
-    """Closest point of approach of pairs that are in the same or a neighbouring grid cell at one time."""
+    """Closest point of approach of pairs that are in the same or a neighbouring grid cell at one time.
+
+    Every such pair is a row of the result; a cell of many ships is dealt over parts of ``SHIPS`` of them, which tasks share evenly.
+    """
     a = ships.select(F.col(time).alias("t"), *[F.col(c).alias(f"a_{n}") for n, c in (("id", id_col), ("x", x), ("y", y), ("vx", vx), ("vy", vy))])
     b = ships.select(F.col(time).alias("t"), *[F.col(c).alias(f"b_{n}") for n, c in (("id", id_col), ("x", x), ("y", y), ("vx", vx), ("vy", vy))])
     shifts = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     a = a.withColumn("s", F.explode(shifts)).withColumns({"cx": F.floor(F.col("a_x") / cell) + F.col("s.i"), "cy": F.floor(F.col("a_y") / cell) + F.col("s.j")}).drop("s")
     b = b.withColumns({"cx": F.floor(F.col("b_x") / cell), "cy": F.floor(F.col("b_y") / cell)})
-    p = a.join(b, ["t", "cx", "cy"]).filter("a_id < b_id")
+    most = b.groupBy("t", "cx", "cy").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    parts = -(-most // SHIPS) or 1
+    a = a.withColumn("_part", F.pmod(F.xxhash64("a_id"), F.lit(parts)))
+    b = b.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    # a stated number of tasks: little is read and much is made
+    by = [int(ships.sparkSession.conf.get("spark.sql.shuffle.partitions")), "t", "cx", "cy", "_part"]
+    p = a.repartition(*by).join(b.repartition(*by), ["t", "cx", "cy", "_part"]).filter("a_id < b_id")
     dx, dy, ux, uy = (F.col(f"b_{c}") - F.col(f"a_{c}") for c in ("x", "y", "vx", "vy"))
     speed = ux * ux + uy * uy
     tcpa = F.when(speed < 1e-12, 0.0).otherwise(-(dx * ux + dy * uy) / speed)
