@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from heliograin.functions import tails
+from heliograin.sources.scratch import beside
 
 CONSISTENT = 1.4826
 
@@ -56,13 +57,13 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, ranks: dict[str
     at = lambda p: F.when(F.col("n") <= WHOLE, F.col("_min") if p < 0.5 else F.col("_max")).otherwise(F.col("_q")[points.index(p)])
     ends = {name: (F.when(F.lit(p <= BAND) | (F.col("n") <= WHOLE), F.col("_min")).otherwise(at(min(max(p - BAND, 0.0), 1.0))), F.when(F.lit(p >= 1 - BAND) | (F.col("n") <= WHOLE), F.col("_max")).otherwise(at(min(max(p + BAND, 0.0), 1.0)))) for name, (p, _) in ranks.items()}
     bands = F.array(*[F.struct(F.lit(j).alias("j"), lo.alias("lo"), hi.alias("hi"), rank(F.col("n")).cast("long").alias("rank")) for j, ((lo, hi), (_, rank)) in enumerate(zip(ends.values(), ranks.values()))])
-    known = known.select("_k", "n", bands.alias("_bands"))
+    known = beside(known.select("_k", "n", bands.alias("_bands")))
     met = rows.join(known, "_k")
     below = met.groupBy("_k").agg(*[F.count_if(F.col("_v") < F.col("_bands")[j]["lo"]).alias(f"_b{j}") for j in range(len(ranks))])
     inside = met.select("_k", "_v", F.explode(F.filter("_bands", lambda x: F.col("_v").between(x["lo"], x["hi"]))).alias("_x"))
     inside = inside.groupBy("_k", F.col("_x.j").alias("_j"), F.col("_x.rank").alias("_rank"), "_v").agg(F.count(F.lit(1)).alias("_c"))
     inside = inside.withColumn("_upto", F.sum("_c").over(W.partitionBy("_k", "_j").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)))
-    inside = inside.join(below.select("_k", F.array(*[f"_b{j}" for j in range(len(ranks))]).alias("_below")), "_k")
+    inside = inside.join(beside(below.select("_k", F.array(*[f"_b{j}" for j in range(len(ranks))]).alias("_below"))), "_k")
     rank = F.col("_rank") - F.get("_below", F.col("_j"))
     hit = inside.filter((F.col("_upto") >= rank) & (F.col("_upto") - F.col("_c") < rank))
     found = hit.groupBy("_k").agg(*[F.max(F.when(F.col("_j") == j, F.col("_v"))).alias(name) for j, name in enumerate(ranks)])
@@ -96,7 +97,7 @@ def iqr(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def mad(df: DataFrame, keys: list[str], value: str, consistent: bool = True) -> DataFrame:
     """Median absolute deviation from the group's median: the medians are joined back by key."""
-    med = quantiles(df, keys, value, [0.5]).select(F.struct(F.lit(0).alias("_"), *keys).alias("_of"), F.col("q0500").alias("median"))
+    med = beside(quantiles(df, keys, value, [0.5]).select(F.struct(F.lit(0).alias("_"), *keys).alias("_of"), F.col("q0500").alias("median")))
     off = df.join(med, F.struct(F.lit(0).alias("_"), *keys) == F.col("_of")).withColumn("_off", F.abs(F.col(value) - F.col("median")))
     spread = quantiles(off, [*keys, "median"], "_off", [0.5])
     return spread.select(*keys, "median", (F.col("q0500") * (CONSISTENT if consistent else 1.0)).alias("mad"))
@@ -106,7 +107,7 @@ def trimmed_mean(df: DataFrame, keys: list[str], value: str, fraction: float) ->
     """Means without, and with clamped, the floor(n * fraction) least and greatest values: two order statistics, then one sum between them."""
     cut = lambda n: F.floor(n * fraction)
     ends = order_statistics(df, keys, value, {"_lo": (fraction, lambda n: cut(n) + 1), "_hi": (1 - fraction, lambda n: n - cut(n))})
-    ends = ends.select(F.struct(F.lit(0).alias("_"), *keys).alias("_of"), "n", "_lo", "_hi")
+    ends = beside(ends.select(F.struct(F.lit(0).alias("_"), *keys).alias("_of"), "n", "_lo", "_hi"))
     met = df.filter(F.col(value).isNotNull()).join(ends, F.struct(F.lit(0).alias("_"), *keys) == F.col("_of"))
     v, lo, hi, k = F.col(value), F.first("_lo"), F.first("_hi"), cut(F.first("n"))
     sums = met.groupBy(*keys).agg(
@@ -119,13 +120,6 @@ def trimmed_mean(df: DataFrame, keys: list[str], value: str, fraction: float) ->
     return sums.select(*keys, F.when(stay > 0, inner / stay).alias("trimmed_mean"), ((inner + F.col("_cut") * (F.col("_lo") + F.col("_hi"))) / F.col("_n")).alias("winsorized_mean"))
 
 
-def _ranked(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    by = W.partitionBy(*keys)
-    return df.filter(F.col(value).isNotNull()).select(
-        *keys, F.col(value).alias("_v"), F.row_number().over(by.orderBy(value)).alias("_i"), F.count(F.lit(1)).over(by).alias("_n")
-    )
-
-
 def weighted_median(df: DataFrame, keys: list[str], value: str, weight: str, tie: str) -> DataFrame:
     """The smallest value whose running weight exceeds half of all; the midpoint with the next one on an exact half."""
     by = W.partitionBy(*keys)
@@ -218,13 +212,26 @@ def chi_square_poisson(df: DataFrame, value: str, rate: float, bins: int, least_
     return made.withColumn("p_value", tails.chi_square_tail(F.col("chi_square"), F.col("dof")))
 
 
+#: Parts of the interval whose distinct values one task puts in order.
+KS_PARTS = 1024
+
+
 def ks_uniform(df: DataFrame, keys: list[str], value: str, low: float, high: float) -> DataFrame:
-    """One-sample Kolmogorov-Smirnov distance to the uniform law on [low, high]."""
-    r = _ranked(df, keys, value)
-    p = F.least(F.greatest((F.col("_v") - low) / (high - low), F.lit(0.0)), F.lit(1.0))
-    return r.groupBy(*keys).agg(F.max(F.greatest(F.col("_i") / F.col("_n") - p, p - (F.col("_i") - 1) / F.col("_n"))).alias("d"), F.first("_n").alias("n")).withColumn(
-        "p_value", tails.kolmogorov_tail(F.col("d"), F.col("n"))
-    )
+    """One-sample Kolmogorov-Smirnov distance to the uniform law on [low, high].
+
+    Equal values count once with their number; parts of the interval are put in order side by side, each from the count of what lies before it.
+    """
+    p = F.least(F.greatest((F.col(value) - low) / (high - low), F.lit(0.0)), F.lit(1.0))
+    rows = df.filter(F.col(value).isNotNull()).select(F.struct(F.lit(0).alias("_"), *keys).alias("_k"), p.alias("_p"))
+    each = rows.groupBy("_k", F.floor(F.col("_p") * KS_PARTS).alias("_b"), "_p").agg(F.count(F.lit(1)).alias("_c"))
+    parts = each.groupBy("_k", "_b").agg(F.sum("_c").alias("_in"))  # KS_PARTS + 1 rows of a group at most
+    before = F.coalesce(F.sum("_in").over(W.partitionBy("_k").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("_k", "_b", before.alias("_before"), F.sum("_in").over(W.partitionBy("_k")).alias("_n"))
+    upto = F.sum("_c").over(W.partitionBy("_k", "_b").orderBy("_p").rowsBetween(W.unboundedPreceding, 0))
+    r = each.withColumn("_upto", upto).join(parts, ["_k", "_b"]).withColumn("_i", F.col("_before") + F.col("_upto"))
+    d = F.max(F.greatest(F.col("_i") / F.col("_n") - F.col("_p"), F.col("_p") - (F.col("_i") - F.col("_c")) / F.col("_n")))
+    found = r.groupBy("_k").agg(d.alias("d"), F.first("_n").alias("n")).select(*[F.col("_k")[k].alias(k) for k in keys], "d", "n")
+    return found.withColumn("p_value", tails.kolmogorov_tail(F.col("d"), F.col("n")))
 
 
 def linear_regression(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
