@@ -17,8 +17,8 @@ of chunks; runs whose members are all linked are not compared further.
 
 Near-duplicate texts (``keep_first``) take five-word shingles and a Jaccard
 similarity of 0.8 or more: texts are first united by their word sequences, then
-candidates come from longer fingerprints (``SEGMENTS`` segments of a length that
-grows with the number of texts; a pair at 0.8 differs in 15 % of the bits and
+candidates come from longer fingerprints (``SEGMENTS`` segments of ``LENGTH`` bits, however
+many texts there are: n texts meet by chance in about n * n / 2300 pairs; a pair at 0.8 differs in 15 % of the bits and
 meets in some segment with a probability of about 0.95, at 0.85 of 0.99), and inside the
 neighbourhoods that candidates form, shingle sets are compared exactly.
 
@@ -50,8 +50,8 @@ CHUNK = 1 << 17
 BLOCK_BYTES = 512 << 10
 #: Seconds to deal one row and to compare one pair: their ratio chooses the cut.
 DEAL, COMPARE = 2e-6, 1e-8
-#: The fingerprints of texts: segments, and bits of a segment at least and at most.
-SEGMENTS, SHORT, LONG = 12, 18, 32
+#: The fingerprints of texts: segments, and bits of a segment.
+SEGMENTS, LENGTH = 12, 18
 SHINGLE, THRESHOLD = 5, 0.8
 #: A pair at the threshold differs in this share of the bits, give or take; beyond it nothing is compared.
 FARTHEST = 0.215
@@ -272,10 +272,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(told, "fp").select("id", "fp", F.col("first").alias("component"))
 
 
-def text_cut(n: int) -> tuple[list[int], list[tuple[int, int]]]:
-    """Pieces of the fingerprints of n texts: as many bits a segment as keep chance meetings few."""
-    length = min(max(SHORT, 2 * (max(n, 1).bit_length() // 2)), LONG)
-    return [length // 2] * (2 * SEGMENTS), [(i, i ^ 1) for i in range(2 * SEGMENTS)]
+def text_cut(n: int | None = None) -> tuple[list[int], list[tuple[int, int]]]:
+    """Pieces of the fingerprints of texts; the same for any number n of them, so that two texts meet or don't whatever stands beside them."""
+    return [LENGTH // 2] * (2 * SEGMENTS), [(i, i ^ 1) for i in range(2 * SEGMENTS)]
 
 
 def _shingles(texts, shingle: int = SHINGLE):
@@ -435,7 +434,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.col(text_col).cast("string")
     named = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), text.alias("body"))
     kind = named.schema["id"].dataType.simpleString()
-    widths, routes = text_cut(docs.count())
+    widths, routes = text_cut()
     rows = named.mapInArrow(C.tidy(_sketched(SEGMENTS, 2 * widths[0])), f"id {kind}, hash long, seq binary, n int, print binary")
     # rows of one word sequence are one node, stood for by its first row
     rows = rows.groupBy("seq", "id", "hash").agg(F.count("*").alias("copies"), F.first("n").alias("n"), F.first("print").alias("print"))

@@ -631,3 +631,7 @@ def test_pipeline_keeps_one_clean_document_of_each_group(spark, data):
     leaks = {r.id for r in decontamination.matches(got[2], common.table(spark, data, "benchmark")).collect()}
     assert {r.doc_id for r in got[3].collect()} == {r.doc_id for r in got[2].collect()} - leaks
     assert got[5].count() == got[4].count()
+
+
+def test_texts_meet_whatever_their_number():
+    assert simhash_dedup.text_cut(10) == simhash_dedup.text_cut(250_000) == simhash_dedup.text_cut(50_000_000)
