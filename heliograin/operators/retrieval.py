@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from heliograin.sources.scratch import cut
+from heliograin.sources.scratch import beside, cut
 
 #: Expected share of the true top-k that an index search finds.
 RECALL = 0.9
@@ -208,11 +208,14 @@ def ivf_search(rows: DataFrame, queries: DataFrame, id_col: str, vector: str, k:
 
 def bm25(counts: DataFrame, queries: DataFrame, n_docs: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Rows (query, id, score). ``counts``: (id, term, n, length); ``queries``: (query, term), repeated terms once; ``n_docs``: one row (docs, mean_length)."""
+    asked = beside(queries.select("query", "term").distinct())
+    # only terms that are asked for are counted over the documents
+    counts = counts.join(beside(asked.select("term").distinct()), "term", "left_semi")
     df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    q = queries.select("query", "term").distinct().join(df, "term").join(F.broadcast(n_docs), how="cross")  # one row
+    q = asked.join(beside(df), "term").join(F.broadcast(n_docs), how="cross")  # one row
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("n") * (k1 + 1) / (F.col("n") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
-    return q.join(counts, "term").groupBy("query", "id").agg(F.sum(weight).alias("score"))
+    return beside(q).join(counts, "term").groupBy("query", "id").agg(F.sum(weight).alias("score"))
 
 
 def rank_fusion(lists: DataFrame, k: int = 60) -> DataFrame:
