@@ -118,19 +118,20 @@ def _planes(dim: int, tables: int, bits: int, seed: int) -> np.ndarray:
 
 
 def lsh_keys(rows: DataFrame, id_col: str, vector: str, dim: int, tables: int, bits: int, seed: int = 1) -> DataFrame:
-    """Rows (id, vector, table, key): random-hyperplane buckets."""
+    """Rows (id, table, key): random-hyperplane buckets."""
     planes = _planes(dim, tables, bits, seed)
 
     def run(batches):
         for b in batches:
-            x = np.array(b["vector"].tolist(), float).reshape(len(b), dim)
-            sign = (x @ planes.T > 0).reshape(len(b), tables, bits)
-            keys = (sign * (1 << np.arange(bits))).sum(axis=2)
-            for t in range(tables):
-                yield pd.DataFrame({"id": b["id"], "vector": b["vector"], "table": t, "key": keys[:, t]})
+            for lo in range(0, len(b), 1024):  # few rows' planes at once
+                some = b.iloc[lo : lo + 1024]
+                x = np.array(some["vector"].tolist(), float).reshape(len(some), dim)
+                sign = (x @ planes.T > 0).reshape(len(some), tables, bits)
+                keys = (sign * (1 << np.arange(bits))).sum(axis=2)
+                yield pd.DataFrame({"id": np.repeat(some["id"].to_numpy(), tables), "table": np.tile(np.arange(tables), len(some)), "key": keys.ravel()})
 
     src = rows.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("vector"))
-    return src.mapInPandas(run, "id long, vector array<double>, table int, key long")
+    return src.mapInPandas(run, "id long, table int, key long")
 
 
 def lsh_search(rows: DataFrame, queries: DataFrame, id_col: str, vector: str, dim: int, k: int, tables: int = 8, bits: int | None = None, recall: float = RECALL) -> DataFrame:
@@ -144,7 +145,7 @@ def lsh_search(rows: DataFrame, queries: DataFrame, id_col: str, vector: str, di
     """
     if bits is None:
         bits = max(10, math.ceil(math.log2(max(rows.count(), 1) / 4)))
-    keys = cut(lsh_keys(rows, id_col, vector, dim, tables, bits).select("id", "table", "key"))
+    keys = cut(lsh_keys(rows, id_col, vector, dim, tables, bits))
     asked = lsh_keys(queries, id_col, vector, dim, tables, bits).select(F.col("id").alias("query"), "table", "key")
     large = keys.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BUCKET)
     busy = asked.join(large, ["table", "key"], "left_semi").select("query").distinct()
