@@ -13,13 +13,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from heliograin.sources.scratch import new_path
+
 #: Most numbers of a model, which the driver and every task hold.
 MOST_NUMBERS = 4_000_000
-#: Terms of bags that a task works on at once (times the topics, doubles).
-BLOCK_TERMS = 50_000
+#: Terms of bags that a task works on at once (times the topics, doubles), and those whose mixes are found side by side.
+BLOCK_TERMS, SLAB_TERMS = 200_000, 50_000
+#: Bags side by side are padded to the size of the longest: at most so many times the shortest, and so many terms more.
+ALIKE, ALIKE_TERMS = 1.25, 4
 #: A mix is settled when no share moves more; rounds inside a bag at most.
 SETTLED, MOST_STEPS = 1e-5, 200
 #: The least a probability is taken for.
@@ -50,33 +55,124 @@ def vocabulary(counts: DataFrame, size: int) -> list:
     return [r["term"] for r in found.collect()]
 
 
+def gathered(docs: DataFrame, id_col: str, words: Column) -> DataFrame:
+    """Rows (id, terms, ns): how often each document with words has each; ids are integers or strings, rows of one id are one document.
+
+    Documents come to the tasks by id and in its order, so that a task counts a batch of them at once and holds one document
+    besides. Written once, so that vocabulary and bags don't make the words again.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.repartition(F.col(id_col)).sortWithinPartitions(id_col).select(F.col(id_col).alias("id"), words.alias("words"))
+    path = new_path(docs.sparkSession, "terms")
+    rows.mapInArrow(_counted, f"id {kind}, terms array<string>, ns array<long>").write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
+def _counted(batches):
+    """Batches (id, terms, ns) of sorted rows (id, words); the last document of a batch may go on in the next."""
+    held = None
+    for b in batches:
+        ids, words = (b.column(b.schema.get_field_index(n)) for n in ("id", "words"))
+        if not len(ids):
+            continue
+        told, before, after = ids.is_valid(), ids.slice(0, len(ids) - 1), ids.slice(1)
+        other = np.asarray(pc.fill_null(pc.not_equal(before, after), False)) | (np.asarray(told)[1:] != np.asarray(told)[:-1])
+        firsts = np.r_[0, np.flatnonzero(other) + 1]
+        of = np.repeat(np.cumsum(np.r_[0, other]), np.asarray(pc.fill_null(words.value_lengths(), 0)))
+        coded = words.flatten().dictionary_encode()
+        keys, n = np.unique(of * max(len(coded.dictionary), 1) + np.asarray(coded.indices), return_counts=True)
+        of, codes = np.divmod(keys, max(len(coded.dictionary), 1))
+        ends = np.r_[0, np.cumsum(np.bincount(of.astype(int), minlength=len(firsts)))]
+        made = _bags(ids.take(pa.array(firsts)), ends, coded.dictionary.take(pa.array(codes)), n)
+        if held is not None and held.column("id").equals(made.column("id").slice(0, 1)):
+            held, made = _one(held, made.slice(0, 1)), made.slice(1)
+        if len(made):
+            if held is not None:
+                yield _with_words(held)
+            yield _with_words(made.slice(0, len(made) - 1))
+            held = made.slice(len(made) - 1)
+    if held is not None:
+        yield _with_words(held)
+
+
+def _bags(ids, ends, terms, ns) -> pa.RecordBatch:
+    lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x) for x in (terms.cast(pa.string()), pa.array(ns, pa.int64()))]
+    return pa.RecordBatch.from_arrays([ids, *lists], ["id", "terms", "ns"])
+
+
+def _one(a: pa.RecordBatch, b: pa.RecordBatch) -> pa.RecordBatch:
+    """The words of two rows of a document as one row."""
+    coded = pa.concat_arrays([a.column("terms").flatten(), b.column("terms").flatten()]).dictionary_encode()
+    n = np.zeros(len(coded.dictionary), int)
+    np.add.at(n, np.asarray(coded.indices), np.r_[np.asarray(a.column("ns").flatten()), np.asarray(b.column("ns").flatten())])
+    return _bags(a.column("id"), [0, len(n)], coded.dictionary, n)
+
+
+def _with_words(b: pa.RecordBatch) -> pa.RecordBatch:
+    return b.filter(pc.greater(b.column("terms").value_lengths(), 0))
+
+
+def _by_id(counts: DataFrame) -> DataFrame:
+    held = counts.groupBy("id").agg(F.collect_list(F.struct("term", F.col("n").cast("long").alias("n"))).alias("_b"))
+    return held.select("id", F.col("_b.term").alias("terms"), F.col("_b.n").alias("ns"))
+
+
 def bags(counts: DataFrame, terms: list) -> DataFrame:
-    """Rows (id, places, counts) of the terms' places in the vocabulary, in order."""
-    spark = counts.sparkSession
-    places = spark.createDataFrame([(t, i) for i, t in enumerate(terms)], "term string, place int")  # as many rows as the model has terms
+    """Rows (id, places, counts) of the terms' places in the vocabulary, in order; counts has rows (id, term, n), or is what ``gathered`` gives."""
+
+    def placed(batches):
+        known = pa.array(terms, pa.string())
+        for b in batches:
+            ids, words, ns = (b.column(b.schema.get_field_index(n)) for n in ("id", "terms", "ns"))
+            places = pc.index_in(words.flatten().cast(pa.string()), value_set=known)
+            in_vocabulary = np.asarray(places.is_valid())
+            rows = np.repeat(np.arange(len(ids)), np.asarray(words.value_lengths()))[in_vocabulary]
+            places, n = np.asarray(places.drop_null()), np.asarray(ns.flatten())[in_vocabulary]
+            order = np.lexsort((places, rows))
+            sizes = np.bincount(rows, minlength=len(ids))
+            ends = pa.array(np.r_[0, np.cumsum(sizes[sizes > 0])].astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x[order])) for x in (places.astype(np.int32), n)]
+            yield pa.RecordBatch.from_arrays([ids.filter(pa.array(sizes > 0)), *lists], ["id", "places", "counts"])
+
+    rows = counts if "terms" in counts.columns else _by_id(counts)
+    kind = rows.schema["id"].dataType.simpleString()
     # a stated number of parts: bags are small and much is computed on each
-    met = counts.join(F.broadcast(places), "term").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
-    held = met.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("place", F.col("n").cast("long").alias("n")))).alias("_b"))
-    return held.select("id", F.col("_b.place").alias("places"), F.col("_b.n").alias("counts"))
+    return rows.mapInArrow(placed, f"id {kind}, places array<int>, counts array<long>").repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+
+
+def _alike(sizes: np.ndarray):
+    """Runs of the places of bags of like sizes, no more terms in a run than a slab holds or one bag has."""
+    order = np.argsort(sizes, kind="stable")
+    ranked, at = sizes[order], 0
+    while at < len(order):
+        to = int(np.searchsorted(ranked, ranked[at] * ALIKE + ALIKE_TERMS, side="right"))
+        to = min(to, at + max(1, int(SLAB_TERMS // ranked[to - 1])))
+        yield order[at:to]
+        at = to
 
 
 def settle(model: Topics, starts: np.ndarray, places: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The likeliest mixes of bags side by side, and each entry's probability under them."""
+    """The likeliest mixes of bags, those of like sizes side by side, and each entry's probability under them."""
     k, sizes = len(model.weights), np.diff(np.r_[starts, len(places)])
     given = np.maximum(model.weights.T[places], LEAST)
     mixes = np.full((len(starts), k), 1.0 / k)
-    live, near, n = np.arange(len(starts)), given, counts
-    for step in range(MOST_STEPS):
-        of = np.repeat(np.arange(len(live)), sizes[live])
-        share = near * mixes[live][of]
-        new = np.add.reduceat(share * (n / share.sum(axis=1))[:, None], np.r_[0, np.cumsum(sizes[live])[:-1]], axis=0) + model.mix_prior
-        new /= new.sum(axis=1, keepdims=True)
-        moving = np.abs(new - mixes[live]).max(axis=1) > SETTLED
-        mixes[live] = new
-        if step % 8 == 7 and not moving.all():  # settled bags are left alone
-            near, n, live = near[moving[of]], n[moving[of]], live[moving]
-            if not len(live):
-                break
+    for live in _alike(sizes):
+        at = np.arange(sizes[live].max())
+        real = at < sizes[live][:, None]
+        entry = starts[live][:, None] + np.where(real, at, 0)
+        n = np.where(real, counts[entry], 0.0)  # what only fills up counts nothing
+        near, mix = np.ascontiguousarray(given[entry].transpose(0, 2, 1)), mixes[live]
+        for step in range(MOST_STEPS):
+            share = n / np.matmul(mix[:, None, :], near)[:, 0]
+            new = np.matmul(near, share[:, :, None])[:, :, 0] * mix + model.mix_prior
+            new /= new.sum(axis=1, keepdims=True)
+            mix, last = new, mix
+            if step % 8 == 7 and not (moving := np.abs(mix - last).max(axis=1) > SETTLED).all():  # settled bags are left alone
+                mixes[live] = mix
+                near, n, live, mix = near[moving], n[moving], live[moving], mix[moving]
+                if not len(live):
+                    break
+        mixes[live] = mix
     return mixes, (given * np.repeat(mixes, sizes, axis=0)).sum(axis=1)
 
 

@@ -86,3 +86,29 @@ def test_vocabulary_ties_and_documents_without_terms(spark):
     assert topics.perplexity(bags, model) == math.inf and topics.mixes(bags, model).count() == 0
     with pytest.raises(ValueError):
         topics.Topics.first(["a"] * 10, 1_000_000)
+
+
+def test_words_are_counted_once(spark):
+    odd = [(3, "w0x1 w0x1"), (3, None), (90, "zz"), (91, None), (92, ""), (None, "a b a"), (None, "b c")]
+    docs = planted(spark, 30).union(spark.createDataFrame(odd, "doc long, body string")).repartition(3)
+    words = text.alphanumeric_tokens(F.col("body"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)  # documents go on in the next batch
+    try:
+        kept = topics.gathered(docs.union(docs.filter("doc < 20 or doc is null")), "doc", words)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    counts = text.term_counts(docs.union(docs.filter("doc < 20 or doc is null")), "doc", words)
+    assert sorted((str(r.id), t, n) for r in kept.collect() for t, n in zip(r.terms, r.ns)) == sorted((str(r.id), r.term, r.n) for r in counts.collect())
+    assert kept.count() == 32 and "Exchange" not in kept._jdf.queryExecution().executedPlan().toString()
+    terms = topics.vocabulary(kept.select("id", F.explode("terms").alias("term")), 20)
+    assert terms == topics.vocabulary(counts, 20)
+    plain = {}
+    for r in counts.filter(F.col("term").isin(terms)).collect():
+        plain.setdefault(r.id, []).append((terms.index(r.term), r.n))
+    for made in (topics.bags(kept, terms), topics.bags(counts, terms)):
+        assert {r.id: list(zip(r.places, r.counts)) for r in made.collect()} == {i: sorted(b) for i, b in plain.items()}
+
+
+def test_bags_of_like_sizes_stand_side_by_side():
+    sizes = np.array([1, 900, 5, 1000, 6, 2, 60_000, 7])
+    assert [sizes[r].tolist() for r in topics._alike(sizes)] == [[1, 2, 5], [6, 7], [900, 1000], [60_000]]
